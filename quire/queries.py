@@ -1,0 +1,4 @@
+"""The library's own queries by name, and their DuckDB SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
