@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, mixing, simhash
+from quire.llm import bpe, mixing, repeats, simhash
 from quire.llm.common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes that repeat anywhere in strings of 400."""
+    return repeats.removals(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of near-duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
@@ -31,7 +36,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing}
+QUERIES = {"op1_repeats": op1_repeats, "op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing}
 
 #: For DuckDB; an operator without an entry is tested against a brute-force version.
 ORACLES: dict[str, str] = {}
