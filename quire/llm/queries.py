@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, mixing, repeats, simhash
-from quire.llm.common import table
+from quire.llm import bpe, langid, maxscore, mixing, quality, repeats, simhash, toxicity
+from quire.llm.common import in_training_fold, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,36 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def _with_fold(scored: DataFrame, mod: int, held: int, threshold: float | None = None) -> DataFrame:
+    out = scored.withColumn("held_out", ~in_training_fold(mod, held))
+    if threshold is None:
+        return out.select("doc_id", "held_out", "lang_pred", "score")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    return _with_fold(langid.identify(docs, langid.learn(docs)), 5, 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document's toxicity."""
+    docs = table(spark, sf_dir, "documents")
+    return _with_fold(toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))), 5, 0, toxicity.THRESHOLD)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document's quality."""
+    docs = table(spark, sf_dir, "documents")
+    return _with_fold(quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels"))), 4, 2, quality.THRESHOLD)
+
+
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best matches of every twentieth vector among all."""
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of near-duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
@@ -36,7 +66,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_repeats": op1_repeats, "op3_simhash": op3_simhash, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_langid, op3_simhash, op5_toxicity, op6_bpe, op7_mixing, op8_quality, op10_maxscore)}
 
 #: For DuckDB; an operator without an entry is tested against a brute-force version.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
