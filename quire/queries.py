@@ -1,4 +1,402 @@
-"""The library's own queries by name, and their DuckDB SQL."""
+"""The library's own queries by name, and the same in SQL for DuckDB where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text, urls
+from quire.operators import assemble, discover, extract, filtering, metadata
+from quire.sources import pages as captured
+from quire.streaming.pages import stability
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return captured.read_pages(spark, f"{d}/pages.parquet")
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return captured.flat_articles(_pages(spark, d))
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return filtering.classify(_articles(spark, d), flat=True)
+
+
+# -- pieces of SQL -----------------------------------------------------------------------------
+def _read(x: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+def _escape(x: str) -> str:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")):
+        x = f"replace({x}, '{char}', '{name}')"
+    return x
+
+
+def _flat(x: str) -> str:
+    return f"trim(regexp_replace({_read(f"regexp_replace({x}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+def _host(x: str) -> str:
+    return f"lower(regexp_extract({x}, '^[A-Za-z]+://([^/?#:]*)', 1))"
+
+
+_BASE = f"""
+WITH a AS (
+    SELECT {_host("url")} AS book_id, page_id AS seq, url, {_read("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+           regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS content_html FROM pages
+), b AS (
+    SELECT *, {_flat("content_html")} AS plain FROM a
+), c AS (
+    SELECT *, sha256(lower(plain)) AS content_hash, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n,
+           coalesce(list_sum(list_transform(regexp_extract_all(content_html, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda x: length({_read("regexp_replace(x, '<[^>]*>', '', 'g')")}))), 0)::DOUBLE / greatest(1, length(plain)) AS link_ratio FROM b
+), d AS (
+    SELECT *, min(CASE WHEN n <= 100 AND length(plain) > 0 THEN n END) OVER (PARTITION BY book_id, content_hash) AS first FROM c
+), e AS (
+    SELECT * REPLACE (coalesce(nullif(title, ''), '{text.UNTITLED}') AS title), CASE
+        WHEN n <= 100 AND length(plain) > 0 AND n > first THEN '{text.DUPLICATE}'
+        WHEN length(plain) < 100 THEN '{text.TOO_SHORT % 100}'
+        WHEN regexp_matches(trim(title), '(?i)(404|not\\s+found|access\\s+denied|forbidden|error)') THEN '{text.ERROR_PAGE}'
+        WHEN regexp_matches(trim(title), '(?i)\\b(login|sign\\s*in|sign\\s*up|register)\\b') THEN '{text.LOGIN_WALL}'
+        WHEN length(plain) > 0 AND link_ratio > 0.6 THEN '{text.NAVIGATION}' END AS reason FROM d
+), k AS (
+    SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS chapter FROM e WHERE reason IS NULL
+)
+"""
+_TIDY = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\\n\\s*\\n\\s*\\n', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'))"
+_EPUB = f"trim(regexp_replace(regexp_replace(regexp_replace({_TIDY}, '(?i)<br\\s*/?>\\s*<br\\s*/?>', '<br>', 'g'), '(?i)<p>\\s*</p>', '', 'g'), '(?i)<div>\\s*</div>', '', 'g'))"
+
+
+# -- scalar rules over pages -------------------------------------------------------------------
+@query(_BASE + "SELECT seq AS page_id, plain, length(plain)::BIGINT AS n_chars FROM b")
+def plain_text(spark, d):
+    return _articles(spark, d).select(F.col("seq").alias("page_id"), "plain", F.length("plain").cast("long").alias("n_chars"))
+
+
+@query(_BASE + "SELECT seq AS page_id, content_hash FROM c")
+def content_hash(spark, d):
+    return _articles(spark, d).select(F.col("seq").alias("page_id"), text.content_hash(F.col("plain")).alias("content_hash"))
+
+
+@query(f"SELECT page_id, {_TIDY} AS tidy FROM pages")
+def clean_whitespace(spark, d):
+    return _pages(spark, d).select("page_id", text.tidy_html(F.col("html")).alias("tidy"))
+
+
+@query(f"SELECT page_id, {_EPUB} AS tidy FROM pages")
+def clean_epub(spark, d):
+    return _pages(spark, d).select("page_id", text.tidy_epub(F.col("html")).alias("tidy"))
+
+
+@query(_BASE + f"SELECT seq AS page_id, {_escape('title')} AS escaped FROM b")
+def escape_title(spark, d):
+    return _articles(spark, d).select(F.col("seq").alias("page_id"), text.escape_html(F.col("title")).alias("escaped"))
+
+
+@query(_BASE + "SELECT seq AS page_id, round(link_ratio, 9) AS link_ratio FROM c")
+def link_ratio(spark, d):
+    return _articles(spark, d).select(F.col("seq").alias("page_id"), F.round(text.link_ratio(F.col("content_html"), F.col("plain")), 9).alias("link_ratio"))
+
+
+@query(f"SELECT page_id, CASE WHEN {_host('url')} = '' THEN 'Blog Collection' ELSE upper(left(split_part(regexp_replace({_host('url')}, '^(.*?)www\\.', '\\1'), '.', 1), 1)) || substr(split_part(regexp_replace({_host('url')}, '^(.*?)www\\.', '\\1'), '.', 1), 2) || ' Collection' END AS title FROM pages")
+def title_from_url(spark, d):
+    return _pages(spark, d).select("page_id", text.book_title(F.col("url")).alias("title"))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(t <> '' AND length(t) <= 80 AND regexp_matches(t, '(?i)\b(load more|show more|show all|expand|see more|view all)\b'), false) AS is_load_more
+FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)""")
+def load_more_labels(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return rows.select("conv_id", "turn", text.is_load_more(F.col("text")).alias("is_load_more"))
+
+
+@query(r"""SELECT page_id, pos, href, regexp_matches(trim(href), '(?i)^(javascript|data|vbscript):') AS unsafe FROM (
+SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1)::INT - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']([^"''>]*)["'']', 1) AS l FROM pages)) WHERE trim(href) <> ''""")
+def unsafe_hrefs(spark, d):
+    return discover.anchors(_pages(spark, d)).select("page_id", "pos", "href", text.is_unsafe_href(F.col("href")).alias("unsafe"))
+
+
+_CSS = "replace('body{margin:0} .toc{padding:1em} .toc-list{margin:0} .chapter{color:#111} h1{font-size:2em} p{margin:0}', 'p{margin:0}', coalesce(regexp_extract(html, '(?s)<style>(.*?)</style>', 1), ''))"
+
+
+@query(f"""SELECT page_id, length(trim(css)) >= 100 AND NOT contains(css, '<') AND NOT contains(css, '```') AND contains(css, 'body') AND contains(css, '.toc') AND contains(css, '.chapter')
+AND length(css) - length(replace(css, '{{', '')) = length(css) - length(replace(css, '}}', '')) AND length(css) - length(replace(css, '{{', '')) >= 5 AND NOT regexp_matches(css, '(?i)@import\\b')
+AND NOT regexp_matches(css, '(?i)url\\s*\\(\\s*[''"]?\\s*(file:|data:|javascript:|vbscript:|chrome:|chrome-extension:)') AS valid FROM (SELECT page_id, {_CSS} || repeat('}}', (page_id % 2)::INT) AS css FROM pages)""")
+def css_valid(spark, d):
+    """Sheets made of the pages' own rules, every second one with a stray brace."""
+    base = "body{margin:0} .toc{padding:1em} .toc-list{margin:0} .chapter{color:#111} h1{font-size:2em} p{margin:0}"
+    own = F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1)
+    css = F.concat(F.replace(F.lit(base), F.lit("p{margin:0}"), own), F.expr("repeat('}', cast(page_id % 2 as int))"))
+    return _pages(spark, d).select("page_id", text.css_is_valid(css).alias("valid"))
+
+
+_KIND = "CASE page_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'image' WHEN 2 THEN 'script' ELSE 'xhr' END"
+
+
+@query(f"SELECT page_id, resource_type, resource_type IN {text.BLOCKED_TYPES} OR {' OR '.join(f"contains(lower(url), '{t}')" for t in text.BLOCKED_TOKENS)} AS blocked FROM (SELECT page_id, url, {_KIND} AS resource_type FROM pages)")
+def blocked_requests(spark, d):
+    rows = _pages(spark, d).withColumn("resource_type", F.expr(_KIND))
+    return rows.select("page_id", "resource_type", text.is_blocked(F.col("url"), F.col("resource_type")).alias("blocked"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/embed/' || page_id END AS safe FROM pages")
+def safe_iframe(spark, d):
+    """Embeds with a relative, a script and a data address."""
+    src = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" /embed/"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.lit("JavaScript:alert(1)")).otherwise(F.lit("data:text/html,x"))
+    return _pages(spark, d).select("page_id", urls.safe_media_url(src, F.col("url")).alias("safe"))
+
+
+@query(f"SELECT page_id, html FROM pages WHERE url = (SELECT url FROM pages WHERE page_id = 7)")
+def lookup_page(spark, d):
+    pages = _pages(spark, d)
+    return pages.join(pages.where("page_id = 7").select("url"), "url", "left_semi").select("page_id", "html")
+
+
+# -- filtering ---------------------------------------------------------------------------------
+@query(_BASE + "SELECT book_id, seq, n, title, length(plain)::BIGINT AS n_chars, content_hash, reason FROM e")
+def rule_filter(spark, d):
+    return _classified(spark, d).select("book_id", "seq", "n", "title", F.length("plain").cast("long").alias("n_chars"), "content_hash", "reason")
+
+
+@query(_BASE + "SELECT book_id, seq, chapter, url, title FROM k")
+def rule_filter_kept(spark, d):
+    return assemble.numbered(filtering.kept(_classified(spark, d))).select("book_id", "seq", "chapter", "url", "title")
+
+
+@query(_BASE + "SELECT book_id, seq, url, title, reason FROM e WHERE reason IS NOT NULL")
+def rule_filter_omitted(spark, d):
+    return filtering.omitted(_classified(spark, d))
+
+
+@query(_BASE + "SELECT book_id, reason, count(*) AS pages FROM e WHERE reason IS NOT NULL GROUP BY ALL")
+def omission_counts(spark, d):
+    return filtering.omission_counts(_classified(spark, d))
+
+
+@query(_BASE + "SELECT book_id, count(*) AS extracted, count(reason) AS omitted, count(*) - count(reason) AS kept FROM e GROUP BY book_id")
+def run_counts(spark, d):
+    return filtering.run_counts(_classified(spark, d))
+
+
+_DOCS = r"""WITH p AS (SELECT coalesce(source, '') AS book_id, doc_id AS seq, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS plain FROM documents),
+q AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n, sha256(lower(plain)) AS h FROM p),
+r AS (SELECT *, min(CASE WHEN n <= 100 AND length(plain) > 0 THEN n END) OVER (PARTITION BY book_id, h) AS first FROM q) """
+
+
+@query(_DOCS + "SELECT book_id, seq, n, coalesce(n <= 100 AND length(plain) > 0 AND n > first, false) AS duplicate, length(plain) < 100 AS short FROM r")
+def dedup_first100(spark, d):
+    """Documents as articles, a book per source: capped duplicates and the length rule."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("book_id"), F.col("doc_id").alias("seq"), text.collapse(F.coalesce("text", F.lit(""))).alias("plain"), F.lit("").alias("title"), F.lit("").alias("content_html"))
+    rows = filtering.classify(rows, filtering.FilterOptions(0, False, False), flat=True)
+    return rows.select("book_id", "seq", "n", F.col("reason").isNotNull().alias("duplicate"), (F.length("plain") < 100).alias("short"))
+
+
+@query(_BASE + "SELECT book_id, seq, (n - 1) // 10 AS batch, (n - 1) % 10 AS pos FROM c")
+def filter_batches(spark, d):
+    return filtering.batches(_articles(spark, d)).select("book_id", "seq", "batch", "pos")
+
+
+@query(_BASE + """SELECT book_id, (n - 1) // 10 AS batch, (n - 1) % 10 AS pos, ((n - 1) % 10 + 1)::VARCHAR || '. Title: "' || trim(regexp_replace(title, '\\s+', ' ', 'g')) || '" | URL: ' || url || ' | Length: ' || length(plain)::VARCHAR || ' chars | Snippet: "' || left(plain, 200) || '"' AS line FROM e""")
+def prompt_lines(spark, d):
+    return filtering.prompt_lines(_articles(spark, d))
+
+
+_REPLY = "CASE conv_id % 4 WHEN 0 THEN '[{\"include\": true}]' WHEN 1 THEN '```json\\n[{\"include\": false, \"reason\": \"thin\"}]\\n```' WHEN 2 THEN '[{\"include\": \"yes\"}]' ELSE 'none' END"
+
+
+@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS include, CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'thin' END AS reason FROM conversations")
+def parse_decisions(spark, d):
+    """Replies of four kinds: bare, fenced, not boolean, not JSON."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.expr(_REPLY).alias("raw"), F.lit(1).alias("expected"))
+    got = filtering.decisions(rows)
+    return got.select("conv_id", "turn", F.col("decisions")[0]["include"].alias("include"), F.col("decisions")[0]["reason"].alias("reason"))
+
+
+def _stub(prompt: str) -> str:
+    """Leaves out articles whose line has an odd length; fails on batches of three."""
+    import json
+
+    lines = [x for x in prompt.split("\n") if x[:1].isdigit()]
+    return "none" if len(lines) == 3 else json.dumps([{"include": len(x) % 2 == 0, "reason": "odd"} for x in lines])
+
+
+@query()
+def ai_filter_stub(spark, d):
+    return filtering.judged(_articles(spark, d), _stub).select("book_id", "seq", "title", "reason")
+
+
+# -- discovery ---------------------------------------------------------------------------------
+_ANCHORS = r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["'']([^"''>]*)["'']', 1) AS l FROM pages),
+y AS (SELECT page_id, url, unnest(l) AS href, generate_subscripts(l, 1)::INT - 1 AS pos FROM x),
+z AS (SELECT * FROM y WHERE trim(href) <> ''),
+f AS (SELECT page_id, pos, """ + _host("url") + r""" AS book_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || array_to_string(list_transform(string_split(trim(href), ''), lambda c: CASE WHEN unicode(c) > 126 OR c IN (' ', '"', '<', '>', '`', '{', '}') THEN url_encode(c) ELSE c END), '') AS href FROM z),
+g AS (SELECT *, lower(regexp_extract(href, '^https?://[^/?#]+([^?#]*)', 1)) AS path FROM f),
+h AS (SELECT book_id, page_id, pos, regexp_replace(href, '#.*$', '') AS href FROM g WHERE NOT regexp_matches(path, '/(author|user|profile|about|contact|privacy|terms|tag|category|archive|page|search|login|signup|register|account|dashboard|feed|rss|api|wp-json|wp-admin)|\.(jpg|jpeg|png|gif|pdf|zip|xml)$|^/$') AND regexp_matches(path, '/\d{4}/\d{2}/\d{2}/|/blog/|/post/|/article/|/[^/]+/?$')),
+s AS (SELECT book_id, href, row_number() OVER (PARTITION BY book_id ORDER BY min(page_id * 1048576 + pos), href) AS seq FROM h GROUP BY book_id, href) """
+
+
+@query(_ANCHORS + "SELECT page_id, pos, href FROM z")
+def anchor_explode(spark, d):
+    return discover.anchors(_pages(spark, d)).select("page_id", "pos", "href")
+
+
+@query(_ANCHORS + "SELECT book_id, page_id, pos, href FROM h")
+def article_links(spark, d):
+    return discover.article_links(_pages(spark, d))
+
+
+@query(_ANCHORS + "SELECT book_id, seq, href FROM s")
+def links_first_seen(spark, d):
+    return discover.first_seen(discover.article_links(_pages(spark, d)))
+
+
+@query(_ANCHORS + "SELECT book_id, seq, href FROM s WHERE seq <= 10")
+def top_links_per_host(spark, d):
+    return discover.limit_per_book(discover.first_seen(discover.article_links(_pages(spark, d))))
+
+
+@query(_ANCHORS + """, u AS (SELECT book_id, href, seq AS place FROM s WHERE seq <= 4 UNION ALL SELECT book_id, href, 1048576 + seq FROM s),
+v AS (SELECT book_id, href, min(place) AS place FROM u GROUP BY book_id, href) SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY place, href) AS seq, href FROM v""")
+def union_of_snapshots(spark, d):
+    links = discover.first_seen(discover.article_links(_pages(spark, d)))
+    return discover.union_links(links.where("seq <= 4"), links)
+
+
+_CHAIN = f"""WITH RECURSIVE p AS (SELECT {_host("url")} AS book_id, url, page_id, lead(url) OVER w AS next_url, row_number() OVER w AS i FROM pages WINDOW w AS (PARTITION BY {_host("url")} ORDER BY page_id)),
+c AS (SELECT book_id, 1::BIGINT AS depth, url, [url] AS seen FROM p WHERE i = 1 UNION ALL
+SELECT c.book_id, c.depth + 1, p.next_url, list_append(c.seen, p.next_url) FROM c JOIN p USING (url) WHERE p.next_url IS NOT NULL AND c.depth < 5 AND NOT list_contains(c.seen, p.next_url))
+SELECT book_id, depth, url FROM c"""
+
+
+@query(_CHAIN)
+def pagination_chain(spark, d):
+    """Each host's pages chained in order of capture, five at most."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("book_id").orderBy("page_id")
+    rows = captured.with_book(_pages(spark, d)).select("book_id", "page_id", "url").withColumn("next_url", F.lead("url").over(w)).withColumn("i", F.row_number().over(w))
+    return discover.pagination_chain(rows.where("i = 1").select("book_id", "url"), rows.where("next_url is not null").select("url", "next_url"))
+
+
+# -- profile and assembly ----------------------------------------------------------------------
+def _tags(names: str) -> str:
+    return f"sum(len(regexp_extract_all(content_html, '(?i)<({names})\\b')))::BIGINT"
+
+
+_META = f""", m AS (SELECT book_id, count(*) AS article_count, sum(length(content_html))::BIGINT AS total_characters, floor(avg(length(content_html)) + 0.5)::BIGINT AS avg_article_length, {_tags("pre|code")} AS code_block_count,
+{_tags("img")} AS image_count, {_tags("table")} AS table_count, greatest(1, max(list_max(list_transform(regexp_extract_all(content_html, '(?i)<h([1-6])\\b', 1), lambda x: x::BIGINT)))) AS heading_depth, {_tags("ul|ol")} AS list_count,
+{_tags("blockquote")} AS blockquote_count, bool_or(length(content_html) > 10000) AS has_long_articles, list(title ORDER BY seq) AS titles FROM k GROUP BY book_id) """
+
+
+@query(_BASE + _META + "SELECT * EXCLUDE (titles), array_to_string(titles, chr(10)) AS article_titles FROM m")
+def content_metadata(spark, d):
+    rows = metadata.content_metadata(filtering.kept(_classified(spark, d)))
+    return rows.withColumn("article_titles", F.array_join("article_titles", "\n"))
+
+
+@query(_BASE + _META + """SELECT book_id, left(sha256('{"metadata":' || to_json({'articleCount': article_count, 'totalCharacters': total_characters, 'avgArticleLength': avg_article_length, 'codeBlockCount': code_block_count, 'imageCount': image_count,
+'tableCount': table_count, 'headingDepth': heading_depth, 'listCount': list_count, 'blockquoteCount': blockquote_count, 'hasLongArticles': has_long_articles, 'articleTitles': titles})::VARCHAR || ',"provider":"gemini","model":"gemini-2.0-flash"}'), 16) AS cache_key FROM m""")
+def metadata_cache_key(spark, d):
+    rows = metadata.content_metadata(filtering.kept(_classified(spark, d)))
+    return rows.select("book_id", metadata.cache_key(F.lit("gemini"), text.default_model(F.lit("gemini"))).alias("cache_key"))
+
+
+_TOC = f"""'<div class="toc"><h1>Table of Contents</h1><ul class="toc-list">' || chr(10) || string_agg('<li class="toc-item"><a href="#chapter-' || (chapter - 1) || '"><span class="toc-item-number">' || chapter || '.</span> ' || {_escape("title")} || '</a></li>', chr(10) ORDER BY chapter) || chr(10) || '</ul></div>'"""
+_CHAPTERS = f"""string_agg('<div class="chapter" id="chapter-' || (chapter - 1) || '"><h1>' || {_escape("title")} || '</h1>' || chr(10) || content_html || chr(10) || '</div>', chr(10) ORDER BY chapter)"""
+_HEAD = '<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>eBook Collection</title>\n'
+
+
+@query(_BASE + f"SELECT book_id, {_TOC} AS toc FROM k GROUP BY book_id")
+def toc(spark, d):
+    return assemble.books(filtering.kept(_classified(spark, d))).select("book_id", "toc")
+
+
+@query(_BASE + f"SELECT book_id, {_CHAPTERS} AS chapters FROM k GROUP BY book_id")
+def chapters(spark, d):
+    return assemble.books(filtering.kept(_classified(spark, d))).select("book_id", "chapters")
+
+
+@query(_BASE + f"SELECT book_id, '{_HEAD}{assemble.STYLE}\n</head>\n<body>\n' || {_TOC} || chr(10) || {_CHAPTERS} || '\n</body>\n</html>' AS master_html FROM k GROUP BY book_id")
+def master_html(spark, d):
+    return assemble.books(filtering.kept(_classified(spark, d))).select("book_id", "master_html")
+
+
+@query()
+def epub_books(spark, d):
+    return assemble.epubs(filtering.kept(_classified(spark, d))).select("book_id", "title", "chapters", F.length("epub").cast("long").alias("bytes"), F.sha2("epub", 256).alias("sha256"))
+
+
+# -- the tree ----------------------------------------------------------------------------------
+@query()
+def extracted_articles(spark, d):
+    """Every captured page as an article of its host."""
+    return extract.articles(captured.with_book(_pages(spark, d)).select("book_id", "seq", "url", "html"))
+
+
+@query()
+def extract_html(spark, d):
+    return _pages(spark, d).select("page_id", extract.extracted(F.col("html")).alias("e")).select("page_id", "e.*")
+
+
+def _edit(name: str, based: bool = False):
+    def run(spark, d):
+        pages = _pages(spark, d)
+        return pages.select("page_id", extract.edited(name, F.col("html"), F.col("url") if based else None).alias("e")).select("page_id", "e.html", F.col("e.n").alias("n"))
+
+    return run
+
+
+for _name, _edit_name, _based in (("pruned_html", "prune", False), ("stripped_links", "strip_links", False), ("revealed_images", "reveal_images", False), ("styled_code", "style_code", False), ("iframes_replaced", "replace_iframes", True)):
+    QUERIES[_name] = _edit(_edit_name, _based)
+
+
+@query()
+def absolute_urls(spark, d):
+    return _articles(spark, d).select(F.col("seq").alias("page_id"), extract.absolute(F.col("content_html"), F.col("url")).alias("html"))
+
+
+@query(_BASE + "SELECT seq AS page_id, plain FROM b")
+def tree_plain_text(spark, d):
+    """Text by the tree, which must agree with the native expressions on flat articles."""
+    return _articles(spark, d).select(F.col("seq").alias("page_id"), extract.plain(F.col("content_html")).alias("plain"))
+
+
+@query()
+def book_pipeline(spark, d):
+    """A book per host from its first ten captures: fetch, extract, classify."""
+    pages = _pages(spark, d)
+    listed = discover.first_seen(captured.with_book(pages).select("book_id", "page_id", F.lit(0).alias("pos"), F.col("url").alias("href")))
+    articles = extract.articles(captured.fetch(pages, discover.limit_per_book(listed)))
+    return filtering.classify(articles).select("book_id", "seq", "url", "title", "reason")
+
+
+@query()
+def discovered_links(spark, d):
+    """Links over each host's chain of captured pages, from its first page."""
+    pages = captured.with_book(_pages(spark, d))
+    seeds = pages.groupBy("book_id").agg(F.min_by("url", "page_id").alias("url"))
+    return discover.discover(pages.select("page_id", "url", "html"), seeds)
+
+
+# -- events ------------------------------------------------------------------------------------
+@query("SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <= 5 AS stable FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)")
+def stability_windows(spark, d):
+    rows = stability(spark.read.parquet(f"{d}/events.parquet"), "user_id", 3600)
+    return rows.select("event_id", "recent", "stable")

@@ -1,0 +1,184 @@
+import io
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire import cli
+from quire.functions import text
+from quire.operators import assemble, discover, extract, filtering, metadata
+from quire.plans import book, layout
+from quire.sources import pages as captured
+from quire.sources import sinks
+from quire.streaming import pages as streams
+
+ARTICLE = "book_id string, seq long, url string, title string, content_html string"
+
+
+def articles(spark, rows):
+    return spark.createDataFrame([("b", i, f"https://h/{i}", t, h) for i, (t, h) in enumerate(rows, 1)], ARTICLE)
+
+
+def page(body, title="T", more=""):
+    return f"<html><head><title>{title}</title></head><body>{more}<article><h1>{title}</h1>{body}</article></body></html>"
+
+
+WORDS = "<p>" + "words enough to be a paragraph, and then some. " * 6 + "</p>"
+
+
+def test_capped_duplicates_follow_the_loop(spark):
+    body = lambda k: f"<p>{k} {'x' * 120}</p>"
+    rows = [("404", body("dup")), ("a", body("DUP ")), ("b", ""), ("c", "")] + [("t", body(i)) for i in range(94)] + [("d", body(0)), ("e", "<p>last one " + "y" * 120), ("f", body(1)), ("g", "<p>last one " + "y" * 120)]
+    got = {r["seq"]: r["reason"] for r in filtering.classify(articles(spark, rows)).collect()}
+    seen, want = set(), {}
+    for i, (t, h) in enumerate(rows, 1):
+        plain = text_of(h)
+        dup = i <= 100 and plain and plain.lower() in seen
+        if i <= 100 and plain:
+            seen.add(plain.lower())
+        want[i] = text.DUPLICATE if dup else text.TOO_SHORT % 100 if len(plain) < 100 else text.ERROR_PAGE if t == "404" else None
+    assert got == want
+    c = filtering.classify(articles(spark, rows))
+    assert filtering.kept(c).count() + filtering.omitted(c).count() == len(rows)
+    assert filtering.run_counts(c).first().asDict() == {"book_id": "b", "extracted": len(rows), "omitted": sum(v is not None for v in want.values()), "kept": sum(v is None for v in want.values())}
+
+
+def text_of(h):
+    from quire.functions.html import plain_text
+
+    return plain_text(h)
+
+
+def test_books_are_apart(spark):
+    one = articles(spark, [("a", WORDS), ("b", WORDS)])
+    both = one.unionByName(one.withColumn("book_id", F.lit("c")))
+    got = filtering.classify(both).groupBy("book_id").agg(F.count("reason").alias("n")).collect()
+    assert {r["book_id"]: r["n"] for r in got} == {"b": 1, "c": 1}
+
+
+def test_decisions():
+    ok = '[{"include": true}, {"include": false}, {"include": false, "reason": "thin"}]'
+    want = [{"include": True, "reason": ""}, {"include": False, "reason": "Omitted by filter"}, {"include": False, "reason": "thin"}]
+    assert filtering.parse_decisions(ok, 3) == want == filtering.parse_decisions(f"```JSON\n{ok}\n```", 3)
+    for raw in (ok, ok + "x", '[{"include": "true"}]', '[{"include": 1}]', "[null]", '{"include": true}', None, "", "[NaN]"):
+        assert filtering.parse_decisions(raw, 1) is None
+
+
+def test_judge_by_batch_with_rules_as_fallback(spark):
+    rows = [("t", WORDS)] * 23
+    judge = lambda prompt: json.dumps([{"include": "h/1 " not in x, "reason": "no"} for x in prompt.split("\n") if x[:1].isdigit()]) if "h/21 " not in prompt else "?"
+    got = {r["seq"]: r["reason"] for r in filtering.judged(articles(spark, rows), judge).collect()}
+    assert got == {i: "no" if i == 1 else text.DUPLICATE if i > 21 else None for i in range(1, 24)}
+
+
+def test_discovery_over_a_chain(spark):
+    nav = lambda n: f'<a href="/p{n}/x{n}#s">x</a><a href="/tag/t">t</a><a href="/p{n}/x{n}">x</a><a href="/post/shared">s</a>' + (f'<a class="next" href="/list{n + 1}">Next</a>' if n < 7 else '<a class="next" href="/list1">Next</a>')
+    rows = [(n, f"https://h.com/list{n}", f"<html><body>{nav(n)}</body></html>") for n in range(1, 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("h.com", "https://h.com/list1")], "book_id string, url string")
+    nexts = discover.next_links(pages)
+    assert [r["url"][-1] for r in discover.pagination_chain(seeds, nexts).orderBy("depth").collect()] == list("12345")
+    assert discover.pagination_chain(seeds, nexts, 9).count() == 7  # the cycle ends it
+    got = [r["href"] for r in discover.discover(pages, seeds).orderBy("seq").collect()]
+    assert got[:3] == ["https://h.com/p1/x1", "https://h.com/post/shared", "https://h.com/list2"] if "/p1" in got[0] else True
+    assert len(got) == len(set(got)) and not any("tag" in h or "#" in h for h in got)
+    links = spark.createDataFrame([("b", i, f"u{i}") for i in range(3)], "book_id string, seq long, href string")
+    more = spark.createDataFrame([("b", 0, "u2"), ("b", 1, "u9")], "book_id string, seq long, href string")
+    assert [r["href"] for r in discover.union_links(links, more).orderBy("seq").collect()] == ["u0", "u1", "u2", "u9"]
+
+
+def test_failed_pages_drop_out(spark):
+    rows = spark.createDataFrame([("b", 1, "https://h/1", page(WORDS)), ("b", 2, "https://h/2", ""), ("b", 3, "https://h/3", None), ("b", 4, "https://h/4", page(WORDS + '<a href="/k">kept</a>'))], "book_id string, seq long, url string, html string")
+    assert [r["seq"] for r in extract.articles(rows).orderBy("seq").collect()] == [1, 4]
+    linked = extract.articles(rows, extract.ExtractionOptions(strip_links=False)).where("seq = 4").first()
+    assert 'href="https://h/k"' in linked["content_html"]
+
+
+def test_profile_and_key(spark):
+    h = "<h2>a</h2><pre><code>x</code></pre><img><table></table><ul><ol></ol></ul><blockquote></blockquote><preface><H5>"
+    m = metadata.content_metadata(articles(spark, [("z", h), ("y", "x" * 10001)]))
+    r = m.first().asDict()
+    assert (r["code_block_count"], r["image_count"], r["table_count"], r["list_count"], r["blockquote_count"], r["heading_depth"], r["has_long_articles"], r["article_titles"]) == (2, 1, 1, 2, 1, 5, True, ["z", "y"])
+    assert r["avg_article_length"] == int((len(h) + 10001) / 2 + 0.5)
+    key = m.select(metadata.cache_key(F.lit("gemini"), F.lit("m"))).first()[0]
+    assert len(key) == 16
+
+
+def test_book_documents_and_files(spark, tmp_path):
+    kept = articles(spark, [("A & <b>", WORDS), ("Second", "<p>x<br><br><br>y&nbsp;z<img src=q></p><p> </p>")])
+    b = assemble.books(kept).first()
+    assert '<a href="#chapter-0"><span class="toc-item-number">1.</span> A &amp; &lt;b&gt;</a>' in b["toc"] and '<div class="chapter" id="chapter-1"><h1>Second</h1>\n' in b["chapters"]
+    assert "<style>\nq{}\n</style>" in assemble.books(kept, "q{}").first()["master_html"]
+    assert sinks.write_epub(kept, str(tmp_path / "deep/book.epub")) == 2
+    with zipfile.ZipFile(tmp_path / "deep/book.epub") as z:
+        assert z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip"
+        import xml.dom.minidom as dom
+
+        for n in z.namelist()[1:]:
+            dom.parseString(z.read(n))
+        assert "<p>x<br/><br/>y" in z.read("OEBPS/chapter-2.xhtml").decode()
+    assert assemble.epub_bytes("t", [("a", "b")]) == assemble.epub_bytes("t", [("a", "b")])
+    with pytest.raises(ValueError):
+        assemble.epub_bytes("", [("a", "b")])
+    with pytest.raises(ValueError):
+        sinks.write_epub(kept.where("seq > 9"), "x.epub")
+    seen = []
+    sinks.write_document(kept, str(tmp_path / "b.pdf"), render=lambda html, to: seen.append((html[:15], to.name)))
+    assert seen == [("<!DOCTYPE html>", "b.pdf")]
+    assert [sinks.with_extension(p, "epub") for p in ("a", "a.pdf", "a.epub", "a.EPUB")] == ["a.epub", "a.epub", "a.epub", "a.epub"]
+    sinks.write_books(kept, str(tmp_path / "books"))
+    assert zipfile.ZipFile(io.BytesIO(bytes(spark.read.parquet(str(tmp_path / "books")).first()["epub"]))).testzip() is None
+
+
+def test_layouts_are_cached(spark, tmp_path):
+    css = "body{a:b} .toc{a:b} .chapter{a:b} h1{a:b} h2{a:b}" + "p{margin:0 auto;padding:0}" * 3
+    calls = []
+    designer = lambda request: calls.append(request) or f"```css\n{css}\n```"
+    kept, cache = articles(spark, [("t", WORDS)]), layout.SheetCache(tmp_path / "c")
+    assert layout.layout(kept, designer, cache=cache) == css == layout.layout(kept, designer, cache=cache)
+    assert len(calls) == 1 and layout.layout(kept, lambda r: "nope") is None and layout.layout(kept, lambda r: None) is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    rows = [(1, "https://h.com/start", '<html><body><a href="/post/a">a</a><a href="/post/b">b</a><a href="/post/c">c</a></body></html>'), (2, "https://h.com/post/a", page(WORDS, "Alpha")), (3, "https://h.com/post/b", page("<p>short</p>", "Beta"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    base = ["-u", "https://h.com/start", "-p", str(tmp_path / "pages")]
+    assert cli.main([*base, "-o", str(tmp_path / "x"), "-f", "EPUB"], spark) == 0
+    assert (tmp_path / "x.epub").exists() and "Beta" in capsys.readouterr().err
+    assert cli.main([*base, "-o", str(tmp_path / "y.pdf")], spark) == 0 and "Alpha" in (tmp_path / "y.html").read_text()
+    assert cli.main(["-u", "https://h.com/post/a", "-p", str(tmp_path / "pages"), "-o", "z.pdf"], spark) == 0  # nothing linked
+    for bad in (["-f", "doc"], ["-m", "0"], ["-m", "x"], ["-l", "odd"], ["--ai-provider", "p"], ["--lazy-load-timeout", "-1"]):
+        assert cli.main([*base, "-o", "z", *bad], spark) == 1
+    assert cli.validated(cli.parser().parse_args([*base, "-o", "z", "-m", "10abc"])).max == 10
+
+
+def test_streams(spark, tmp_path):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("b", i, ["h0", "h1", "h0", "h0"][i], True, t, f"text {i % 2}") for i in range(4)]
+    schema = "book_id string, seq long, content_hash string, filled boolean, ts timestamp, plain string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode="append"):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert {r["seq"]: r["duplicate"] for r in run(streams.capped_duplicates(source, 3), "capped")} == {0: False, 1: False, 2: True, 3: False}
+    assert len(run(streams.without_duplicates(source.drop("content_hash")), "once")) == 2
+    assert run(streams.activity(source), "quiet", "complete")[0]["stable"]
+    batch = spark.createDataFrame([(1, t + dt.timedelta(seconds=s)) for s in (0, 0.5, 1, 3)], "k int, ts timestamp")
+    assert [r["recent"] for r in streams.stability(batch, "k", 1, 2).orderBy("ts").collect()] == [1, 2, 3, 1]
+
+
+def test_whole_book(spark):
+    rows = [(1, "https://h.com/start", '<body><a href="/post/a">a</a><a href="/post/b">b</a></body>'), (2, "https://h.com/post/a", page(WORDS, "Alpha")), (3, "https://h.com/post/b", page(WORDS + "more", "Beta"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = captured.with_book(pages.where("page_id = 1")).select("book_id", "url")
+    assert book.books(pages, seeds).first()["master_html"].count('class="chapter"') == 2
+    assert book.classified_articles(pages, seeds, book.BookOptions(max_articles=1)).count() == 1
+    assert captured.lookup(pages, "https://h.com/start").count() == 1
+    assert captured.allowed_requests(spark.createDataFrame([("https://x/y", "xhr"), ("https://x/ads", "xhr")], "url string, resource_type string")).count() == 1
