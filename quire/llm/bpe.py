@@ -48,7 +48,7 @@ class WordBpe:
     #: The file's pattern of words.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 400_000, specials: bool = True):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -56,7 +56,7 @@ class WordBpe:
         self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.on_special = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special else None
+        self.on_special = regex.compile("|".join(f"({regex.escape(t)})" for t in self.special)) if self.special and specials else None
         self.words = regex.compile(self.PATTERN)
         self.letters = _byte_letters()
         self.vocab: dict[str, int] = model["vocab"]
@@ -281,9 +281,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
-    """One per worker process."""
-    return WordBpe(path)
+def encoder(path: str, specials: bool = True) -> WordBpe:
+    """One per worker process; without specials their strings in a text are ordinary text."""
+    return WordBpe(path, specials=specials)
 
 
 def encode(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, langid, maxscore, mixing, quality, repeats, simhash, toxicity
+from quire.llm import bpe, chroma, langid, maxscore, mixing, quality, repeats, simhash, token_counts, toxicity
 from quire.llm.common import in_training_fold, table
 
 
+#: Id of the end-of-document token in the vocabulary below.
+EOD = 49407
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -33,6 +37,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(langid.identify(docs, langid.learn(docs)), 5, 0)
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes taken as 8-bit sound: fingerprints of all, each twentieth aligned with all."""
+    media = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("audio"))
+    return chroma.search(chroma.fingerprints(media)).withColumnRenamed("rec_id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document's toxicity."""
     docs = table(spark, sf_dir, "documents")
@@ -45,6 +55,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels"))), 4, 2, quality.THRESHOLD)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every document's tokens, counted in flat token shards by a separator scan."""
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), path or tokenizer_path(), EOD)
+
+
 def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best matches of every twentieth vector among all."""
     return maxscore.top_k(table(spark, sf_dir, "embeddings"))
@@ -66,7 +81,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_langid, op3_simhash, op5_toxicity, op6_bpe, op7_mixing, op8_quality, op10_maxscore)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_langid, op3_simhash, op4_chroma, op5_toxicity, op6_bpe, op7_mixing, op8_quality, op9_token_counts, op10_maxscore)}
 
 #: For DuckDB; an operator without an entry is tested against a brute-force version.
 ORACLES: dict[str, str] = {
