@@ -1,11 +1,77 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, mixing, token ids."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, mixing, token ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+back as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, common, langid, mixing, repeats, simhash
+from quire.llm.queries import tokenizer_path
+
+
+def _stage(work):
+    """A stage first drops the temporary tables of those before it, whose results are written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not any("/quire-" in f for f in docs.inputFiles()):
+            common.release(spark)
+        return work(spark, docs, sf_dir)
+
+    return run
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letter, or no language scores enough."""
+    return langid.reject_unknown(docs, langid.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that occur elsewhere out of every text; n_chars follows the text."""
+    return repeats.cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as many times as its source's weight asks for."""
+    return mixing.apply_mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and a digest of what they decode to."""
+    rows = bpe.encode(docs, tokenizer_path(), with_text=True)
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", _stage(language)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("repeated_passages", _stage(repeated_passages)),
+    ("mixing", _stage(mixture)),
+    ("token_ids", _stage(token_ids)),
+]
+
+#: SQL can't express the learnt model, the suffix arrays or the tokenizer; tests hold run() against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the results of all but the last are written to the shared folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
