@@ -3,7 +3,8 @@
 Every document gets the fractional number of copies that takes its source to its target. Pairs of
 documents then exchange mass, measured in words, in a random direction until one of the two holds a
 whole number; what is left of a bucket is one document, and the buckets' leftovers meet in a
-reduction tree. So a source's words differ from its target by less than one document's size.
+reduction tree. So a source's words differ from its target by less than one document's size; a source
+of one bucket, where one document may be much of it, swaps small ones to come nearer.
 """
 
 from __future__ import annotations
@@ -72,6 +73,14 @@ def pivot(sizes: list[float], probs: list[float], rng: np.random.Generator) -> t
     return bits, held, p
 
 
+def mend(sizes: list[float], bits: list[int], free: list[bool], off: float) -> None:
+    """Swaps bits of free documents, the large first, while that brings the sum, which is off by `off` words, nearer."""
+    for i in sorted((i for i, f in enumerate(free) if f and sizes[i] > 0), key=lambda i: (-sizes[i], i)):
+        change = sizes[i] if bits[i] == 0 else -sizes[i]
+        if abs(off + change) < abs(off):
+            bits[i], off = 1 - bits[i], off + change
+
+
 def _rng(*key: int) -> np.random.Generator:
     return np.random.default_rng([SEED, *(int(k) & 0xFFFFFFFF for k in key)])
 
@@ -82,7 +91,12 @@ def _first(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     mass = pdf["frac"].to_numpy() * pdf["n"].to_numpy()
     whole = np.floor(mass + 1e-12)
-    bits, held, p = pivot(pdf["size"].astype(float).tolist(), np.clip(mass - whole, 0, 1).tolist(), _rng(pdf["sid"][0], pdf["bucket"][0]))
+    sizes, probs, rng = pdf["size"].astype(float).tolist(), np.clip(mass - whole, 0, 1).tolist(), _rng(pdf["sid"][0], pdf["bucket"][0])
+    bits, held, p = pivot(sizes, probs, rng)
+    if held >= 0 and pdf["only"][0]:  # a source of one bucket ends here, and others make up for its last document
+        bits[held] = int(rng.random() < p)
+        mend(sizes, bits, [i != held and 0 < q < 1 for i, q in enumerate(probs)], (bits[held] - p) * sizes[held])
+        held = -1
     pdf["extra"] = whole.astype("int64") + np.array(bits, dtype="int64")
     left = np.full(len(pdf), np.nan)
     if held >= 0:
@@ -133,8 +147,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, bucket_rows: in
     dealt = classes.join(sources.withColumnRenamed("source", "source_"), F.col("source_").eqNullSafe(F.col("source"))).drop("source_")
     dealt = dealt.withColumn("base", F.floor(rate)).withColumn("frac", rate - F.floor(rate)).withColumn("order", F.xxhash64("doc_id", "size"))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(SEED)), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows))).cast("long"))
+    dealt = dealt.withColumn("only", F.col("rows") <= bucket_rows)
     first = staged(
-        dealt.select("sid", "bucket", "doc_id", "size", "n", "frac", "order").groupBy("sid", "bucket").applyInPandas(_first, "sid int, bucket long, doc_id long, size long, n long, extra long, left double"),
+        dealt.select("sid", "bucket", "doc_id", "size", "n", "frac", "order", "only").groupBy("sid", "bucket").applyInPandas(_first, "sid int, bucket long, doc_id long, size long, n long, extra long, left double"),
         "mix-level0",
     )
     left = first.where("left is not null and not isnan(left)").select("sid", "bucket", "size", "left")
