@@ -51,7 +51,7 @@ def pitch_frames(sound: np.ndarray) -> np.ndarray:
     for at in range(0, len(frames), 2048):
         some = frames[at : at + 2048]
         spectrum = np.fft.rfft((some - some.mean(1, keepdims=True)) * _WINDOW, axis=1)
-        out[at : at + 2048] = np.log1p(np.abs(spectrum).astype(np.float32)) @ _PITCH
+        out[at : at + 2048] = np.abs(spectrum).astype(np.float32) @ _PITCH
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.maximum(norm, 1e-6)
 
@@ -84,7 +84,7 @@ def fingerprint(sound: np.ndarray) -> np.ndarray:
             third = max(1, wide // 3)
             a, b = 2 * box(third, wide - third, p, q), box(0, third, p, q) + box(wide - third, wide, p, q)
         change = np.log((1 + a) / (1 + b))
-        level = (change > -0.05).astype(np.uint32) + (change > 0) + (change > 0.05)
+        level = (change > -0.2).astype(np.uint32) + (change > 0) + (change > 0.2)
         out |= (level ^ (level >> 1)) << np.uint32(2 * k)
     return out
 
