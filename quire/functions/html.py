@@ -32,6 +32,8 @@ NON_CONTENT = (
 )
 # Where the next page's address may stand, in order; lazy images' attributes; styles of code.
 NEXT_PAGE = ("a.next", 'a[rel="next"]', 'a[aria-label*="next" i]', "a.pagination__next", "a.pagination-next", 'a[class*="next" i]', 'link[rel="next"]', ".pagination a:last-child")
+LOAD_MORE_CONTROLS = ('[data-action="load-more"]', ".load-more", ".show-more", "button.expand", "button", "a[href]", '[role="button"]')
+CONTENT_ROOTS = ("article", "main", '[role="main"]', ".content")
 LAZY_SOURCES = ("data-src", "data-lazy-src", "data-original", "data-lazy")
 PRE_STYLE = "; white-space: pre-wrap; font-family: monospace;"
 CODE_STYLE = "; white-space: pre; font-family: monospace;"
@@ -182,7 +184,7 @@ def inner_html(node: Node) -> str:
 
 
 # -- selectors ---------------------------------------------------------------------------------
-_PART = re.compile(r"""^(?P<tag>[a-z0-9]+)?(?P<simple>(?:[.#][\w-]+)*)(?:\[(?P<name>[\w-]+)(?P<how>[*]?=)"(?P<value>[^"]*)"(?P<fold>\ i)?\])?(?P<last>:last-child)?(?::not\(\.(?P<under>[\w-]+)\ (?P=tag)\))?$""", re.X)
+_PART = re.compile(r"""^(?P<tag>[a-z0-9]+)?(?P<simple>(?:[.#][\w-]+)*)(?:\[(?P<name>[\w-]+)(?:(?P<how>[*]?=)"(?P<value>[^"]*)"(?P<fold>\ i)?)?\])?(?P<last>:last-child)?(?::not\(\.(?P<under>[\w-]+)\ (?P=tag)\))?$""", re.X)
 
 
 def selector(text: str):
@@ -205,6 +207,8 @@ def selector(text: str):
             v, want = a.get(m["name"]), m["value"]
             if v is None:
                 return False
+            if want is None:
+                want = v
             if m["fold"]:
                 v, want = v.lower(), want.lower()
             if (want not in v) if m["how"] == "*=" else (v != want):
@@ -220,6 +224,8 @@ def selector(text: str):
 
 _NON_CONTENT = [selector(s) for s in NON_CONTENT]
 _NEXT = [selector(s) for s in NEXT_PAGE]
+_CONTROLS = [selector(s) for s in LOAD_MORE_CONTROLS]
+_ROOTS = [selector(s) for s in CONTENT_ROOTS]
 
 
 # -- edits, in place ------------------------------------------------------------------------------
@@ -337,6 +343,18 @@ def next_page(root: Node, base: str) -> str | None:
     return None
 
 
+def load_more_target(root: Node) -> str | None:
+    """Label of the control that would be clicked for more content: in content roots, else the body, by kind of control, safe links only."""
+    for place in [n for n in root.walk() if any(f(n) for f in _ROOTS)] or [body(root)]:
+        for fits in _CONTROLS:
+            for e in place.walk():
+                label = collapse(e.text()) if fits(e) else ""
+                unsafe = e.tag == "a" and re.match(r"(?i)(javascript|data|vbscript):", e.attrs.get("href", "").strip())
+                if 0 < len(label) <= 80 and not unsafe and re.search(r"(?ai)\b(load more|show more|show all|expand|see more|view all)\b", label):
+                    return label
+    return None
+
+
 _LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 _UNLIKELY = re.compile(r"combx|contact|foot|masthead|media|meta|promo|shopping|tool|widget|menu|banner|breadcrumb|pager|pagination", re.I)
 _START = {"article": 25, "main": 20, "section": 8, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "address": -3} | {f"h{i}": -5 for i in range(1, 7)}

@@ -116,3 +116,12 @@ def link_share(fragment: Column, text: Column) -> Column:
         return pd.Series([x or 0.0 for x in _guarded(one, h, t)])
 
     return F.pandas_udf(run, "double")(fragment, text)
+
+
+def load_more_target(page: Column) -> Column:
+    """Label of the control a live page would be asked to load more with; null if there is none."""
+
+    def run(h: pd.Series) -> pd.Series:
+        return pd.Series(_guarded(lambda x: html.load_more_target(html.parse(x)), h), dtype=object)
+
+    return F.pandas_udf(run, "string")(page)

@@ -120,14 +120,20 @@ def decisions(replies: DataFrame) -> DataFrame:
 def judged(articles: DataFrame, judge: Callable[[str], str | None], size: int = BATCH, options: FilterOptions = FilterOptions()) -> DataFrame:
     """classify() by a judge: it gets a prompt per batch and returns a reply.
 
-    A batch whose reply is invalid goes by the rules, for itself alone; a valid reply replaces the rules.
+    A batch whose judge fails or whose reply is invalid goes by the rules, for itself alone; a valid reply replaces the rules.
     The judge is called in tasks, one batch at a time.
     """
     lines = prompt_lines(articles, size)
     asked = lines.groupBy("book_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
 
+    def answer(prompt: str) -> str | None:
+        try:
+            return judge(prompt)
+        except Exception:  # whatever an injected judge fails with, the rules take over
+            return None
+
     def ask(some: pd.Series) -> pd.Series:
-        return pd.Series([judge(build_prompt(list(x))) for x in some], dtype=object)
+        return pd.Series([answer(build_prompt(list(x))) for x in some], dtype=object)
 
     replies = asked.withColumn("raw", F.pandas_udf(ask, "string")("lines")).withColumn("expected", F.size("lines"))
     verdicts = decisions(replies).select("book_id", "batch", F.posexplode_outer("decisions").alias("pos", "decision"))

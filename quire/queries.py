@@ -367,6 +367,11 @@ for _name, _edit_name, _based in (("pruned_html", "prune", False), ("stripped_li
     QUERIES[_name] = _edit(_edit_name, _based)
 
 
+@query()
+def load_more_targets(spark, d):
+    return _pages(spark, d).select("page_id", extract.load_more_target(F.col("html")).alias("label"))
+
+
 @query()
 def absolute_urls(spark, d):
     return _articles(spark, d).select(F.col("seq").alias("page_id"), extract.absolute(F.col("content_html"), F.col("url")).alias("html"))

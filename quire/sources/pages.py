@@ -41,3 +41,8 @@ def flat_articles(pages: DataFrame) -> DataFrame:
     title = text.unescape(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1))
     content = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
     return with_book(pages).select("book_id", "seq", "url", title.alias("title"), content.alias("content_html"), text.flat_text(content).alias("plain"))
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files, in any store Spark reads."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

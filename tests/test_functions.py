@@ -114,6 +114,13 @@ def test_next_page_in_order_of_priority():
     assert find('<button aria-label="Next">x</button>') is None
 
 
+def test_load_more_target():
+    find = lambda page: html.load_more_target(html.parse(page))
+    assert find('<button>Load more</button><main><a href="javascript:x">show all</a><a href="/y">View  all posts</a><p>see more</p></main>') == "View all posts"
+    assert find('<div role="button">Expand</div><a>show more</a>') == "Expand"
+    assert find("<article>x</article><button>Load more</button>") is None
+
+
 def test_readable_article():
     body = "".join(f"<p>Sentence number {i}, which says something, at some length, about the matter.</p>" for i in range(8))
     page = f'<html lang="en"><head><title>A long story | Site</title><meta name="author" content="A. Writer"><meta property="og:site_name" content="Site"></head><body><nav>menu</nav><div class="links">{"<a href=/x>link text here</a>" * 30}</div><div id="content" dir="ltr">{body}<a href="/y">z</a></div></body></html>'

@@ -72,6 +72,11 @@ def test_judge_by_batch_with_rules_as_fallback(spark):
     assert got == {i: "no" if i == 1 else text.DUPLICATE if i > 21 else None for i in range(1, 24)}
 
 
+def test_failing_judge_leaves_the_rules(spark):
+    got = filtering.judged(articles(spark, [("t", WORDS), ("404", WORDS + "x")]), lambda prompt: 1 / 0).collect()
+    assert {r["seq"]: r["reason"] for r in got} == {1: None, 2: text.ERROR_PAGE}
+
+
 def test_discovery_over_a_chain(spark):
     nav = lambda n: f'<a href="/p{n}/x{n}#s">x</a><a href="/tag/t">t</a><a href="/p{n}/x{n}">x</a><a href="/post/shared">s</a>' + (f'<a class="next" href="/list{n + 1}">Next</a>' if n < 7 else '<a class="next" href="/list1">Next</a>')
     rows = [(n, f"https://h.com/list{n}", f"<html><body>{nav(n)}</body></html>") for n in range(1, 8)]
