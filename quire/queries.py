@@ -221,12 +221,12 @@ def prompt_lines(spark, d):
 _REPLY = "CASE conv_id % 4 WHEN 0 THEN '[{\"include\": true}]' WHEN 1 THEN '```json\\n[{\"include\": false, \"reason\": \"thin\"}]\\n```' WHEN 2 THEN '[{\"include\": \"yes\"}]' ELSE 'none' END"
 
 
-@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS include, CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'thin' END AS reason FROM conversations")
+@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS include, CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'thin' END AS reason FROM conversations")
 def parse_decisions(spark, d):
     """Replies of four kinds: bare, fenced, not boolean, not JSON."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.expr(_REPLY).alias("raw"), F.lit(1).alias("expected"))
     got = filtering.decisions(rows)
-    return got.select("conv_id", "turn", F.col("decisions")[0]["include"].alias("include"), F.col("decisions")[0]["reason"].alias("reason"))
+    return got.select("conv_id", "turn", F.col("decisions")[0]["include"].cast("string").alias("include"), F.col("decisions")[0]["reason"].alias("reason"))
 
 
 def _stub(prompt: str) -> str:
