@@ -33,22 +33,31 @@ def with_plain(articles: DataFrame) -> DataFrame:
 
 
 def classify(articles: DataFrame, options: FilterOptions = FilterOptions(), flat: bool = False) -> DataFrame:
-    """articles(book_id, seq, url, title, content_html) with plain, n (1-based place in the book), content_hash, reason (null: kept).
+    """articles(book_id, seq, url, title, content_html) with plain, content_hash, reason (null: kept).
 
     The first articles of a book are compared with those before them, omitted ones included; a duplicate
-    is named as such before any rule. flat: link shares by native expressions, for fragments without nesting.
+    is named as such before any rule. Only hashes are numbered, and no more than the cap of a book leave a
+    task, so a book of any size never gathers; the few duplicates found are joined back.
+    flat: link shares by native expressions, for fragments without nesting.
     """
-    rows = with_plain(articles).withColumn("n", F.row_number().over(Window.partitionBy("book_id").orderBy("seq")).cast("long"))
-    rows = rows.withColumn("content_hash", text.content_hash(F.col("plain")))
-    compared = (F.col("n") <= options.dedup_cap) & (F.length("plain") > 0)
-    first = F.min(F.when(compared, F.col("n"))).over(Window.partitionBy("book_id", "content_hash"))
-    rows = rows.withColumn("_first", first).withColumn("title", text.titled(F.col("title")))
-    share = None if flat else extract.link_share(F.col("content_html"), F.col("plain"))
-    if share is not None and options.ratio_check:
-        rows = rows.withColumn("_share", share)
-    rule = text.rule_reason(F.col("title"), F.col("plain"), F.col("content_html"), options.min_length, options.pattern_check, options.ratio_check, F.col("_share") if share is not None and options.ratio_check else None)
-    reason = F.when(compared & (F.col("n") > F.col("_first")), F.lit(text.DUPLICATE)).otherwise(rule)
-    return rows.withColumn("reason", reason).drop("_first", "_share")
+    rows = with_plain(articles)
+    rows = rows.withColumn("content_hash", text.content_hash(F.col("plain"))).withColumn("title", text.titled(F.col("title")))
+    share = None
+    if options.ratio_check and not flat:
+        share = F.col("_share")
+        rows = rows.withColumn("_share", extract.link_share(F.col("content_html"), F.col("plain")))
+    rule = text.rule_reason(F.col("title"), F.col("plain"), F.col("content_html"), options.min_length, options.pattern_check, options.ratio_check, share)
+    again = duplicates(rows, options.dedup_cap).select(F.col("book_id").alias("_book"), F.col("seq").alias("_seq"), F.lit(True).alias("_again"))
+    rows = rows.join(again, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("seq").eqNullSafe(F.col("_seq")), "left")
+    return rows.withColumn("reason", F.when(F.col("_again"), F.lit(text.DUPLICATE)).otherwise(rule)).drop("_book", "_seq", "_again", "_share")
+
+
+def duplicates(rows: DataFrame, cap: int = DEDUP_CAP) -> DataFrame:
+    """(book_id, seq) of articles among the first `cap` of a book whose text an earlier one of them has; empty texts are never compared."""
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("seq"))
+    head = rows.select("book_id", "seq", "content_hash", (F.length("plain") > 0).alias("filled")).withColumn("n", place).where(F.col("n") <= cap)
+    first = F.min("n").over(Window.partitionBy("book_id", "content_hash"))
+    return head.where("filled").withColumn("first", first).where("n > first").select("book_id", "seq").distinct()
 
 
 def kept(classified: DataFrame) -> DataFrame:
@@ -142,6 +151,6 @@ def judged(articles: DataFrame, judge: Callable[[str], str | None], size: int =
     valid = verdicts.where("decision is not null").select("book_id", "batch", F.col("pos").cast("long").alias("pos"), "decision")
     decided = rows.join(valid, ["book_id", "batch", "pos"]).withColumn("reason", F.when(~F.col("decision.include"), F.col("decision.reason"))).select(*names, "reason")
     failed = rows.join(verdicts.where("decision is null").select("book_id", "batch"), ["book_id", "batch"], "left_semi")
-    apart = failed.withColumn("_book", F.col("book_id")).withColumn("book_id", F.concat_ws(" ", "book_id", "batch"))
-    ruled = classify(apart, options).withColumn("book_id", F.col("_book")).select(*names, "reason")
+    apart = failed.withColumn("_whole", F.col("book_id")).withColumn("book_id", F.concat_ws(" ", "book_id", "batch"))
+    ruled = classify(apart, options).withColumn("book_id", F.col("_whole")).select(*names, "reason")
     return decided.unionByName(ruled)

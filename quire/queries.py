@@ -169,9 +169,9 @@ def lookup_page(spark, d):
 
 
 # -- filtering ---------------------------------------------------------------------------------
-@query(_BASE + "SELECT book_id, seq, n, title, length(plain)::BIGINT AS n_chars, content_hash, reason FROM e")
+@query(_BASE + "SELECT book_id, seq, title, length(plain)::BIGINT AS n_chars, content_hash, reason FROM e")
 def rule_filter(spark, d):
-    return _classified(spark, d).select("book_id", "seq", "n", "title", F.length("plain").cast("long").alias("n_chars"), "content_hash", "reason")
+    return _classified(spark, d).select("book_id", "seq", "title", F.length("plain").cast("long").alias("n_chars"), "content_hash", "reason")
 
 
 @query(_BASE + "SELECT book_id, seq, chapter, url, title FROM k")
@@ -199,13 +199,13 @@ q AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n, sha2
 r AS (SELECT *, min(CASE WHEN n <= 100 AND length(plain) > 0 THEN n END) OVER (PARTITION BY book_id, h) AS first FROM q) """
 
 
-@query(_DOCS + "SELECT book_id, seq, n, coalesce(n <= 100 AND length(plain) > 0 AND n > first, false) AS duplicate, length(plain) < 100 AS short FROM r")
+@query(_DOCS + "SELECT book_id, seq, coalesce(n <= 100 AND length(plain) > 0 AND n > first, false) AS duplicate, length(plain) < 100 AS short FROM r")
 def dedup_first100(spark, d):
     """Documents as articles, a book per source: capped duplicates and the length rule."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     rows = docs.select(F.coalesce("source", F.lit("")).alias("book_id"), F.col("doc_id").alias("seq"), text.collapse(F.coalesce("text", F.lit(""))).alias("plain"), F.lit("").alias("title"), F.lit("").alias("content_html"))
     rows = filtering.classify(rows, filtering.FilterOptions(0, False, False), flat=True)
-    return rows.select("book_id", "seq", "n", F.col("reason").isNotNull().alias("duplicate"), (F.length("plain") < 100).alias("short"))
+    return rows.select("book_id", "seq", F.col("reason").isNotNull().alias("duplicate"), (F.length("plain") < 100).alias("short"))
 
 
 @query(_BASE + "SELECT book_id, seq, (n - 1) // 10 AS batch, (n - 1) % 10 AS pos FROM c")
