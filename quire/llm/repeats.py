@@ -365,7 +365,8 @@ def _live(rows: DataFrame, name: str) -> DataFrame:
     keys = staged(keys, f"{name}-keys")
     places = rows.join(keys, "key").groupBy("key", "n", "ctx", "tid", "c", "s").agg(F.min("rid").alias("rid")).withColumn("place", place)
     places = staged(places, f"{name}-places")
-    contexts = places.groupBy("key", "ctx").agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("shared"))
+    # a table of its own, so that the join below shuffles both sides for itself and Spark can split a hot context
+    contexts = staged(places.groupBy("key", "ctx").agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("shared")), f"{name}-contexts")
     return staged(places.join(contexts, ["key", "ctx"]).select("key", "n", "rid", "tid", "c", "s", "shared", (F.col("place") == F.col("first")).alias("stands")), f"{name}-live")
 
 
