@@ -21,6 +21,7 @@ def _stage(work):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not any("/quire-" in f for f in docs.inputFiles()):
             common.release(spark)
+        common.small_batches(spark)
         return work(spark, docs, sf_dir)
 
     return run
