@@ -107,13 +107,21 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tup
     """At most per_language labelled training texts of each language, those whose hashed ids come first; no other rows are learnt from."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold(5, 0)).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")).alias("h"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = rows.select("lang", "h").withColumn("n", place).where(F.col("n") <= per_language).select("lang", "h").distinct()
+    first = rows.select("lang", "h").distinct().withColumn("n", place).where(F.col("n") <= per_language)
+    cuts = [(r["lang"], r["h"]) for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()]
+    if len(cuts) <= 256:  # a filter of a known size: no text is shuffled to be chosen
+        chosen = F.lit(False)
+        for lang, h in cuts:
+            chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
+        picked = rows.where(chosen)
+    else:
+        picked = rows.join(first.select("lang", "h"), ["lang", "h"], "left_semi")
 
     def run(batches):
         for b in pieces(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(presence(t)).tobytes() for t in texts(b.column(1))], pa.binary())], ["lang", "bits"])
 
-    got = rows.join(first, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text").mapInArrow(run, "lang string, bits binary").collect()
+    got = picked.dropDuplicates(["lang", "h"]).select("lang", "text").mapInArrow(run, "lang string, bits binary").collect()
     return [(r["lang"], np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)) for r in got]
 
 
