@@ -25,7 +25,7 @@ LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Below this score a text has no language as far as filtering goes.
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.3
 
 #: ASCII letters lower-cased, other bytes of letters kept, all else blank.
 _FOLD = np.full(256, 32, np.uint8)
