@@ -40,9 +40,9 @@ def trim_all(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """The entities of flat fragments; the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
+    """The entities of flat fragments, with or without their semicolon as in browsers; the ampersand last."""
+    for name, char in (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#039", "'"), ("&copy", "©"), ("&middot", "·"), ("&nbsp", "\u00a0"), ("&amp", "&")):
+        c = _gsub(c, f"{name};?", char)
     return c
 
 

@@ -38,8 +38,8 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 # -- pieces of SQL -----------------------------------------------------------------------------
 def _read(x: str) -> str:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
+    for name, char in (("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#039", "''"), ("&copy", "©"), ("&middot", "·"), ("&nbsp", "\u00a0"), ("&amp", "&")):
+        x = f"regexp_replace({x}, '{name};?', '{char}', 'g')"
     return x
 
 
