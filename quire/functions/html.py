@@ -161,7 +161,7 @@ def body(root: Node) -> Node:
 
 
 def _attr(v: str) -> str:
-    return v.replace("&", "&amp;").replace(" ", "&nbsp;").replace('"', "&quot;")
+    return v.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace('"', "&quot;")
 
 
 def inner_html(node: Node) -> str:
@@ -179,7 +179,7 @@ def inner_html(node: Node) -> str:
                 todo.append(("out", k.tag, ""))
                 todo += [("in", x, k.tag) for x in reversed(k.kids)]
         else:
-            out.append(k if over in ("script", "style", "noscript", "iframe", "xmp") else k.replace("&", "&amp;").replace(" ", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
+            out.append(k if over in ("script", "style", "noscript", "iframe", "xmp") else k.replace("&", "&amp;").replace("\u00a0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
     return "".join(out)
 
 
@@ -305,13 +305,13 @@ def absolutise(root: Node, base: str) -> None:
 
 
 # As browsers count white space.
-_SPACE = r"[\s ﻿]"
+_SPACE = r"[\s\u00a0\ufeff]"
 
 
 def tidy(html: str) -> str:
     for pattern, new in ((rf"\n{_SPACE}*\n{_SPACE}*\n", "\n\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " ")):
         html = re.sub(pattern, new, html)
-    return html.strip().strip("﻿")
+    return html.strip().strip("\ufeff")
 
 
 def absolute_html(html: str, base: str) -> str:
