@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces, staged
+from quire.llm.common import discard, pieces, staged
 
 LENGTH = 400
 ANCHOR = 128
@@ -367,7 +367,9 @@ def _live(rows: DataFrame, name: str) -> DataFrame:
     places = staged(places, f"{name}-places")
     # a table of its own, so that the join below shuffles both sides for itself and Spark can split a hot context
     contexts = staged(places.groupBy("key", "ctx").agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("shared")), f"{name}-contexts")
-    return staged(places.join(contexts, ["key", "ctx"]).select("key", "n", "rid", "tid", "c", "s", "shared", (F.col("place") == F.col("first")).alias("stands")), f"{name}-live")
+    live = staged(places.join(contexts, ["key", "ctx"]).select("key", "n", "rid", "tid", "c", "s", "shared", (F.col("place") == F.col("first")).alias("stands")), f"{name}-live")
+    discard(rows, keys, places, contexts)
+    return live
 
 
 def _merge(length: int):
