@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, common, langid, mixing, repeats, simhash
+from quire.llm import bpe, common, langid, mixing, nearcopies, repeats
 from quire.llm.queries import tokenizer_path
 
 
@@ -33,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near-duplicates, texts of which 0.8 of the five-word shingles agree."""
+    return nearcopies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
