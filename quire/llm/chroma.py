@@ -162,8 +162,8 @@ def search(prints: DataFrame, every: int = 20, block_frames: int = BLOCK_FRAMES)
 
     A link is another recording that aligns: enough shared keys at one offset, few differing bits over an
     overlap of enough frames. best is the link with least error, then least id. Each task sums its links by
-    query, so what is sent on is at most a row per query and task. Queries without links have n_links 0;
-    sound of fewer than LEAST_OVERLAP frames has none. Null ids are no queries but may be found.
+    query, so what is sent on is at most a row per query and task. Equal fingerprints of any length, but the
+    empty one, are links at offset 0. Queries without links have n_links 0. Null ids are no queries but may be found.
     """
     prints = staged(prints, "prints")
     wanted = prints.where(F.col("rec_id") % every == 0)
@@ -182,7 +182,7 @@ def search(prints: DataFrame, every: int = 20, block_frames: int = BLOCK_FRAMES)
                 ids = b.column(0).to_pylist()
                 for rs, qs, offsets in index.candidates(recs):
                     for r, q, o in zip(rs.tolist(), qs.tolist(), offsets.tolist(), strict=True):
-                        if ids[r] == names[q]:
+                        if ids[r] == names[q] or (len(recs[r]) == len(data[q]) and np.array_equal(recs[r], data[q])):
                             continue
                         error, n = bit_error(recs[r], data[q], o)
                         if error <= MOST_ERROR and n >= max(LEAST_OVERLAP, LEAST_SHARE * min(len(recs[r]), len(data[q]))):
@@ -199,13 +199,24 @@ def search(prints: DataFrame, every: int = 20, block_frames: int = BLOCK_FRAMES)
         out = found if out is None else out.unionByName(found)
     queries = wanted.select("rec_id", "n_frames")
     none = F.lit(0).cast("long")
-    if out is None:
-        return queries.select("rec_id", "n_frames", none.alias("n_links"), *(F.lit(None).cast(t).alias(c) for c, t in (("best_id", "long"), ("best_offset", "long"), ("best_error", "double"))))
+    same = _equal(prints, wanted)
+    out = same if out is None else out.unionByName(same)
     best = F.min(F.struct("error", F.col("id").isNull().alias("none"), "id", "offset"))
     links = staged(out.groupBy("rec_id").agg(F.sum("n").alias("n_links"), best.alias("b")), "links")
     return queries.join(links, "rec_id", "left").select("rec_id", "n_frames", F.coalesce("n_links", none).alias("n_links"), F.col("b.id").alias("best_id"), F.col("b.offset").alias("best_offset"), F.col("b.error").alias("best_error"))
 
 
+def _equal(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rec_id, n, id, offset, error): how many rows of other ids have a query's own fingerprint, and the least of their ids, null last; counted by fingerprint, never paired."""
+    ids = staged(prints.where("n_frames > 0").groupBy(F.sha2("fp", 256).alias("key"), "rec_id").agg(F.count("*").alias("n")), "equal")
+    who = F.struct(F.col("rec_id").isNull().alias("none"), F.col("rec_id").alias("id"))
+    tops = ids.groupBy("key").agg(F.sum("n").alias("total"), F.min(who).alias("a"), F.count("*").alias("size")).where("size > 1")
+    second = ids.join(tops.select("key", "a"), "key").where(~who.eqNullSafe(F.col("a"))).groupBy("key").agg(F.min(who).alias("b"))
+    own = wanted.groupBy("rec_id").agg(F.min("fp").alias("fp")).select("rec_id", F.sha2("fp", 256).alias("key")).join(ids, ["key", "rec_id"])
+    other = F.when(F.col("a.id").eqNullSafe(F.col("rec_id")), F.col("b.id")).otherwise(F.col("a.id"))
+    return own.join(tops, "key").join(second, "key").select("rec_id", (F.col("total") - F.col("n")).alias("n"), other.alias("id"), F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("error"))
+
+
 def _blocks(wanted: DataFrame, block_frames: int):
     """Queries' ids and fingerprints, a block on the driver at a time; equal ids are one query, of their first fingerprint."""
     names, data, frames = [], [], 0
