@@ -107,45 +107,94 @@ def fingerprints(media: DataFrame, key: str = "doc_id", column: str = "audio") -
     return media.select(F.col(key).cast("long"), F.col(column).cast("binary")).mapInArrow(run, "rec_id long, n_frames long, fp binary")
 
 
+def occurrences(prints: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """All pairs of neighbouring integers: (key, owner, start, count) of each distinct one of an owner, and frames, which starts and counts point into."""
+    keys_, owner, start, count, frames, at = [np.zeros(0, np.uint64)], [], [], [], [np.zeros(0, np.int64)], 0
+    for i, fp in enumerate(prints):
+        if len(fp) < 2:
+            continue
+        pair = fp[:-1].astype(np.uint64) << np.uint64(32) | fp[1:]
+        order = np.argsort(pair, kind="stable")
+        k, first, n = np.unique(pair[order], return_index=True, return_counts=True)
+        keys_.append(k)
+        owner.append(np.full(len(k), i))
+        start.append(first + at)
+        count.append(n)
+        frames.append(order)
+        at += len(order)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(keys_), *(np.concatenate(none + x) for x in (owner, start, count)), np.concatenate(frames)
+
+
 class Index:
-    """Queries' keys, sorted, each with query and frame."""
+    """Queries' distinct keys, sorted, each with query and all its frames."""
 
     def __init__(self, prints: list[np.ndarray]):
         self.prints = prints
-        found = [keys(f) for f in prints]
-        key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)])
+        key, query, start, count, self.frames = occurrences(prints)
         order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.query = np.repeat(np.arange(len(prints)), [len(k) for k, _ in found])[order]
-        self.frame = np.concatenate([np.zeros(0, np.int64), *(a for _, a in found)])[order]
+        self.key, self.query, self.start, self.count = key[order], query[order], start[order], count[order]
 
     def candidates(self, recordings: list[np.ndarray], most: int = 1 << 20):
-        """Yields (recording, query, offset) arrays: pairs with LEAST_HITS keys at one offset, the fullest offset of each pair."""
-        found = [keys(f) for f in recordings]
-        key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)])
-        rec = np.repeat(np.arange(len(recordings)), [len(k) for k, _ in found])
-        frame = np.concatenate([np.zeros(0, np.int64), *(a for _, a in found)])
+        """Yields (recording, query, offset) arrays: every offset at which LEAST_HITS pairs of occurrences of shared keys agree.
+
+        Votes are expanded in blocks of about `most`; a pair of recordings with more than `most` votes of its own counts them by correlation.
+        """
+        key, rec, start, count, frames = occurrences(recordings)
         low = np.searchsorted(self.key, key, side="left")
         size = np.searchsorted(self.key, key, side="right") - low
         per_rec = np.bincount(rec, weights=size, minlength=len(recordings))
-        part = (np.cumsum(per_rec) // most).astype(np.int64)  # recordings whose hits are handled together
+        part = (np.cumsum(per_rec) // most).astype(np.int64)  # recordings whose shared keys are handled together
         for p in np.unique(part).tolist():
             some = np.flatnonzero((part[rec] == p) & (size > 0))
             if not len(some):
                 continue
             n = size[some]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[some], n)
-            r, q = np.repeat(rec[some], n), self.query[at]
-            offset = np.repeat(frame[some], n) - self.frame[at]
-            order = np.lexsort((offset, q, r))
-            r, q, offset = r[order], q[order], offset[order]
-            start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (q[1:] != q[:-1]) | (offset[1:] != offset[:-1])])
-            hits = np.diff(np.r_[start, len(r)])
-            r, q, offset = r[start], q[start], offset[start]
-            order = np.lexsort((np.abs(offset), -hits, q, r))
-            r, q, offset, hits = r[order], q[order], offset[order], hits[order]
-            best = np.r_[True, (r[1:] != r[:-1]) | (q[1:] != q[:-1])] & (hits >= LEAST_HITS)
-            yield r[best], q[best], offset[best]
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[some], n)
+            i = np.repeat(some, n)
+            order = np.lexsort((self.query[j], rec[i]))
+            i, j = i[order], j[order]
+            r, q, votes = rec[i], self.query[j], count[i] * self.count[j]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (q[1:] != q[:-1])])
+            total = np.add.reduceat(votes, first)
+            for f in first[total > most].tolist():
+                hits, least = _hits(recordings[r[f]], self.prints[q[f]])
+                offset = np.flatnonzero(hits >= LEAST_HITS) + least
+                yield np.full(len(offset), r[f]), np.full(len(offset), q[f]), offset
+            light = (total >= LEAST_HITS) & (total <= most)
+            block = np.cumsum(np.where(light, total, 0)) // most
+            span = np.diff(np.r_[first, len(r)])
+            light, block = np.repeat(light, span), np.repeat(block, span)
+            for b in np.unique(block[light]).tolist():
+                at = np.flatnonzero(light & (block == b))
+                yield self._offsets(r[at], q[at], start[i[at]], frames, self.start[j[at]], self.count[j[at]], votes[at])
+
+    def _offsets(self, r, q, start, frames, own_start, own_count, votes):
+        v = np.arange(votes.sum()) - np.repeat(np.cumsum(votes) - votes, votes)
+        wide = np.repeat(own_count, votes)
+        offset = frames[np.repeat(start, votes) + v // wide] - self.frames[np.repeat(own_start, votes) + v % wide]
+        r, q = np.repeat(r, votes), np.repeat(q, votes)
+        order = np.lexsort((offset, q, r))
+        r, q, offset = r[order], q[order], offset[order]
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (q[1:] != q[:-1]) | (offset[1:] != offset[:-1])])
+        first = first[np.diff(np.r_[first, len(r)]) >= LEAST_HITS]
+        return r[first], q[first], offset[first]
+
+
+def _hits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Agreeing keys of two recordings at every offset, and the least offset; a shared key at a time, by correlation where it is frequent."""
+    (ka, _, sa, ca, fa), (kb, _, sb, cb, fb) = occurrences([a]), occurrences([b])
+    n, least = len(a) + len(b), 1 - len(b)
+    hits = np.zeros(n, np.int64)
+    _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    for i, j in zip(x.tolist(), y.tolist()):
+        at, own = fa[sa[i] : sa[i] + ca[i]], fb[sb[j] : sb[j] + cb[j]]
+        if len(at) * len(own) <= 1 << 16:
+            hits += np.bincount((at[:, None] - own).ravel() - least, minlength=n)
+            continue
+        u, w = np.bincount(at, minlength=len(a)), np.bincount(len(b) - 1 - own, minlength=len(b))
+        hits += np.rint(np.fft.irfft(np.fft.rfft(u, n) * np.fft.rfft(w, n), n)).astype(np.int64)
+    return hits, least
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -177,19 +226,26 @@ def search(prints: DataFrame, every: int = 20, block_frames: int = BLOCK_FRAMES)
             own = np.array(names, dtype=np.int64)
             count = np.zeros(len(own), np.int64)
             best: dict[int, tuple] = {}
+            size = np.array([len(d) for d in data])
             for b in pieces(batches, 1 << 19, 2):
                 recs = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
                 ids = b.column(0).to_pylist()
+                lens = np.array([len(x) for x in recs])
                 for rs, qs, offsets in index.candidates(recs):
-                    for r, q, o in zip(rs.tolist(), qs.tolist(), offsets.tolist(), strict=True):
+                    over = np.minimum(size[qs], lens[rs] - offsets) - np.maximum(0, -offsets)
+                    wide = over >= np.maximum(LEAST_OVERLAP, LEAST_SHARE * np.minimum(lens[rs], size[qs]))
+                    linked: dict[tuple, tuple] = {}
+                    for r, q, o in zip(rs[wide].tolist(), qs[wide].tolist(), offsets[wide].tolist(), strict=True):
                         if ids[r] == names[q] or (len(recs[r]) == len(data[q]) and np.array_equal(recs[r], data[q])):
                             continue
-                        error, n = bit_error(recs[r], data[q], o)
-                        if error <= MOST_ERROR and n >= max(LEAST_OVERLAP, LEAST_SHARE * min(len(recs[r]), len(data[q]))):
-                            count[q] += 1
-                            found = (error, ids[r] is None, ids[r] or 0, o)
-                            if q not in best or found < best[q]:
-                                best[q] = found
+                        error, _ = bit_error(recs[r], data[q], o)
+                        if error <= MOST_ERROR and ((r, q) not in linked or (error, abs(o), o) < linked[r, q]):
+                            linked[r, q] = (error, abs(o), o)
+                    for (r, q), (error, _, o) in linked.items():  # a pair's offsets come in one block
+                        count[q] += 1
+                        found = (error, ids[r] is None, ids[r] or 0, o)
+                        if q not in best or found < best[q]:
+                            best[q] = found
             at = sorted(best)
             cols = [[names[q] for q in at], count[at].tolist(), [None if best[q][1] else best[q][2] for q in at], [best[q][3] for q in at], [best[q][0] for q in at]]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
