@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the setting is unset, as in tests."""
+    """The cluster's shared folder; a folder of our own only where the setting is unset on a local master, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -25,9 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
 
-    The table outlives lost executors. It stays until release() or until the folder's owner clears it.
+    The table outlives lost executors. It stays until discard(), release() or the end of the driver's process.
     """
     spark = df.sparkSession
+    if not _at_end:
+        _at_end.append(atexit.register(_clear, spark))
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _paths.append(path)
@@ -46,6 +52,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 _paths: list[str] = []
+_at_end: list = []
+
+
+def _clear(spark: SparkSession) -> None:
+    """What is left at the end of the process goes, as far as the session's store can still be reached."""
+    with contextlib.suppress(Exception):
+        release(spark)
 
 
 def mark() -> int:

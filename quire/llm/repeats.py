@@ -1,12 +1,13 @@
 """Repeated passages by enhanced suffix arrays over anchored contexts.
 
-Two equal strings of `length` bytes select the same anchors: positions whose hash of the next `ANCHOR`
-bytes is least in some window of `length` bytes. So each repeat is found among the occurrences of one
-anchor, in their contexts: as many bytes to either side as a string of that length can reach. Equal
-contexts are counted with map-side sums and stand for one suffix. Per anchor the distinct contexts are
-sorted into a suffix array, neighbours' common prefixes are scanned with a stack into the tree of
-common-prefix intervals, and within an interval the text to the left is compared: where left
-extensions differ the group is a maximal repeat, and all its members are its occurrences.
+A text is a sequence of symbols, its bytes or its words. Two equal strings of `length` symbols select the
+same anchors: positions whose hash of the next `anchor` symbols is least in some window of `length`. So
+each repeat is found among the occurrences of one anchor, in their contexts: as many symbols to either
+side as a string of that length can reach. Equal contexts are counted with map-side minima and stand for
+one suffix, a leaf with several places. Per anchor the distinct contexts are sorted into a suffix array, neighbours' common
+prefixes are scanned with a stack into the tree of common-prefix intervals, and within an interval the
+symbols to the left are scanned the same way: where left extensions differ the group is a maximal repeat
+(within its contexts), all its members are its occurrences, and they are what is covered.
 
 An anchor with more than `HOT` distinct contexts is never gathered: its contexts are split into
 slices of the window starts they stand for, each keyed by all the bytes its windows share, and the
@@ -16,6 +17,7 @@ slices are grouped afresh; slices of one window are equal or different as a whol
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -24,11 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, pieces, staged
+from quire.llm.common import WORD, discard, pieces, staged, texts
 
 LENGTH = 400
 ANCHOR = 128
-HOT = 16384
+#: The same in words, for passages of over 50 words.
+WORDS, WORD_ANCHOR = 51, 16
+#: Contexts of an anchor that one task sorts.
+HOT = 512
 #: Window starts a slice stands for: all that see an anchor, then these.
 SLICES = (16, 1)
 BLOCK = 1 << 20
@@ -54,8 +59,8 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all strings of `width` bytes, a power of two."""
-    h, k = _LETTER[data], 1
+    """Hashes of all strings of `width` symbols, a power of two."""
+    h, k = _LETTER[data] if data.dtype == np.uint8 else data, 1
     while k < width:
         h = _join(h[:-k], h[k:])
         k *= 2
@@ -71,16 +76,16 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def anchors(docs: list[bytes], length: int, anchor: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text the positions of its anchors and their hashes; every string of `length` bytes holds one."""
+def anchors(docs: list[np.ndarray], length: int, anchor: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text, given as its symbols, the positions of its anchors and their hashes; every string of `length` symbols holds one."""
     span = length - anchor + 1
     out: list[list] = [[] for _ in docs]
-    parts: list[tuple[int, int, int]] = []  # text, first byte, bytes
+    parts: list[tuple[int, int, int]] = []  # text, first symbol, symbols
 
     def flush():
         if not parts:
             return
-        data = np.frombuffer(b"".join([docs[i][a : a + n] for i, a, n in parts]), np.uint8)
+        data = np.concatenate([docs[i][a : a + n] for i, a, n in parts])
         ends = np.cumsum([n for _, _, n in parts])
         h = gram_hashes(data, anchor)
         low = _sliding(h, span, np.minimum)
@@ -117,81 +122,88 @@ def anchors(docs: list[bytes], length: int, anchor: int) -> list[tuple[np.ndarra
     return done
 
 
+def symbols(text: bytes, wide: int) -> bytes:
+    """The text as equal symbols: its bytes (wide = 1), or its words as hashes of 8 bytes."""
+    if wide == 1:
+        return text
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(w) for w in text.split()], "<u8").tobytes()
+
+
+def _numbers(x: bytes, wide: int) -> np.ndarray:
+    return np.frombuffer(x, np.uint8 if wide == 1 else "<u8")
+
+
 class Contexts:
-    """Contexts (pivot c, span s): the windows of `length` bytes that start from c - s to c. Their core, [c, c + length - s), is in all of them."""
+    """Contexts (pivot c, span s): the windows of `length` symbols that start from c - s to c. Their core, [c, c + length - s), is in all of them."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, wide: int):
+        self.length, self.wide = length, wide
 
-    def bounds(self, n: int, c: int, s: int) -> tuple[int, int]:
-        return max(0, c - s), min(n, c + self.length)
+    def digests(self, text: bytes, at: list[int], s: int) -> bytes:
+        """128 bits for each context: its symbols and where its pivot lies in them."""
+        n, length, w, h = len(text) // self.wide, self.length, self.wide, xxhash.xxh3_128_digest
+        return b"".join([h(text[max(0, c - s) * w : min(n, c + length) * w], min(c, s)) for c in at])
 
     def exists(self, n: int, c: int, s: int) -> bool:
         return max(0, c - s) <= min(c, n - self.length)
 
-    def digest(self, text: bytes, c: int, s: int) -> int:
-        a, b = self.bounds(len(text), c, s)
-        return _signed(xxhash.xxh3_64_intdigest(text[a:b], c - a))
-
     def core(self, text: bytes, c: int, s: int) -> int:
-        return _signed(xxhash.xxh3_64_intdigest(text[c : c + self.length - s], 1 << 32 | s))
+        x = xxhash.xxh3_64_intdigest(text[c * self.wide : (c + self.length - s) * self.wide], 1 << 32 | s)
+        return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+#: key: hash of the anchor; ctx, ctx2: of the context; rid: of the row; t1, t2: of its text; c, s: pivot and span of the context, in symbols;
+#: many: known to be in several texts.
+ROWS = "key long, ctx long, ctx2 long, rid long, t1 long, t2 long, c int, s int, many boolean"
+TEXT = ("rid", "t1", "t2")
 
 
-ROWS = "key long, ctx long, tid long, rid long, c int, s int"
+def _rows(key: np.ndarray, digests: bytes, names: list[tuple], each: list[int], c: np.ndarray, s: np.ndarray, many: list[bool]) -> pa.RecordBatch:
+    ctx = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    who = np.repeat(np.array(names, np.int64).reshape(-1, 3), each, axis=0)
+    cols = [key, ctx[:, 0], ctx[:, 1], who[:, 0], who[:, 1], who[:, 2], c.astype(np.int32), s.astype(np.int32), many]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "ctx", "ctx2", *TEXT, "c", "s", "many"])
 
 
-def _rows(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["key", "ctx", "tid", "rid", "c", "s"])
+def _names(b: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(b.column(i).to_pylist() for i in range(3))))
 
 
-def _binary(column) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def anchor_rows(found: DataFrame, length: int, anchor: int, wide: int) -> DataFrame:
+    """A row for each anchor of each text (rid, t1, t2, text)."""
 
+    def run(batches):
+        ctx, s = Contexts(length, wide), length - anchor
+        for b in pieces(batches, 1 << 20, 3):
+            docs = [symbols(t, wide) for t in texts(b.column(3))]
+            at, h = zip(*anchors([_numbers(d, wide) for d in docs], length, anchor))
+            each = [len(x) for x in at]
+            spans, many = np.full(sum(each), s), np.zeros(sum(each), bool)
+            yield _rows(np.concatenate(h).view(np.int64), b"".join(ctx.digests(d, x.tolist(), s) for d, x in zip(docs, at)), _names(b), each, np.concatenate(at), spans, many)
 
-def anchor_rows(texts: DataFrame, length: int, anchor: int) -> DataFrame:
-    """A row for each anchor of each text (rid, tid, text)."""
+    return found.select(*TEXT, "text").mapInArrow(run, ROWS)
 
-    def run(batches):
-        ctx, s = Contexts(length), length - anchor
-        for b in pieces(batches, 1 << 20, 2):
-            docs, rid, tid = _binary(b.column(2)), b.column(0).to_pylist(), b.column(1).to_pylist()
-            cols: list[list] = [[] for _ in range(6)]
-            for d, r, t, (at, h) in zip(docs, rid, tid, anchors(docs, length, anchor), strict=True):
-                at = at.tolist()
-                cols[0] += h.view(np.int64).tolist()
-                cols[1] += [ctx.digest(d, c, s) for c in at]
-                cols[2] += [t] * len(at)
-                cols[3] += [r] * len(at)
-                cols[4] += at
-                cols[5] += [s] * len(at)
-            yield _rows(cols)
-
-    return texts.select("rid", "tid", "text").mapInArrow(run, ROWS)
-
-
-def slice_rows(hot: DataFrame, texts: DataFrame, length: int, width: int) -> DataFrame:
+
+def slice_rows(hot: DataFrame, found: DataFrame, length: int, width: int, wide: int) -> DataFrame:
     """The contexts of hot anchors cut into slices of `width` window starts, keyed by what a slice's windows share."""
 
     def run(batches):
-        ctx = Contexts(length)
-        for b in pieces(batches, 1 << 18, 2):
-            cols: list[list] = [[] for _ in range(6)]
-            for r, t, d, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _binary(b.column(2)), b.column(3).to_pylist(), strict=True):
-                for x in todo:
-                    for off in range(0, x["s"] + 1, width):
-                        c, s = x["c"] - off, min(width - 1, x["s"] - off)
-                        if c >= 0 and ctx.exists(len(d), c, s):
-                            for col, v in zip(cols, (ctx.core(d, c, s), ctx.digest(d, c, s), t, r, c, s), strict=True):
-                                col.append(v)
-            yield _rows(cols)
-
-    todo = hot.groupBy("rid").agg(F.collect_list(F.struct("c", "s")).alias("todo"))
-    return texts.join(todo, "rid").select("rid", "tid", "text", "todo").mapInArrow(run, ROWS)
+        ctx = Contexts(length, wide)
+        for b in pieces(batches, 1 << 18, 3):
+            for name, t, todo in zip(_names(b), texts(b.column(3)), b.column(4).to_pylist(), strict=True):
+                d = symbols(t, wide)
+                n = len(d) // wide
+                cut = [(x["c"] - off, min(width - 1, x["s"] - off), x["many"]) for x in todo for off in range(0, x["s"] + 1, width)]
+                cut = [x for x in cut if x[0] >= 0 and ctx.exists(n, *x[:2])]
+                for at in range(0, len(cut), 4096):
+                    some = cut[at : at + 4096]
+                    key = np.array([ctx.core(d, c, s) for c, s, _ in some], np.int64)
+                    c, s, many = (np.array(x) for x in zip(*some))
+                    yield _rows(key, b"".join(ctx.digests(d, [x], y) for x, y, _ in some), [name], [len(some)], c, s, many)
+
+    todo = hot.groupBy(*TEXT).agg(F.collect_list(F.struct("c", "s", "many")).alias("todo"))
+    return found.join(todo, [*TEXT]).select(*TEXT, "text", "todo").mapInArrow(run, ROWS)
 
 
 # -- the enhanced suffix array ------------------------------------------------------------------
@@ -203,7 +215,7 @@ def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _common(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of rows."""
+    """Lengths of the common prefixes of rows, in bytes."""
     differ = a != b
     first = differ.argmax(1)
     first[~differ[np.arange(len(first)), first]] = a.shape[1]
@@ -225,15 +237,15 @@ def intervals(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
 
 
 class SuffixArray:
-    """Suffixes that start at the pivots of contexts, keyed; left holds the bytes before a pivot, reversed."""
+    """Suffixes that start at the pivots of contexts, keyed; left holds the symbols before a pivot, nearest first. Lengths are in symbols of `wide` bytes."""
 
-    def __init__(self, key: np.ndarray, left: list[bytes], right: list[bytes], length: int):
-        self.length = length
-        m, size = _matrix(right, length)
+    def __init__(self, key: np.ndarray, left: list[bytes], right: list[bytes], length: int, wide: int = 1):
+        self.length, self.wide = length, wide
+        m, size = _matrix(right, length * wide)
         keyed = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), m], axis=1)
         self.order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").ravel(), kind="stable")
         m, size, key = m[self.order], size[self.order], key[self.order]
-        self.lcp = _common(m[1:], m[:-1], size[1:], size[:-1]) if len(m) > 1 else np.zeros(0, np.int64)
+        self.lcp = _common(m[1:], m[:-1], size[1:], size[:-1]) // wide if len(m) > 1 else np.zeros(0, np.int64)
         self.lcp[key[1:] != key[:-1]] = 0
         left = [left[i] for i in self.order.tolist()]
         self.left, self.left_size = _matrix(left, max(map(len, left), default=1))
@@ -242,7 +254,7 @@ class SuffixArray:
 
     def tree(self, most: int = 1 << 16):
         """Yields, for some intervals at a time: interval number, its length, member (place in the suffix array),
-        and how far the member's left side agrees with the member before it, members sorted by left side."""
+        and how far the member's left side agrees with the member before it, members sorted by left side (-1: the first)."""
         found = intervals(self.lcp.tolist(), 1)
         at = 0
         while at < len(found):
@@ -261,31 +273,19 @@ class SuffixArray:
             for lo in range(1, len(member), 1 << 14):
                 hi = min(len(member), lo + (1 << 14))
                 a, b = member[lo:hi], member[lo - 1 : hi - 1]
-                agree[lo:hi] = _common(self.left[a], self.left[b], self.left_size[a], self.left_size[b])
+                agree[lo:hi] = _common(self.left[a], self.left[b], self.left_size[a], self.left_size[b]) // self.wide
             agree[np.r_[True, own[1:] != own[:-1]]] = -1
             yield own, length[own], member, agree
 
-    def reach(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each context, in input order, how far left and right of its pivot it lies in maximal repeats of `length` bytes or more (-1: in none)."""
-        n = len(self.order)
-        left, right = np.full(n, -1), np.full(n, -1)
-        for _, v, member, agree in self.tree():
-            best = np.maximum(agree, np.r_[agree[1:], -1])
-            # an interval's members whose left sides agree far enough make a repeat
-            ok = (best >= 0) & (best + v >= self.length)
-            np.maximum.at(left, member[ok], best[ok])
-            np.maximum.at(right, member[ok], v[ok])
-        out_left, out_right = np.empty(n, np.int64), np.empty(n, np.int64)
-        out_left[self.order], out_right[self.order] = left, right
-        return out_left, out_right
-
     def groups(self, least: int | None = None):
-        """Yields (left, right, members in input order) of each maximal repeat: members agree `left` bytes before
-        and `right` bytes after the pivot, some differ in the byte before that, and some in the byte after. least: their least length, self.length unless given."""
+        """Yields (left, right, members in input order) of each maximal repeat: members agree `left` symbols before
+        and `right` after the pivot, some differ in the symbol before that, and some in the one after. least: their least length, self.length unless given."""
         least = least or self.length
         for own, v, member, agree in self.tree():
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)]):
+            ends = np.r_[starts[1:], len(own)]
+            for i in np.unique(own[(agree >= 0) & (agree + v >= least)]).tolist():  # in the others no two left sides agree far enough
+                a, b = int(starts[i]), int(ends[i])
                 length = int(v[a])
                 for low, i, j in intervals((agree[a + 1 : b] + 1).tolist(), max(1, least - length + 1)):
                     some = member[a + i : a + j + 1]
@@ -293,9 +293,22 @@ class SuffixArray:
                     if self.lcp[lo:hi].min() == length:  # else all go on alike to the right, and a longer interval has them
                         yield low - 1, length, np.sort(self.order[some])
 
+    def reach(self, text: np.ndarray | None = None, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each context, in input order, how far left and right of its pivot the maximal repeats go that it is an occurrence of (-1: of none).
+
+        text: whose each context is, many: whether it is in other texts too; then only repeats with occurrences in two texts count.
+        """
+        n = len(self.order)
+        left, right = np.full(n, -1), np.full(n, -1)
+        for before, after, members in self.groups():
+            if text is None or many[members].any() or (text[members] != text[members[0]]).any():
+                left[members] = np.maximum(left[members], before)
+                right[members] = np.maximum(right[members], after)
+        return left, right
 
-def _reach_rows(length: int):
-    """Over rows (key, shared, rid, c, left, right) sorted by key, an anchor's contexts together: (rid, start, stop) of what repeats cover."""
+
+def _reach_rows(length: int, wide: int, across: bool):
+    """Over rows (key, shared, ctx, ctx2, rid, t1, t2, c, left, right) sorted by key, an anchor's contexts together: what maximal repeats cover of each context."""
 
     def run(batches):
         held = None
@@ -320,75 +333,102 @@ def _reach_rows(length: int):
             end = min(len(key), at + 4096)
             end += int(np.searchsorted(key[end:], key[end - 1], side="right")) if end < len(key) else 0
             rows = all_rows.slice(at, end - at)
-            sa = SuffixArray(key[at:end], rows.column(4).to_pylist(), rows.column(5).to_pylist(), length)
-            left, right = sa.reach()
-            found = (left >= 0) & ~rows.column(1).to_numpy(zero_copy_only=False)
-            c = rows.column(3).to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(2).filter(pa.array(found)), pa.array((c - left)[found].astype(np.int32)), pa.array((c + right)[found].astype(np.int32))], ["rid", "start", "stop"]
-            )
+            sa = SuffixArray(key[at:end], rows.column(8).to_pylist(), rows.column(9).to_pylist(), length, wide)
+            shared = rows.column(1).to_numpy(zero_copy_only=False)
+            left, right = sa.reach(rows.column(5).to_numpy(), shared) if across else sa.reach()
+            found = (left >= 0) & ~shared  # a shared context is covered as a whole anyway
+            cols = [rows.column(i).filter(pa.array(found)) for i in (0, 2, 3, 4, 5, 6, 7)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(left[found].astype(np.int32)), pa.array(right[found].astype(np.int32))], ["key", "ctx", "ctx2", *TEXT, "c", "left", "right"])
             at = end
 
     return run
 
 
-def _context_bytes(length: int):
-    """Rows (rid, text, todo) to one row per context: key, shared, rid, c, left side reversed, right side."""
+REACH = "key long, ctx long, ctx2 long, rid long, t1 long, t2 long, c int, left int, right int"
+
+
+def _context_rows(length: int, wide: int):
+    """Rows (rid, t1, t2, text, todo) to one row per context with its left side, nearest first, and its right side."""
 
     def run(batches):
-        for b in pieces(batches, 1 << 18, 1):
-            cols: list[list] = [[] for _ in range(6)]
-            for r, d, todo in zip(b.column(0).to_pylist(), _binary(b.column(1)), b.column(2).to_pylist(), strict=True):
+        for b in pieces(batches, 1 << 18, 3):
+            cols: list[list] = [[] for _ in range(10)]
+            for name, t, todo in zip(_names(b), texts(b.column(3)), b.column(4).to_pylist(), strict=True):
+                d = symbols(t, wide)
+                back = np.ascontiguousarray(_numbers(d, wide)[::-1]).tobytes()
+                n = len(d) // wide
                 for x in todo:
                     c, s = x["c"], x["s"]
-                    for col, v in zip(cols, (x["key"], x["shared"], r, c, d[max(0, c - s) : c][::-1], d[c : c + length]), strict=True):
+                    row = (x["key"], x["shared"], x["ctx"], x["ctx2"], *name, c, back[(n - c) * wide : (n - max(0, c - s)) * wide], d[c * wide : (c + length) * wide])
+                    for col, v in zip(cols, row, strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["key", "shared", "rid", "c", "left", "right"])
+            kinds = (pa.int64(), pa.bool_(), *(pa.int64(),) * 5, pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["key", "shared", "ctx", "ctx2", *TEXT, "c", "left", "right"])
 
     return run
 
 
-CONTEXT = "key long, shared boolean, rid long, c int, left binary, right binary"
+CONTEXT = "key long, shared boolean, ctx long, ctx2 long, rid long, t1 long, t2 long, c int, left binary, right binary"
+
+
+def _text() -> F.Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _identity(text: F.Column) -> list[F.Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), F.xxhash64(text).alias("tid"), text.alias("text"))
-
-
-def _live(rows: DataFrame, name: str) -> DataFrame:
-    """Rows whose anchor occurs in two places or more, a row per place, with: contexts of the anchor, whether the context is in two places, whether the row stands for it."""
-    place = F.xxhash64("tid", "c")
-    by_context = rows.groupBy("key", "ctx").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    keys = by_context.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("a") != F.col("b")).alias("some")).where("n > 1 or some").select("key", "n")
-    keys = staged(keys, f"{name}-keys")
-    places = rows.join(keys, "key").groupBy("key", "n", "ctx", "tid", "c", "s").agg(F.min("rid").alias("rid")).withColumn("place", place)
-    places = staged(places, f"{name}-places")
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), _text()).alias("rid"), *_identity(_text()), _text().alias("text"))
+
+
+def _live(rows: DataFrame, name: str, across: bool) -> DataFrame:
+    """Rows whose anchor occurs in two places or more, a row per place, with: n, the contexts of the anchor; whether the context
+    is in two places (two texts, if across); whether the row stands for it. Copies of a text count once: the row of least rid is kept."""
+    place = F.xxhash64("t1", "t2", "c")
+    who = F.xxhash64("t1", "t2") if across else place
+    contexts = rows.groupBy("key", "ctx", "ctx2").agg(F.min(place).alias("first"), F.min(who).alias("a"), F.max(who).alias("b"), F.max("many").alias("many"))
+    contexts = staged(contexts.select("key", "ctx", "ctx2", "first", ((F.col("a") != F.col("b")) | F.col("many")).alias("shared")), f"{name}-contexts")
+    keys = contexts.groupBy("key").agg(F.count("*").alias("n"), F.max("shared").alias("some")).where("n > 1 or some").select("key", "n")
     # a table of its own, so that the join below shuffles both sides for itself and Spark can split a hot context
-    contexts = staged(places.groupBy("key", "ctx").agg(F.min("place").alias("first"), (F.min("place") != F.max("place")).alias("shared")), f"{name}-contexts")
-    live = staged(places.join(contexts, ["key", "ctx"]).select("key", "n", "rid", "tid", "c", "s", "shared", (F.col("place") == F.col("first")).alias("stands")), f"{name}-live")
-    discard(rows, keys, places, contexts)
+    some = staged(contexts.join(keys, "key"), f"{name}-live-contexts")
+    live = rows.drop("many").join(some, ["key", "ctx", "ctx2"]).withColumn("stands", place == F.col("first")).drop("first")
+    live = staged(live.groupBy(*[x for x in live.columns if x != "rid"]).agg(F.min("rid").alias("rid")), f"{name}-live")
+    discard(rows, contexts, some)
     return live
 
 
-def _merge(length: int):
-    """Rows (rid, tid, text, ranges) to (tid, spans, n_removed, kept_sha256)."""
+def _ranges(text: bytes, wide: int, ranges: list) -> list[list[int]]:
+    """Spans of bytes, in order and apart, that ranges of symbols cover."""
+    if wide > 1:
+        words = [m.span() for m in _WORD.finditer(text)]
+    n = len(words) if wide > 1 else len(text)
+    out: list[list[int]] = []
+    for a, z in sorted((max(0, r["start"]), min(n, r["stop"])) for r in ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out if wide == 1 else [[words[a][0], words[z - 1][1]] for a, z in out]
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _merge(wide: int):
+    """Rows (t1, t2, text, ranges) to (t1, t2, spans, n_removed, kept_sha256)."""
 
     def run(batches):
         for b in pieces(batches, 1 << 20, 2):
-            out: list[list] = [[], [], [], []]
-            for t, d, ranges in zip(b.column(1).to_pylist(), _binary(b.column(2)), b.column(3).to_pylist(), strict=True):
-                spans: list[list[int]] = []
-                for a, z in sorted((max(0, r["start"]), min(len(d), r["stop"])) for r in ranges):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], z)
-                    else:
-                        spans.append([a, z])
-                for col, v in zip(out, (t, [{"start": a, "stop": z} for a, z in spans], sum(z - a for a, z in spans), hashlib.sha256(cut_bytes(d, spans)).hexdigest()), strict=True):
+            out: list[list] = [[], [], []]
+            for d, ranges in zip(texts(b.column(2)), b.column(3).to_pylist(), strict=True):
+                spans = _ranges(d, wide, ranges)
+                for col, v in zip(out, ([{"start": a, "stop": z} for a, z in spans], sum(z - a for a, z in spans), hashlib.sha256(cut_bytes(d, spans)).hexdigest()), strict=True):
                     col.append(v)
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], span), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["tid", "spans", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], span), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["t1", "t2", "spans", "n_removed", "kept_sha256"])
 
     return run
 
@@ -401,59 +441,70 @@ def cut_bytes(text: bytes, spans) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-SPANS = "tid long, spans array<struct<start:int,stop:int>>, n_removed long, kept_sha256 string"
+SPANS = "t1 long, t2 long, spans array<struct<start:int,stop:int>>, n_removed long, kept_sha256 string"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
-    """(tid, spans, n_removed, kept_sha256) of each distinct text, tid = xxhash64(text), that loses bytes.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, words: bool = False, across: bool = False) -> DataFrame:
+    """(t1, t2, spans, n_removed, kept_sha256) of each distinct text, named by 128 bits, that loses bytes.
 
     spans are the maximal runs of bytes covered by strings of `length` bytes that start in two places or
-    more, in other texts or the same. A text with a copy is covered as a whole if it is long enough.
-    Null and empty texts cover nothing; ids may repeat or be null. `hot` bounds what one task holds.
+    more, in other texts or the same; a text with a copy is not told from a single one (see removals). With `words`, length
+    and anchor count words, equal whatever blanks part them, and spans go from word to word. With `across`, only
+    strings that two different texts hold count. Null and empty texts cover nothing; ids may repeat or be null.
+    `hot` bounds the contexts of one anchor that a task holds.
     """
-    texts = _identified(docs)
-    rows = staged(anchor_rows(texts, length, anchor), "anchors")
-    covers, level, candidates = [], 0, None
+    wide = 8 if words else 1
+    found = _identified(docs)
+    rows = staged(anchor_rows(found, length, anchor, wide), "anchors")
+    covers, used, level, candidates = [], [], 0, None
     while True:
-        live = _live(rows, f"repeats{level}")
+        live = _live(rows, f"repeats{level}", across)
         if candidates is None:  # later levels cut the same texts finer
-            ids = live.select("rid").distinct()
-            candidates = staged(texts.join(ids, "rid", "left_semi").dropDuplicates(["rid"]), "candidates")
-        whole = live.where("shared").select("rid", (F.col("c") - F.col("s")).alias("start"), (F.col("c") + length).alias("stop"))
-        todo = live.where(f"stands and n between 2 and {hot}").groupBy("rid").agg(F.collect_list(F.struct("key", "shared", "c", "s")).alias("todo"))
-        contexts = candidates.join(todo, "rid").select("rid", "text", "todo").mapInArrow(_context_bytes(length), CONTEXT)
-        found = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_reach_rows(length), "rid long, start int, stop int")
-        covers += [whole, staged(found, f"reach{level}")]
-        split = live.where(f"stands and n > {hot}")
+            candidates = staged(found.join(live.select(*TEXT).distinct(), [*TEXT], "left_semi").dropDuplicates([*TEXT]), "candidates")
+        whole = live.where("shared").select(*TEXT, (F.col("c") - F.col("s")).alias("start"), (F.col("c") + length).alias("stop"))
+        todo = live.where(f"stands and n between 2 and {hot}").groupBy(*TEXT).agg(F.collect_list(F.struct("key", "shared", "ctx", "ctx2", "c", "s")).alias("todo"))
+        contexts = candidates.join(todo, [*TEXT]).select(*TEXT, "text", "todo").mapInArrow(_context_rows(length, wide), CONTEXT)
+        reach = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_reach_rows(length, wide, across), REACH)
+        if across:  # a context may stand in several places of one text
+            reach = reach.drop(*TEXT, "c").join(live.select("key", "ctx", "ctx2", *TEXT, "c"), ["key", "ctx", "ctx2"])
+        reach = staged(reach.select(*TEXT, (F.col("c") - F.col("left")).alias("start"), (F.col("c") + F.col("right")).alias("stop")), f"reach{level}")
+        covers += [whole, reach]
+        used += [live, reach]
+        split = live.where(f"n > {hot}").where("stands or not shared").withColumn("many", F.col("shared") & F.lit(across))
         if level == len(SLICES) or not split.limit(1).count():
             break
-        rows = staged(slice_rows(split, candidates, length, SLICES[level]), f"slices{level}")
+        rows = staged(slice_rows(split, candidates, length, SLICES[level], wide), f"slices{level}")
         level += 1
     all_covers = covers[0]
     for more in covers[1:]:
         all_covers = all_covers.unionByName(more)
-    ranges = all_covers.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return candidates.join(ranges, "rid").select("rid", "tid", "text", "ranges").mapInArrow(_merge(length), SPANS)
+    ranges = all_covers.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    out = staged(candidates.join(ranges, [*TEXT]).select("t1", "t2", "text", "ranges").mapInArrow(_merge(wide), SPANS), "spans")
+    discard(candidates, *used)
+    return out
 
 
 def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (null: nothing is removed)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = staged(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("tid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")), "documents")
-    cut = removed_texts(base, repeated_spans(docs, length, **options), length)
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (null: nothing is removed). For bytes, not words."""
+    text = _text()
+    size = F.octet_length(text).cast("long")
+    base = staged(docs.select(F.col("doc_id").cast("long"), *_identity(text), size.alias("n_bytes"), size.alias("size"), F.sha2(text.cast("binary"), 256).alias("sha")), "documents")
+    spans = repeated_spans(docs, length, **options)
+    cut = staged(with_copies(base, spans, length), "removed")
+    discard(spans)
     none = F.lit(0).cast("long")
-    return base.join(cut, "tid", "left").select(
+    return base.join(cut, ["t1", "t2"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.when(F.col("spans").isNull(), none).otherwise(F.size("spans").cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans",
     )
 
 
-def removed_texts(base: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """spans with the texts that have copies: those lose everything."""
-    copied = base.groupBy("tid").agg(F.count("*").alias("n"), F.max("n_bytes").alias("n_bytes")).where(f"n > 1 and n_bytes >= {length}")
+def with_copies(base: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """spans with the texts that have copies among base(t1, t2, size, n_bytes): as repeats of their whole length they lose everything."""
+    copied = base.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("n_bytes").alias("n_bytes")).where(f"n > 1 and size >= {length}")
     everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
-    copied = copied.select("tid", everything.alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    return staged(copied.unionByName(spans.join(copied.select("tid"), "tid", "left_anti")), "removed")
+    copied = copied.select("t1", "t2", everything.alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    return copied.unionByName(spans.join(copied.select("t1", "t2"), ["t1", "t2"], "left_anti"))
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -461,10 +512,18 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """docs with repeated passages cut out of the text; columns and rows stay, a character cut in two goes, a null text stays null."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.xxhash64(text).alias("tid"), F.octet_length(text).cast("long").alias("n_bytes"))
-    cut = removed_texts(base, repeated_spans(docs, length, **options), length).select(F.col("tid").alias("_tid"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_tid", F.xxhash64(text)).join(cut, "_tid", "left")
+    """docs with repeated passages cut out of the text; columns and rows stay, a character cut in two goes, a null text stays null.
+
+    Copies of a text are repeats of each other, but not with `across`, where a text counts once however many rows hold it.
+    """
+    text = _text()
+    spans = repeated_spans(docs, length, **options)
+    if not options.get("across"):
+        n_bytes = F.octet_length(text).cast("long")
+        size = F.regexp_count(text, F.lit(WORD)).cast("long") if options.get("words") else n_bytes
+        spans = with_copies(docs.select(*_identity(text), size.alias("size"), n_bytes.alias("n_bytes")), spans, length)
+    cut = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
+    t1, t2 = _identity(text)
+    joined = docs.withColumn("_t1", t1).withColumn("_t2", t2).join(cut, ["_t1", "_t2"], "left")
     new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_cut, "string")("text", "_spans"))
     return joined.withColumn("text", new).select(docs.columns)

@@ -1,11 +1,12 @@
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from quire.llm import repeats
+from quire.llm import common, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tid long, spans string"
 
@@ -64,6 +65,7 @@ def test_long_text_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = bytes(rng.integers(97, 123, 9000, dtype=np.uint8))
     doc = base + base[2000:3000] + base[5000:5399] + b"!" + base[100:600]
+    doc = np.frombuffer(doc, np.uint8)
     whole = repeats.anchors([doc], 400, 128)[0][0]
     monkeypatch.setattr(repeats, "BLOCK", 1 << 20)
     assert whole.tolist() == repeats.anchors([doc], 400, 128)[0][0].tolist()
@@ -111,3 +113,60 @@ def test_cut_keeps_columns_and_rows(spark):
             assert got[i] == t
         elif t is not None and t.isascii():
             assert hashlib.sha256(got[i].encode()).hexdigest() == want[i][3]
+
+
+def plain_words(texts, length, across=True):
+    """What is left of each text without words that strings of `length` words cover which two different texts hold."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    where = defaultdict(set)
+    for t, w in zip(texts, words):
+        for i in range(len(w) - length + 1):
+            where[tuple(w[i : i + length])].add(t)
+    out = []
+    for t, w in zip(texts, words):
+        cover = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - length + 1):
+            if len(where[tuple(w[i : i + length])]) > 1:
+                cover[i : i + length] = True
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        left, at, i = "", 0, 0
+        while i < len(w):
+            if cover[i]:
+                j = i
+                while cover[j + 1]:
+                    j += 1
+                left, at, i = left + t[at : places[i][0]], places[j][1], j
+            i += 1
+        out.append(None if t is None else left + t[at:])
+    return out
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+def test_passages_of_words_across_texts(spark, hot):
+    texts = corpus(11, 50)
+    rng = random.Random(3)
+    own = " ".join(f"own{rng.randrange(50)}" for _ in range(70))  # twice in one text: no other text holds it
+    passage = " ".join(f"é{rng.randrange(90)}" for _ in range(51))
+    texts += [own + " x " + own, "a\t" + passage.replace(" ", "\n", 30) + " b", "c " + passage, passage[: passage.rindex(" ")] + " d", own.replace("own", "two") + " " + passage + " " + own.replace("own", "two") + " " + passage]
+    texts += ["w " * 300, "v w " * 200, "w " * 60 + own[:9]]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(docs, 51, anchor=16, words=True, across=True, hot=hot).collect()}
+    want = plain_words(texts, 51)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(a != b for a, b in zip(texts, want)) > 20 and got[len(texts) - 8] == texts[-8]
+
+
+def test_across_holds_for_bytes_too(spark):
+    rng = random.Random(4)
+    a = "".join(rng.choice("abcdef") for _ in range(450))
+    texts = [a + "1" + a, a[:399], "zz" + a[10:430], "b" * 1000, "c" * 500 + a[:100]]
+    got = {r["doc_id"]: r["text"] for r in repeats.cut_repeats(frame(spark, list(enumerate(texts))), across=True, hot=1).collect()}
+    assert got == {0: a[:10] + a[430:] + "1" + a[:10] + a[430:], 1: texts[1], 2: "zz", 3: texts[3], 4: texts[4]}
+
+
+def test_nothing_staged_is_left_but_what_is_read(spark):
+    before = common.mark()
+    repeats.removals(frame(spark, list(enumerate(corpus(2, 10)))), hot=3).count()
+    assert len(common._paths) - before == 2
+    common.release(spark, before)
+    assert common.mark() == before
