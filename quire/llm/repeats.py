@@ -240,7 +240,7 @@ class SuffixArray:
     """Suffixes that start at the pivots of contexts, keyed; left holds the symbols before a pivot, nearest first. Lengths are in symbols of `wide` bytes."""
 
     def __init__(self, key: np.ndarray, left: list[bytes], right: list[bytes], length: int, wide: int = 1):
-        self.length, self.wide = length, wide
+        self.length, self.wide, self.ladder = length, wide, None
         m, size = _matrix(right, length * wide)
         keyed = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), m], axis=1)
         self.order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").ravel(), kind="stable")
@@ -277,21 +277,56 @@ class SuffixArray:
             agree[np.r_[True, own[1:] != own[:-1]]] = -1
             yield own, length[own], member, agree
 
-    def groups(self, least: int | None = None):
-        """Yields (left, right, members in input order) of each maximal repeat: members agree `left` symbols before
-        and `right` after the pivot, some differ in the symbol before that, and some in the one after. least: their least length, self.length unless given."""
+    def found(self, least: int | None = None, most: int = 1 << 20):
+        """Yields tables of maximal repeats: left, right of each; number of the repeat and place in the suffix array of each occurrence."""
         least = least or self.length
         for own, v, member, agree in self.tree():
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            ends = np.r_[starts[1:], len(own)]
-            for i in np.unique(own[(agree >= 0) & (agree + v >= least)]).tolist():  # in the others no two left sides agree far enough
-                a, b = int(starts[i]), int(ends[i])
-                length = int(v[a])
-                for low, i, j in intervals((agree[a + 1 : b] + 1).tolist(), max(1, least - length + 1)):
-                    some = member[a + i : a + j + 1]
-                    lo, hi = some.min(), some.max()
-                    if self.lcp[lo:hi].min() == length:  # else all go on alike to the right, and a longer interval has them
-                        yield low - 1, length, np.sort(self.order[some])
+            size = np.diff(np.r_[starts, len(own)])
+            some = np.unique(own[(agree >= 0) & (agree + v >= least)])  # in the other intervals no two left sides agree far enough
+            at = starts[some[size[some] == 2]]  # two members: the group is the interval
+            if len(at):
+                yield agree[at + 1], v[at], np.repeat(np.arange(len(at)), 2), np.stack([member[at], member[at + 1]], axis=1).ravel()
+            lows, firsts, lasts = [], [], []
+            ahead, need = (agree + 1).tolist(), np.maximum(1, least - v + 1).tolist()
+            for i in some[size[some] > 2].tolist():
+                a, z = int(starts[i]), int(starts[i] + size[i])
+                for low, first, last in intervals(ahead[a + 1 : z], need[a]):
+                    lows.append(low - 1)
+                    firsts.append(a + first)
+                    lasts.append(a + last)
+            low, first, last = np.array(lows, np.int64), np.array(firsts, np.int64), np.array(lasts, np.int64)
+            block = np.cumsum(last - first + 1) // most
+            for lo, hi in zip(*(np.searchsorted(block, np.unique(block), side=x).tolist() for x in ("left", "right"))):
+                n = last[lo:hi] - first[lo:hi] + 1
+                begin = np.cumsum(n) - n
+                number = np.repeat(np.arange(hi - lo), n)
+                place = member[np.arange(n.sum()) - begin[number] + first[lo:hi][number]]
+                length = v[first[lo:hi]]
+                # a part of an interval may go on alike to the right; then a longer interval has it
+                ok = self.lowest(np.minimum.reduceat(place, begin), np.maximum.reduceat(place, begin)) == length
+                yield low[lo:hi][ok], length[ok], (np.cumsum(ok) - 1)[number[ok[number]]], place[ok[number]]
+
+    def lowest(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least common prefix of neighbours between places first < last."""
+        if self.ladder is None:
+            self.ladder = [self.lcp]
+            while 2 ** len(self.ladder) <= len(self.lcp):
+                x, k = self.ladder[-1], 2 ** (len(self.ladder) - 1)
+                self.ladder.append(np.minimum(x[:-k], x[k:]))
+        step = np.frexp((last - first).astype(float))[1] - 1
+        out = np.empty(len(first), np.int64)
+        for k in np.unique(step).tolist():
+            at = step == k
+            out[at] = np.minimum(self.ladder[k][first[at]], self.ladder[k][last[at] - (1 << k)])
+        return out
+
+    def groups(self, least: int | None = None):
+        """Yields (left, right, members in input order) of each maximal repeat: members agree `left` symbols before
+        and `right` after the pivot, some differ in the symbol before that, and some in the one after. least: their least length, self.length unless given."""
+        for left, right, number, place in self.found(least):
+            for i, who in enumerate(np.split(place, np.flatnonzero(np.diff(number)) + 1) if len(place) else []):
+                yield int(left[i]), int(right[i]), np.sort(self.order[who])
 
     def reach(self, text: np.ndarray | None = None, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each context, in input order, how far left and right of its pivot the maximal repeats go that it is an occurrence of (-1: of none).
@@ -300,10 +335,15 @@ class SuffixArray:
         """
         n = len(self.order)
         left, right = np.full(n, -1), np.full(n, -1)
-        for before, after, members in self.groups():
-            if text is None or many[members].any() or (text[members] != text[members[0]]).any():
-                left[members] = np.maximum(left[members], before)
-                right[members] = np.maximum(right[members], after)
+        for before, after, number, place in self.found():
+            members = self.order[place]
+            if text is not None:
+                first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])[: len(number)]
+                across = np.zeros(len(before), bool)
+                np.logical_or.at(across, number, many[members] | (text[members] != text[members[first]][number]))
+                members, number = members[across[number]], number[across[number]]
+            np.maximum.at(left, members, before[number])
+            np.maximum.at(right, members, after[number])
         return left, right
 
 
