@@ -102,6 +102,16 @@ def pieces(batches, max_bytes: int = 4 << 20, column: int = 1):
             yield batch.slice(at, step)
 
 
+#: What row_key() gives.
+ROW_KEY = "struct<x:long,y:long>"
+
+
+def row_key() -> F.Column:
+    """128 bits that name a row by doc_id and text."""
+    both = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.struct(F.xxhash64(*both).alias("x"), F.xxhash64(F.lit(1), *both).alias("y"))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null is empty."""
     if pa.types.is_string(column.type):

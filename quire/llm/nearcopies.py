@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash links and MinHash bands find candidates, the shingle sets decide.
 
-Rows of one shingle set are one class. Classes that agree on a band of minima meet in a bucket. A small
-bucket compares all its pairs; a large one compares its members with a few pivots a round, twice as many
+Rows of one shingle set are one class. The Gray-order index of SimHash fingerprints, here of five-word shingles, names the
+first candidates. At a similarity of 0.8 two fingerprints differ in about ten of 64 bits, which no choice of blocks can
+search, so bands complete it: classes that agree on a band of minima meet in a bucket. A small
+bucket compares all its pairs; a large one compares its members with a few pivots a round, more
 the next, and leaves out pairs that earlier links have joined, until each bucket is one group or compared
 in full. So a group of near copies costs its members, not their pairs, and no pair of a bucket is dropped.
 """
@@ -14,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces, staged, texts
+from quire.llm import simhash
+from quire.llm.common import ROW_KEY, discard, pieces, row_key, staged, texts
 from quire.llm.components import components
 
 SHINGLE = 5
@@ -24,7 +27,9 @@ SEED = 42
 #: Two sets of similarity s share no bucket with a chance of (1 - s ** ROWS) ** BANDS: 3 in a million at 0.8.
 BANDS, ROWS = 32, 5
 #: Members up to which a bucket compares all its pairs at once; pivots of a larger bucket in the first round.
-SMALL, PIVOTS = 8, 1
+SMALL, PIVOTS = 16, 2
+#: How many times as many pivots the next round has.
+MORE = 7
 #: Parts over which the comparisons with one pivot are dealt.
 PARTS = 256
 
@@ -35,6 +40,11 @@ _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the word shingles, ascending; a text of fewer words is one shingle, one without words has none."""
+    return np.unique(hashes(text, width))
+
+
+def hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """The hashes of the word shingles in order."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -44,7 +54,7 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     starts = (ends - size)[:n].tolist()
     stops = ends[min(width, len(words)) - 1 :][:n].tolist()
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64))
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -67,22 +77,20 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _key() -> F.Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, cls, n, bands) of every row; cls hashes the shingle set, n is its size."""
+    """(doc_id, row_key, cls, n, fp, bands) of every row; cls names the shingle set by 128 bits, n is its size, fp the fingerprint."""
 
     def run(batches):
         for b in pieces(batches):
-            found = [shingles(t) for t in texts(b.column(1))]
-            cls = [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in found]
+            all_ = [hashes(t) for t in texts(b.column(1))]
+            fp = np.array([simhash.majority(x) if len(x) else 0 for x in all_], np.uint64).view(np.int64)
+            found = [np.unique(x) for x in all_]
+            cls = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in found]
             keys = [bands(x) if len(x) else [] for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_key", "cls", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_key", "cls", "n", "fp", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _key().alias("row_key"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, cls long, n long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
+    return rows.mapInArrow(run, f"doc_id long, row_key {ROW_KEY}, cls binary, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -92,8 +100,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in texts(b.column(1))], pa.binary())], ["cls", "shingles"])
 
-    rows = docs.select(_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(wanted, "row_key").select("cls", "text")
-    return rows.dropDuplicates(["cls"]).mapInArrow(run, "cls long, shingles binary")
+    rows = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(wanted, "row_key").select("cls", "text")
+    return rows.dropDuplicates(["cls"]).mapInArrow(run, "cls binary, shingles binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -108,36 +116,56 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS)))
     pivots = pairs.select("b", "part").distinct().join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a").join(pivots, ["b", "part"])
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+
+
+def _linked_by_simhash(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of classes that the Gray-order index links: those of one fingerprint with the least of them, and these along the links."""
+    named = staged(classes.groupBy("fp").agg(F.min("cls").alias("top")), "named")
+    same = classes.join(named, "fp").where("cls > top").select(F.col("cls").alias("a"), F.col("top").alias("b"))
+    edges = simhash.links(named.select("fp"))
+    ends = (named.select(F.col("fp").alias(x), F.col("top").alias(f"top_{x}")) for x in ("a", "b"))
+    near = edges.join(next(ends), "a").join(next(ends), "b").select(F.greatest("top_a", "top_b").alias("a"), F.least("top_a", "top_b").alias("b"))
+    out = staged(same.union(near).distinct(), "gray")
+    discard(named)
+    return out
 
 
 def _compare(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(cls, label) of all linked classes, label the least class of the group; None without candidates."""
+    gray = _linked_by_simhash(classes)
     keyed = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
     full = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(keyed.join(full, ["band", "key"]).select("band", "key", "cls", "n", "size", F.col("cls").alias("label")), "members")
-    wanted = members.select("cls").distinct().join(classes.select("cls", "row_key"), "cls")
-    sets, links, labels, tried, pivots = None, None, None, None, PIVOTS
-    while members.limit(1).count():
-        if sets is None:
-            sets = staged(_sets(docs, wanted), "sets")
+    some = members.select("cls").union(gray.select("a")).union(gray.select("b")).distinct()
+    if not some.limit(1).count():
+        discard(gray, members)
+        return None
+    sets = staged(_sets(docs, some.join(classes.select("cls", "row_key"), "cls")), "sets")
+    links, labels, tried, pivots, old = None, None, gray, PIVOTS, []
+    while labels is None or members.limit(1).count():
         rank = F.row_number().over(Window.partitionBy("band", "key").orderBy("cls"))
-        heads = members.select("band", "key", "cls", "n", "label", "size", rank.alias("place")).where((F.col("size") <= SMALL) | (F.col("place") <= pivots))
-        heads = staged(heads, "heads")
+        large = members.where(f"size > {SMALL}").withColumn("place", rank).where(F.col("place") <= pivots).drop("place")  # a task passes on its first few
+        heads = staged(members.where(f"size <= {SMALL}").unionByName(large), "heads")
         b = heads.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
         pairs = members.join(b, ["band", "key"]).where((F.col("b") < F.col("cls")) & (F.col("label") != F.col("lb")))
         pairs = pairs.where(F.least("n", "nb") >= F.lit(SIMILAR) * F.greatest("n", "nb")).select(F.col("cls").alias("a"), "b").distinct()
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        pairs = staged(pairs.union(gray).distinct() if labels is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if labels is None else tried.union(pairs)
         new = _links(pairs, sets)
-        links = staged(new if links is None else links.union(new), "links")
-        labels = components(links).withColumnsRenamed({"node": "cls"})
+        new = staged(new if links is None else links.union(new), "links")
+        old += [pairs, *([] if links is None else [links, labels])]
+        links, labels = new, components(new)
         left = members.join(heads.select("band", "key", "cls"), ["band", "key", "cls"], "left_anti").drop("label")
-        left = left.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        left = left.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_ = left.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        members = staged(left.drop("size").join(open_.select("band", "key", "size"), ["band", "key"]).select("band", "key", "cls", "n", "size", "label"), "members")
-        pivots *= 2
-    return labels
+        rest = staged(left.drop("size").join(open_.select("band", "key", "size"), ["band", "key"]).select("band", "key", "cls", "n", "size", "label"), "members")
+        discard(members, heads)
+        members, pivots = rest, pivots * MORE
+    discard(gray, members, sets, links, *old)
+    out = labels.withColumnsRenamed({"node": "cls"})
+    out.staged_at = labels.staged_at
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -146,11 +174,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts link from a similarity of SIMILAR on; a group is all that links reach. Texts without words are one group.
     """
     rows = staged(_sketches(docs), "sketches")
-    classes = staged(rows.groupBy("cls").agg(F.min_by(F.struct("row_key", "n", "bands"), "row_key").alias("c")).select("cls", "c.*"), "classes")
+    classes = staged(rows.groupBy("cls").agg(F.min_by(F.struct("row_key", "n", "fp", "bands"), "row_key").alias("c")).select("cls", "c.*"), "classes")
     labels = _compare(docs, classes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     best = rows.groupBy("cls").agg(first.alias("f"))
     if labels is not None:
         best = best.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("f").alias("f"))
     kept = staged(best.select(F.col("f.row_key").alias("_key")), "kept")
-    return docs.withColumn("_key", _key()).dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(docs.columns)
+    discard(rows, classes, *([labels] if labels is not None else []))
+    return docs.withColumn("_key", row_key()).dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(docs.columns)

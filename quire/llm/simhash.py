@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces, staged, texts
+from quire.llm.common import ROW_KEY, discard, pieces, row_key, staged, texts
 from quire.llm.components import components
 
 SHINGLE = 3
@@ -40,23 +40,27 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     starts = (ends - size)[:n].tolist()
     stops = ends[min(width, len(words)) - 1 :][:n].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
+    return majority(np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in more than half of the hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 14):
         ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, fp) for every row; fp is the fingerprint as a signed long, 0 for null or wordless texts; row_key hashes id and text."""
+    """(doc_id, row_key, fp) for every row; fp is the fingerprint as a signed long, 0 for null or wordless texts; row_key names id and text."""
 
     def run(batches):
         for b in pieces(batches):
             fps = np.array([fingerprint(t, width) for t in texts(b.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "row_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
+    return rows.mapInArrow(run, f"doc_id long, row_key {ROW_KEY}, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -186,6 +190,12 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*choices)).alias("c")).select("c.part", "c.key", "fp")
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): enough links between distinct fingerprints (fp) that differ in DIFFER bits or fewer to join all that are linked."""
+    keyed = bucket_keys(fps).repartition("part", "key").sortWithinPartitions("part", "key")
+    return keyed.mapInArrow(_bucket_links, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, row_key, fingerprint (16 hex digits), component_id, component_fp, n_links.
 
@@ -196,13 +206,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     rows = staged(fingerprints(docs, width), "fingerprints")
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    keyed = bucket_keys(classes.select("fp")).repartition("part", "key").sortWithinPartitions("part", "key")
-    edges = keyed.mapInArrow(_bucket_links, "a long, b long")
-    labels = components(edges).withColumnsRenamed({"node": "fp"})
-    joined = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    found = components(links(classes.select("fp")))
+    joined = classes.join(found.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     joined = staged(joined, "labelled")
     firsts = joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     named = staged(joined.join(firsts, "label").select("fp", "label", "component_id", (F.col("n") - 1).alias("n_links")), "named")
+    discard(classes, found, joined)
     return rows.join(named, "fp").select(
         "doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("label").alias("component_fp"), "n_links"
     )
@@ -212,5 +221,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row left of each component: the one with the least id, null ids last; of equal rows one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     kept = staged(near_duplicates(docs, **options).groupBy("component_fp").agg(first.alias("f")).select(F.col("f.row_key").alias("_key")), "kept")
-    once = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).dropDuplicates(["_key"])
+    once = docs.withColumn("_key", row_key()).dropDuplicates(["_key"])
     return once.join(kept, "_key", "left_semi").select(docs.columns)
