@@ -38,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur elsewhere out of every text; n_chars follows the text."""
-    return repeats.cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Cuts passages of over 50 words that another text holds too out of every text; n_chars follows the text."""
+    cut = repeats.cut_repeats(docs, repeats.WORDS, anchor=repeats.WORD_ANCHOR, words=True, across=True)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
