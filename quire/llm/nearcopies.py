@@ -27,7 +27,7 @@ SEED = 42
 #: Two sets of similarity s share no bucket with a chance of (1 - s ** ROWS) ** BANDS: 3 in a million at 0.8.
 BANDS, ROWS = 32, 5
 #: Members up to which a bucket compares all its pairs at once; pivots of a larger bucket in the first round.
-SMALL, PIVOTS = 16, 2
+SMALL, PIVOTS = 64, 8
 #: How many times as many pivots the next round has.
 MORE = 7
 #: Parts over which the comparisons with one pivot are dealt.
@@ -93,29 +93,28 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, row_key {ROW_KEY}, cls binary, n long, fp long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, shingles) of the classes wanted, given as (cls, row_key)."""
-
-    def run(batches):
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in texts(b.column(1))], pa.binary())], ["cls", "shingles"])
-
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the classes wanted, given as (cls, row_key)."""
     rows = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(wanted, "row_key").select("cls", "text")
-    return rows.dropDuplicates(["cls"]).mapInArrow(run, "cls binary, shingles binary")
+    return rows.dropDuplicates(["cls"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A pivot b of many pairs is sent to as many parts, so no task gathers them."""
+def _links(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; texts are sent, as they are smaller than their sets. A pivot b of many pairs is sent to as many parts, so no task gathers them."""
 
     def run(batches):
+        last, own = None, None
         for batch in pieces(batches, 8 << 20, 2):
-            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3))
-            keep = pa.array([similar(a, b) for a, b in zip(left, right, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            keep = []
+            for a, name, b in zip(texts(batch.column(2)), batch.column(1).to_pylist(), texts(batch.column(3)), strict=True):
+                if name != last:
+                    last, own = name, shingles(b)
+                keep.append(similar(shingles(a), own))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS)))
-    pivots = pairs.select("b", "part").distinct().join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a").join(pivots, ["b", "part"])
+    pivots = pairs.select("b", "part").distinct().join(found.select(F.col("cls").alias("b"), F.col("text").alias("right")), "b")
+    both = pairs.join(found.select(F.col("cls").alias("a"), F.col("text").alias("left")), "a").join(pivots, ["b", "part"])
     return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
@@ -132,37 +131,46 @@ def _linked_by_simhash(classes: DataFrame) -> DataFrame:
 
 
 def _compare(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """(cls, label) of all linked classes, label the least class of the group; None without candidates."""
+    """(cls, label) of all linked classes, label the least class of the group; None without candidates.
+
+    First each class is compared with one other, the least of those at the head of its buckets, and with its SimHash links. Of a large
+    group of near copies that joins nearly all, a pair a class. Buckets that hold several groups after that go through rounds of pivots.
+    """
     gray = _linked_by_simhash(classes)
     keyed = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
-    full = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(keyed.join(full, ["band", "key"]).select("band", "key", "cls", "n", "size", F.col("cls").alias("label")), "members")
-    some = members.select("cls").union(gray.select("a")).union(gray.select("b")).distinct()
-    if not some.limit(1).count():
-        discard(gray, members)
+    full = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("cls").alias("head")).where("size > 1")
+    members = staged(keyed.join(full.hint("merge"), ["band", "key"]), "members")
+    heads = members.where("cls > head").groupBy(F.col("cls").alias("a")).agg(F.min("head").alias("b"))
+    pairs = staged(heads.union(gray).distinct(), "pairs")
+    discard(gray)
+    if not pairs.limit(1).count():
+        discard(members, pairs)
         return None
-    sets = staged(_sets(docs, some.join(classes.select("cls", "row_key"), "cls")), "sets")
-    links, labels, tried, pivots, old = None, None, gray, PIVOTS, []
-    while labels is None or members.limit(1).count():
+    some = members.select("cls").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    found = staged(_texts(docs, some.join(classes.select("cls", "row_key"), "cls")), "texts")
+    members_now = members.drop("head")
+    links = staged(_links(pairs, found), "links")
+    labels, tried, pivots, old = components(links), pairs, PIVOTS, [pairs]
+    while True:
+        left = members_now.drop("label").join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        open_ = left.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        rest = staged(left.drop("size").join(open_.select("band", "key", "size"), ["band", "key"]).select("band", "key", "cls", "n", "size", "label"), "members")
+        discard(members)
+        members = rest
+        if not members.limit(1).count():
+            break
         rank = F.row_number().over(Window.partitionBy("band", "key").orderBy("cls"))
         large = members.where(f"size > {SMALL}").withColumn("place", rank).where(F.col("place") <= pivots).drop("place")  # a task passes on its first few
         heads = staged(members.where(f"size <= {SMALL}").unionByName(large), "heads")
         b = heads.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
         pairs = members.join(b, ["band", "key"]).where((F.col("b") < F.col("cls")) & (F.col("label") != F.col("lb")))
         pairs = pairs.where(F.least("n", "nb") >= F.lit(SIMILAR) * F.greatest("n", "nb")).select(F.col("cls").alias("a"), "b").distinct()
-        pairs = staged(pairs.union(gray).distinct() if labels is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if labels is None else tried.union(pairs)
-        new = _links(pairs, sets)
-        new = staged(new if links is None else links.union(new), "links")
-        old += [pairs, *([] if links is None else [links, labels])]
-        links, labels = new, components(new)
-        left = members.join(heads.select("band", "key", "cls"), ["band", "key", "cls"], "left_anti").drop("label")
-        left = left.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = left.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        rest = staged(left.drop("size").join(open_.select("band", "key", "size"), ["band", "key"]).select("band", "key", "cls", "n", "size", "label"), "members")
-        discard(members, heads)
-        members, pivots = rest, pivots * MORE
-    discard(gray, members, sets, links, *old)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = staged(links.union(_links(pairs, found)), "links")
+        old += [pairs, links, labels, heads]
+        tried, links, labels = tried.union(pairs), more, components(more)
+        members_now, pivots = members.join(heads.select("band", "key", "cls"), ["band", "key", "cls"], "left_anti"), pivots * MORE
+    discard(members, found, links, *old)
     out = labels.withColumnsRenamed({"node": "cls"})
     out.staged_at = labels.staged_at
     return out

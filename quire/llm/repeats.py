@@ -153,17 +153,18 @@ class Contexts:
         return x - (1 << 64) if x >= 1 << 63 else x
 
 
-#: key: hash of the anchor; ctx, ctx2: of the context; rid: of the row; t1, t2: of its text; c, s: pivot and span of the context, in symbols;
-#: many: known to be in several texts.
-ROWS = "key long, ctx long, ctx2 long, rid long, t1 long, t2 long, c int, s int, many boolean"
+#: key: hash of the anchor; ctx, ctx2: of the context; rid: of the row; t1, t2: of its text; at: pivot c and span s of
+#: the context, in symbols, and many, whether it is known to be in several texts, as c << 32 | s << 1 | many, since these rows are what is shuffled.
+ROWS = "key long, ctx long, ctx2 long, rid long, t1 long, t2 long, at long"
 TEXT = ("rid", "t1", "t2")
 
 
 def _rows(key: np.ndarray, digests: bytes, names: list[tuple], each: list[int], c: np.ndarray, s: np.ndarray, many: list[bool]) -> pa.RecordBatch:
     ctx = np.frombuffer(digests, "<i8").reshape(-1, 2)
     who = np.repeat(np.array(names, np.int64).reshape(-1, 3), each, axis=0)
-    cols = [key, ctx[:, 0], ctx[:, 1], who[:, 0], who[:, 1], who[:, 2], c.astype(np.int32), s.astype(np.int32), many]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "ctx", "ctx2", *TEXT, "c", "s", "many"])
+    at = c.astype(np.int64) << 32 | s.astype(np.int64) << 1 | np.asarray(many, np.int64)
+    cols = [key, ctx[:, 0], ctx[:, 1], who[:, 0], who[:, 1], who[:, 2], at]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "ctx", "ctx2", *TEXT, "at"])
 
 
 def _names(b: pa.RecordBatch) -> list[tuple]:
@@ -427,15 +428,19 @@ def _identified(docs: DataFrame) -> DataFrame:
 def _live(rows: DataFrame, name: str, across: bool) -> DataFrame:
     """Rows whose anchor occurs in two places or more, a row per place, with: n, the contexts of the anchor; whether the context
     is in two places (two texts, if across); whether the row stands for it. Copies of a text count once: the row of least rid is kept."""
-    place = F.xxhash64("t1", "t2", "c")
-    who = F.xxhash64("t1", "t2") if across else place
-    contexts = rows.groupBy("key", "ctx", "ctx2").agg(F.min(place).alias("first"), F.min(who).alias("a"), F.max(who).alias("b"), F.max("many").alias("many"))
-    contexts = staged(contexts.select("key", "ctx", "ctx2", "first", ((F.col("a") != F.col("b")) | F.col("many")).alias("shared")), f"{name}-contexts")
+    place, many = F.xxhash64("t1", "t2", F.shiftright("at", 32)), F.col("at").bitwiseAND(F.lit(1).cast("long"))
+    if across:
+        several = (F.min("t1") != F.max("t1")) | (F.min("t2") != F.max("t2")) | (F.max(many) > 0)
+    else:
+        several = F.min(place) != F.max(place)
+    contexts = staged(rows.groupBy("key", "ctx", "ctx2").agg(F.min(place).alias("first"), several.alias("shared")), f"{name}-contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("n"), F.max("shared").alias("some")).where("n > 1 or some").select("key", "n")
-    # a table of its own, so that the join below shuffles both sides for itself and Spark can split a hot context
+    # a table of its own, so that the join below shuffles both sides for itself and Spark can split a hot context; at every size
     some = staged(contexts.join(keys, "key"), f"{name}-live-contexts")
-    live = rows.drop("many").join(some, ["key", "ctx", "ctx2"]).withColumn("stands", place == F.col("first")).drop("first")
-    live = staged(live.groupBy(*[x for x in live.columns if x != "rid"]).agg(F.min("rid").alias("rid")), f"{name}-live")
+    live = rows.join(some.hint("merge"), ["key", "ctx", "ctx2"]).withColumn("stands", place == F.col("first")).drop("first")
+    live = live.groupBy(*[x for x in live.columns if x != "rid"]).agg(F.min("rid").alias("rid"))
+    c, s = F.shiftright("at", 32).cast("int"), F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    live = staged(live.select("*", c.alias("c"), s.alias("s")).drop("at"), f"{name}-live")
     discard(rows, contexts, some)
     return live
 
