@@ -43,7 +43,7 @@ def _byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """Encoder for a `tokenizers` JSON file of BPE with word ends; the file's normaliser and splitter are its own."""
+    """Encoder for a `tokenizers` JSON file of BPE with word ends; the file's normaliser is its own. A file whose splitter or merging is another is refused."""
 
     #: The file's pattern of words.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,6 +53,7 @@ class WordBpe:
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        self.check(spec, path)
         self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -89,6 +90,22 @@ class WordBpe:
         self.complete = bool((self.inner >= 0).all() and (self.last >= 0).all())
         self.reachable = self.find_reachable()
 
+    @classmethod
+    def check(cls, spec: dict, path: str) -> None:
+        """Refuses a file that this encoder would not follow."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split = steps[0] if len(steps) == 2 else {}
+        known = split.get("type") == "Split" and split.get("pattern") == {"Regex": cls.PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        letters = known and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and steps[1].get("use_regex") is False
+        if not letters:
+            raise ValueError(f"{path}: splits words in another way than this encoder")
+        lower = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if lower != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"{path}: normalises in another way than this encoder")
+        model = spec["model"]
+        if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path}: merges in another way than this encoder")
+
     # -- speculation -------------------------------------------------------------------------
     def symbols(self, word: str) -> list[str]:
         out = [self.letters[b] for b in word.encode()]

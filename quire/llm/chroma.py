@@ -22,8 +22,8 @@ LOWEST, HIGHEST = 60.0, 3600.0
 SPAN = 12
 #: Shared keys at one offset that make a candidate, share of differing bits up to which it is a match, least overlap in frames and as a share of the shorter.
 LEAST_HITS, MOST_ERROR, LEAST_OVERLAP, LEAST_SHARE = 3, 0.2, 8, 0.6
-#: Frames of a block of queries; a block is broadcast.
-BLOCK_FRAMES = 1 << 20
+#: Frames of a block of queries, about: what a task holds; frames of a group of recordings that pass it.
+BLOCK_FRAMES, GROUP_FRAMES = 1 << 20, 1 << 23
 
 
 def _fold() -> np.ndarray:
@@ -89,13 +89,6 @@ def fingerprint(sound: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of neighbouring integers and the first frame of each."""
-    if len(fp) < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.unique(fp[:-1].astype(np.uint64) << np.uint64(32) | fp[1:], return_index=True)
-
-
 def fingerprints(media: DataFrame, key: str = "doc_id", column: str = "audio") -> DataFrame:
     """(rec_id, n_frames, fp) of every row; column holds unsigned 8-bit mono sound as bytes, null counting as empty; fp is little-endian uint32."""
 
@@ -206,85 +199,106 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[first + offset : last + offset] ^ b[first:last]).sum()) / (32 * n), n
 
 
-def search(prints: DataFrame, every: int = 20, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+def classes_of(prints: DataFrame, every: int) -> DataFrame:
+    """Distinct fingerprints that are not empty: h1, h2 (128 bits that name one), fp, n_frames, n (rows), none and id (the least id, null last), asked (whether a query has it), staged."""
+    rows = prints.where("n_frames > 0").select(*_name(), "rec_id", "n_frames", "fp")
+    who = F.min(F.struct(F.col("rec_id").isNull().alias("none"), F.col("rec_id").alias("id")))
+    asked = F.max(F.coalesce(F.col("rec_id") % every == 0, F.lit(False)))
+    found = rows.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n_frames").alias("n_frames"), F.count("*").alias("n"), who.alias("who"), asked.alias("asked"))
+    return staged(found.select("h1", "h2", "fp", "n_frames", "n", "who.none", "who.id", "asked"), "classes")
+
+
+def _name() -> list[F.Column]:
+    return [F.xxhash64("fp").alias("h1"), F.xxhash64(F.lit(1), "fp").alias("h2")]
+
+
+def _cell_rows(batches):
+    """Rows (cell, kind, h1, h2, fp, n, none, id) sorted by cell and kind, a cell's queries (kind 0) before its recordings: each query's links in the cell, summed."""
+    now, names, data, index, found = None, [], [], None, {}
+
+    def flush():
+        at = sorted(found)
+        cols = [[names[q][0] for q in at], [names[q][1] for q in at], [found[q][0] for q in at], [found[q][1][1] for q in at], [None if found[q][1][1] else found[q][1][2] for q in at], [found[q][1][3] for q in at], [found[q][1][0] for q in at]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", "n", "none", "id", "offset", "error"])
+
+    for b in pieces(batches, 1 << 19, 4):
+        cells, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+        starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])])
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+            if cells[at] != now:
+                if found:
+                    yield flush()
+                now, names, data, index, found = cells[at], [], [], None, {}
+            part = b.slice(at, end - at)
+            who = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist()))
+            prints = [np.frombuffer(x, "<u4") for x in part.column(4).to_pylist()]
+            if kinds[at] == 0:
+                names += who
+                data += prints
+            elif data:
+                index = index or Index(data)
+                _link(index, names, who, prints, part.column(5).to_pylist(), part.column(6).to_pylist(), part.column(7).to_pylist(), found)
+    if found:
+        yield flush()
+
+
+def _link(index: Index, names: list, who: list, prints: list[np.ndarray], n: list[int], none: list[bool], ids: list[int | None], found: dict) -> None:
+    """Adds to found, by query, the rows of the recordings that align with it, and the best: least error, then least id, null last."""
+    size, lens = np.array([len(d) for d in index.prints]), np.array([len(x) for x in prints])
+    for rs, qs, offsets in index.candidates(prints):
+        over = np.minimum(size[qs], lens[rs] - offsets) - np.maximum(0, -offsets)
+        wide = over >= np.maximum(LEAST_OVERLAP, LEAST_SHARE * np.minimum(lens[rs], size[qs]))
+        linked: dict[tuple, tuple] = {}
+        for r, q, o in zip(rs[wide].tolist(), qs[wide].tolist(), offsets[wide].tolist(), strict=True):
+            if who[r] == names[q]:  # rows of one fingerprint are counted apart
+                continue
+            error, _ = bit_error(prints[r], index.prints[q], o)
+            if error <= MOST_ERROR and ((r, q) not in linked or (error, abs(o), o) < linked[r, q]):
+                linked[r, q] = (error, abs(o), o)
+        for (r, q), (error, _, o) in linked.items():  # a pair's offsets come in one block
+            best = (error, none[r], ids[r] or 0, o)
+            count, known = found.get(q, (0, best))
+            found[q] = (count + n[r], min(best, known))
+
+
+def search(prints: DataFrame, every: int = 20, block_frames: int = BLOCK_FRAMES, group_frames: int = GROUP_FRAMES) -> DataFrame:
     """One row per query, a recording whose id is divisible by `every`: rec_id, n_frames, n_links, best_id, best_offset, best_error.
 
     A link is another recording that aligns: enough shared keys at one offset, few differing bits over an
-    overlap of enough frames. best is the link with least error, then least id. Each task sums its links by
-    query, so what is sent on is at most a row per query and task. Equal fingerprints of any length, but the
-    empty one, are links at offset 0. Queries without links have n_links 0. Null ids are no queries but may be found.
+    overlap of enough frames. best is the link with least error, then least id. Equal fingerprints of any length, but the
+    empty one, are links at offset 0 if their ids differ; rows of one id but different sound are queries, and links of each other.
+    Queries without links have n_links 0. Null ids are no queries but may be found.
+
+    Recordings of one fingerprint are compared once. Blocks of queries meet groups of recordings in cells, dealt by a shuffle; the driver
+    sees sums of frames. A cell passes on a row per query at most.
     """
     prints = staged(prints, "prints")
-    wanted = prints.where(F.col("rec_id") % every == 0)
-    out = None
-    for names, data in _blocks(wanted, block_frames):
-        shared = prints.sparkSession.sparkContext.broadcast((names, data))
-
-        def run(batches, shared=shared):
-            names, data = shared.value
-            index = Index(data)
-            own = np.array(names, dtype=np.int64)
-            count = np.zeros(len(own), np.int64)
-            best: dict[int, tuple] = {}
-            size = np.array([len(d) for d in data])
-            for b in pieces(batches, 1 << 19, 2):
-                recs = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
-                ids = b.column(0).to_pylist()
-                lens = np.array([len(x) for x in recs])
-                for rs, qs, offsets in index.candidates(recs):
-                    over = np.minimum(size[qs], lens[rs] - offsets) - np.maximum(0, -offsets)
-                    wide = over >= np.maximum(LEAST_OVERLAP, LEAST_SHARE * np.minimum(lens[rs], size[qs]))
-                    linked: dict[tuple, tuple] = {}
-                    for r, q, o in zip(rs[wide].tolist(), qs[wide].tolist(), offsets[wide].tolist(), strict=True):
-                        if ids[r] == names[q] or (len(recs[r]) == len(data[q]) and np.array_equal(recs[r], data[q])):
-                            continue
-                        error, _ = bit_error(recs[r], data[q], o)
-                        if error <= MOST_ERROR and ((r, q) not in linked or (error, abs(o), o) < linked[r, q]):
-                            linked[r, q] = (error, abs(o), o)
-                    for (r, q), (error, _, o) in linked.items():  # a pair's offsets come in one block
-                        count[q] += 1
-                        found = (error, ids[r] is None, ids[r] or 0, o)
-                        if q not in best or found < best[q]:
-                            best[q] = found
-            at = sorted(best)
-            cols = [[names[q] for q in at], count[at].tolist(), [None if best[q][1] else best[q][2] for q in at], [best[q][3] for q in at], [best[q][0] for q in at]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["rec_id", "n", "id", "offset", "error"])
-
-        found = prints.mapInArrow(run, "rec_id long, n long, id long, offset long, error double")
-        out = found if out is None else out.unionByName(found)
-    queries = wanted.select("rec_id", "n_frames")
-    none = F.lit(0).cast("long")
-    same = _equal(prints, wanted)
-    out = same if out is None else out.unionByName(same)
-    best = F.min(F.struct("error", F.col("id").isNull().alias("none"), "id", "offset"))
-    links = staged(out.groupBy("rec_id").agg(F.sum("n").alias("n_links"), best.alias("b")), "links")
-    return queries.join(links, "rec_id", "left").select("rec_id", "n_frames", F.coalesce("n_links", none).alias("n_links"), F.col("b.id").alias("best_id"), F.col("b.offset").alias("best_offset"), F.col("b.error").alias("best_error"))
-
-
-def _equal(prints: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rec_id, n, id, offset, error): how many rows of other ids have a query's own fingerprint, and the least of their ids, null last; counted by fingerprint, never paired."""
-    ids = staged(prints.where("n_frames > 0").groupBy(F.sha2("fp", 256).alias("key"), "rec_id").agg(F.count("*").alias("n")), "equal")
+    classes = classes_of(prints, every)
+    frames = classes.where(f"n_frames >= {LEAST_OVERLAP}").agg(F.sum(F.when(F.col("asked"), F.col("n_frames"))), F.sum("n_frames"), F.count("*")).first()
+    blocks = max(1, -(-(frames[0] or 0) // block_frames))
+    groups = max(1, -(-(frames[1] or 0) // group_frames), min(frames[2], -(-4 * prints.sparkSession.sparkContext.defaultParallelism // blocks)))
+    each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long")))
+    long_ = classes.where(f"n_frames >= {LEAST_OVERLAP}")
+    asked = long_.where("asked").withColumn("kind", F.lit(0)).withColumn("a", F.pmod("h1", F.lit(blocks))).withColumn("b", each(groups))
+    given = long_.withColumn("kind", F.lit(1)).withColumn("b", F.pmod("h2", F.lit(groups))).withColumn("a", each(blocks))
+    cells = asked.unionByName(given).withColumn("cell", F.col("a") * groups + F.col("b")).select("cell", "kind", "h1", "h2", "fp", "n", "none", "id")
+    found = cells.repartition(blocks * groups, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_cell_rows, "h1 long, h2 long, n long, none boolean, id long, offset long, error double")
+    best = F.min(F.struct("error", "none", "id", "offset"))
+    links = staged(found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), best.alias("b")), "links")
+    wanted = prints.where(F.col("rec_id") % every == 0).select("rec_id", "n_frames", *_name())
+    rows = wanted.join(links, ["h1", "h2"], "left").join(_equal(prints, every), ["h1", "h2", "rec_id"], "left")
+    zero = F.lit(0).cast("long")
+    top = F.least("b", F.when(F.col("same") > 0, F.struct(F.lit(0.0).alias("error"), F.col("other.none").alias("none"), F.col("other.id").alias("id"), zero.alias("offset"))))
+    return rows.select("rec_id", "n_frames", (F.coalesce("n", zero) + F.coalesce("same", zero)).alias("n_links"), top.getField("id").alias("best_id"), top.getField("offset").alias("best_offset"), top.getField("error").alias("best_error"))
+
+
+def _equal(prints: DataFrame, every: int) -> DataFrame:
+    """(h1, h2, rec_id, same, other): for queries, how many rows of other ids have the fingerprint, and the least of their ids, null last; counted by fingerprint, never paired."""
     who = F.struct(F.col("rec_id").isNull().alias("none"), F.col("rec_id").alias("id"))
-    tops = ids.groupBy("key").agg(F.sum("n").alias("total"), F.min(who).alias("a"), F.count("*").alias("size")).where("size > 1")
-    second = ids.join(tops.select("key", "a"), "key").where(~who.eqNullSafe(F.col("a"))).groupBy("key").agg(F.min(who).alias("b"))
-    own = wanted.groupBy("rec_id").agg(F.min("fp").alias("fp")).select("rec_id", F.sha2("fp", 256).alias("key")).join(ids, ["key", "rec_id"])
-    other = F.when(F.col("a.id").eqNullSafe(F.col("rec_id")), F.col("b.id")).otherwise(F.col("a.id"))
-    return own.join(tops, "key").join(second, "key").select("rec_id", (F.col("total") - F.col("n")).alias("n"), other.alias("id"), F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("error"))
-
-
-def _blocks(wanted: DataFrame, block_frames: int):
-    """Queries' ids and fingerprints, a block on the driver at a time; equal ids are one query, of their first fingerprint."""
-    names, data, frames = [], [], 0
-    for r in wanted.groupBy("rec_id").agg(F.min("fp").alias("fp")).toLocalIterator():
-        fp = np.frombuffer(bytes(r["fp"]), "<u4")
-        if len(fp) < LEAST_OVERLAP:
-            continue
-        names.append(r["rec_id"])
-        data.append(fp)
-        frames += len(fp)
-        if frames >= block_frames:
-            yield names, data
-            names, data, frames = [], [], 0
-    if names:
-        yield names, data
+    ids = staged(prints.where("n_frames > 0").select(*_name(), "rec_id").groupBy("h1", "h2", "rec_id").agg(F.count("*").alias("own")), "equal")
+    tops = ids.groupBy("h1", "h2").agg(F.sum("own").alias("total"), F.min(who).alias("a"), F.count("*").alias("size")).where("size > 1")
+    second = ids.join(tops.select("h1", "h2", "a"), ["h1", "h2"]).where(~who.eqNullSafe(F.col("a"))).groupBy("h1", "h2").agg(F.min(who).alias("b"))
+    rows = ids.where(F.col("rec_id") % every == 0).join(tops, ["h1", "h2"]).join(second, ["h1", "h2"])
+    other = F.when(F.col("a.id").eqNullSafe(F.col("rec_id")), F.col("b")).otherwise(F.col("a"))
+    return rows.select("h1", "h2", "rec_id", (F.col("total") - F.col("own")).alias("same"), other.alias("other"))

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import in_training_fold, pieces, texts
+from quire.llm.samples import fraction
 
 NGRAMS = (1, 2, 3)
 BINS = 1 << 14
-#: Labelled texts a language gives at most, and landmarks of them; nothing else in this operator is a sample.
+#: Labelled texts a language gives, about, and landmarks of them; nothing else in this operator is a sample.
 SAMPLE_PER_LANGUAGE = 160
 LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-2
@@ -104,18 +105,23 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS_PER_LANGU
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """At most per_language labelled training texts of each language, those whose hashed ids come first; no other rows are learnt from."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold(5, 0)).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")).alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    first = rows.select("lang", "h").distinct().withColumn("n", place).where(F.col("n") <= per_language)
-    cuts = [(r["lang"], r["h"]) for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()]
-    if len(cuts) <= 256:  # a filter of a known size: no text is shuffled to be chosen
-        chosen = F.lit(False)
-        for lang, h in cuts:
-            chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
-        picked = rows.where(chosen)
+    """About per_language labelled training texts of each language (all, if there are no more); no other rows are learnt from.
+
+    A row is chosen by the hash of its id and text against the share that per_language is of its language, so no
+    task ranks rows, reruns agree, and rows of one id with different texts are different rows. Equal rows count once.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold(5, 0))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    place = fraction(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("langid"))
+    shares = [(r["lang"], per_language / r["n"]) for r in sizes.limit(257).collect()]
+    if len(shares) <= 256:  # a filter of a known size: no text is shuffled to be chosen
+        share = F.lit(1.0)
+        for lang, x in shares:
+            share = F.when(F.col("lang") == lang, x).otherwise(share)
+        picked = rows.where(place < share)
     else:
-        picked = rows.join(first.select("lang", "h"), ["lang", "h"], "left_semi")
+        picked = rows.join(sizes, "lang").where(place < F.lit(float(per_language)) / F.col("n"))
+    picked = picked.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
 
     def run(batches):
         for b in pieces(batches, 1 << 20):

@@ -3,9 +3,10 @@
 A vector's dimensions are its terms. In a shard, dimension d contributes to query q between q_d * low_d
 and q_d * high_d; above that floor the contributions are postings' impacts, none negative. Terms are
 taken from the largest possible impact down. Those whose impacts together cannot lift a vector over the
-query's k-th best score so far are non-essential: vectors are found through the essential terms'
-postings only, and the others are probed in steps for the vectors that stay competitive. A task
-carries each query's best k from shard to shard; the tasks' lists are merged by score and id.
+query's k-th best score so far are non-essential: vectors are found through all essential terms'
+postings, and the others are probed in steps for the vectors that stay competitive. Vectors are dense, so
+a term's postings are a column of the shard. Queries in blocks and shards in groups make a grid of
+cells; a task carries the best k of a cell's queries from shard to shard, and the cells' lists are merged by score and id.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import staged
 
 SHARD = 4096
-#: Queries of a block; a block is broadcast, and its size is this many vectors at most.
+#: Queries of a block, about: what a task holds.
 BLOCK = 8192
+#: Shards of a group: what a cell's lists stand for.
+GROUP = 64
 PROBE = 8
 SCALE = 64
 
@@ -101,7 +104,8 @@ class Searcher:
         high = np.zeros(wide, np.int64)
         low[: parts.shape[1]], high[: parts.shape[1]] = parts.min(0), parts.max(0)
         most = float(np.abs(parts).max(initial=0)) * float(np.abs(queries).max(initial=0)) * wide
-        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # exact in each
+        # exact in each: sums reach twice the bound once the floor is taken off, thrice when it is compared
+        kind = np.float32 if most < 2**22 else np.float64 if most < 2**51 else np.int64
         columns = np.zeros((wide, len(ids)), kind)
         columns[: parts.shape[1]] = parts.T
         for i in range(len(self.block.ids)):
@@ -122,7 +126,7 @@ class Searcher:
         if bar is not None and essential == 0 and base + int(rest[0]) < bar:
             self.skipped += len(ids)
             return
-        first = terms[: max(PROBE, min(essential, len(terms)))] if bar is None else terms[: min(len(terms), max(PROBE, (essential + 1) // 2))]
+        first = terms[: max(PROBE, essential)]
         total = q[first].astype(kind) @ columns[first] - kind(int(floor[first].sum()))
         at, live = len(first), None
         if own >= 0:
@@ -155,63 +159,78 @@ class Searcher:
 
     def rows(self) -> pa.RecordBatch:
         n = [len(s) for s, _ in self.best]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(len(n)), n).astype(np.int64)), pa.array(np.repeat(self.block.ids, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *(i for _, i in self.best)])), pa.array(np.concatenate([np.zeros(0, np.int64), *(s for s, _ in self.best)]))],
-            ["q", "query_id", "vec_id", "score"],
-        )
+        who = [np.repeat(x, n) for x in (self.block.shard, self.block.row, self.block.ids)]
+        found = [np.concatenate([np.zeros(0, np.int64), *x]) for x in ([i for _, i in self.best], [s for s, _ in self.best])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*who, *found)], ["shard", "row", "query_id", "vec_id", "score"])
 
 
-def query_blocks(packed: DataFrame, every: int, block: int):
-    """Blocks of the queries, rows whose id is divisible by `every`, one block on the driver at a time."""
+def _block(held) -> Block:
+    wide = max(m.shape[1] for _, m, _, _ in held)
+    vectors = np.concatenate([np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for _, m, _, _ in held])
+    return Block(np.concatenate([h[0] for h in held]), vectors, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
+
+
+def _search(k: int):
+    """Rows (cell, kind, ids, parts, wide, shard, rows) sorted by cell and kind, a cell's queries (kind 0) before its shards: lists of the best."""
 
-    def pick(batches):
+    def run(batches):
+        now, held, searcher = None, [], None
+        for b in batches:
+            for cell, kind, ids, parts, wide, shard, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if cell != now:
+                    if searcher is not None:
+                        yield searcher.rows()
+                    now, held, searcher = cell, [], None
+                i, m = unpack(ids, parts, wide)
+                if kind == 0:
+                    held.append((i, m, np.full(len(i), shard), np.frombuffer(rows, "<i8")))
+                    continue
+                if searcher is None:
+                    if not held:  # no query fell into the cell's block
+                        continue
+                    searcher = Searcher(_block(held), k)
+                searcher.pass_shard(shard, i, m)
+        if searcher is not None:
+            yield searcher.rows()
+
+    return run
+
+
+def query_rows(packed: DataFrame, every: int) -> DataFrame:
+    """The queries of each shard: rows whose id is divisible by `every`, with their places in the shard."""
+
+    def run(batches):
         for b in batches:
             for ids, parts, wide, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 i, m = unpack(ids, parts, wide)
                 rows = np.flatnonzero(i % every == 0)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((i[rows].tobytes(), pa.binary()), (m[rows].tobytes(), pa.binary()), (wide, pa.int32()), (shard, pa.int64()), (rows.astype("<i8").tobytes(), pa.binary()))], ["ids", "parts", "wide", "shard", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((i[rows].tobytes(), pa.binary()), (m[rows].tobytes(), pa.binary()), (wide, pa.int32()), (shard, pa.int64()), (rows.astype("<i8").tobytes(), pa.binary()), (len(rows), pa.int64()))], ["ids", "parts", "wide", "shard", "rows", "n"])
 
-    held, count = [], 0
-    for r in packed.mapInArrow(pick, "ids binary, parts binary, wide int, shard long, rows binary").toLocalIterator():
-        i, m = unpack(bytes(r["ids"]), bytes(r["parts"]), r["wide"])
-        held.append((i, m, np.full(len(i), r["shard"]), np.frombuffer(bytes(r["rows"]), "<i8")))
-        count += len(i)
-        if count >= block:
-            yield _block(held)
-            held, count = [], 0
-    if held:
-        yield _block(held)
+    return packed.mapInArrow(run, "ids binary, parts binary, wide int, shard long, rows binary, n long")
 
 
-def _block(held) -> Block:
-    wide = max(m.shape[1] for _, m, _, _ in held)
-    vectors = np.concatenate([np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for _, m, _, _ in held])
-    return Block(np.concatenate([h[0] for h in held]), vectors, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
-
-
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = SCALE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = SCALE, shard: int = SHARD, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores among all rows but its own, ties to the smaller id.
 
     Queries are the rows whose vec_id is divisible by `every`; repeated rows are queries of their own and
     candidates for each other. Null ids, null vectors and vectors with a null or non-finite component take
-    no part; a shorter vector counts as filled with zeros. Scores must stay below 2 ** 63.
+    no part; a shorter vector counts as filled with zeros. Scores must stay below 2 ** 61. The driver sees two counts:
+    blocks of queries meet groups of shards in cells, dealt by a shuffle.
     """
     spark = vectors.sparkSession
     packed = staged(shards(vectors, scale=scale, size=shard), "shards")
-    out = None
-    for number, queries in enumerate(query_blocks(packed, every, block)):
-        shared = spark.sparkContext.broadcast(queries)
-
-        def run(batches, shared=shared):
-            searcher = Searcher(shared.value, k)
-            for b in batches:
-                for ids, parts, wide, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    searcher.pass_shard(s, *unpack(ids, parts, wide))
-            yield searcher.rows()
-
-        found = packed.mapInArrow(run, "q long, query_id long, vec_id long, score long").withColumn("block", F.lit(number))
-        best = F.row_number().over(Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id"))
-        found = found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    queries = staged(query_rows(packed, every), "queries")
+    blocks = max(1, -(-(queries.agg(F.sum("n")).first()[0] or 0) // block))
+    n = packed.count()
+    groups = max(1, -(-n // group), min(n, -(-2 * spark.sparkContext.defaultParallelism // blocks)))
+    own_block, own_group = (F.pmod(F.xxhash64("shard", F.lit(x)), F.lit(y)) for x, y in ((1, blocks), (2, groups)))
+    each = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long")))
+    asked = queries.select("*", own_block.alias("a"), each(groups).alias("b")).withColumn("kind", F.lit(0))
+    given = packed.select("*", F.lit(None).cast("binary").alias("rows"), own_group.alias("b"), each(blocks).alias("a")).withColumn("kind", F.lit(1))
+    names = ["cell", "kind", "ids", "parts", "wide", "shard", "rows"]
+    cells = asked.drop("n").unionByName(given).withColumn("cell", F.col("a") * groups + F.col("b")).select(*names)
+    dealt = cells.repartition(blocks * groups, "cell").sortWithinPartitions("cell", "kind")
+    found = dealt.mapInArrow(_search(k), "shard long, row long, query_id long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("shard", "row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

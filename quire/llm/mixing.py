@@ -2,9 +2,10 @@
 
 Every document gets the fractional number of copies that takes its source to its target. Pairs of
 documents then exchange mass, measured in words, in a random direction until one of the two holds a
-whole number; what is left of a bucket is one document, and the buckets' leftovers meet in a
-reduction tree. So a source's words differ from its target by less than one document's size; a source
-of one bucket, where one document may be much of it, swaps small ones to come nearer.
+whole number. A bucket's largest documents come first, each paired with all smaller ones together: it
+becomes whole at its own chance, and they take up or give the difference. What is left of a bucket is one small document, and the
+buckets' leftovers meet in a reduction tree that works the same way. Every document keeps its chance, and a
+source's words differ from its target by a part of the last leftover.
 """
 
 from __future__ import annotations
@@ -16,42 +17,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, staged
+from quire.llm.common import WORD, discard, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BUCKET_ROWS = 4096
 FAN_IN = 1024
+#: Documents of a bucket, the largest first, that are paired with all smaller ones together.
+LARGEST = 256
 SEED = 20
 
 
-def targets(sizes: list[float], weights: list[float], cap: float = MAX_COPIES) -> list[float]:
-    """Shares of the sum of sizes by weight, none above cap times its size; the excess is reshared by weight."""
-    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / total > cap * sizes[i]]
-        if not above:
-            for i in open_:
-                out[i] = left * weights[i] / total
-            break
-        for i in above:
-            out[i] = float(cap * sizes[i])
-        closed = set(above)
-        left -= sum(out[i] for i in above)
-        open_ = [i for i in open_ if i not in closed]
-    return out
-
-
 def pivot(sizes: list[float], probs: list[float], rng: np.random.Generator) -> tuple[list[int], int, float]:
-    """Rounds probs to 0 or 1 so that the sum of size * prob stays; returns the bits, and the index and probability of what is left over (-1: nothing)."""
-    bits, held, p = [0] * len(sizes), -1, 0.0
+    """Rounds probs to 0 or 1, each at its own chance, so that the sum of size * prob stays; sizes descend.
+
+    Returns the bits, and the index and probability of what is left over (-1: nothing).
+    """
+    bits, held, p = [int(q >= 1) for q in probs], -1, 0.0
     draws = rng.random(len(sizes)).tolist()
-    for i, (s, q) in enumerate(zip(sizes, probs, strict=True)):
-        if s <= 0 or q <= 0:
-            continue
-        if q >= 1:
-            bits[i] = 1
+    open_ = [i for i, (s, q) in enumerate(zip(sizes, probs, strict=True)) if s > 0 and 0 < q < 1]
+    size, chance, rest = np.array([sizes[i] for i in open_]), np.array([probs[i] for i in open_]), 0
+    for k, i in enumerate(open_[:LARGEST]):
+        s, q, later = size[k], chance[k], chance[k + 1 :]
+        # the smaller ones move along one direction, to and fro, so that each keeps its chance
+        way = later * (1 - later)
+        width = float(size[k + 1 :] @ way)
+        if max(q, 1 - q) * s >= width:  # they can't take it up either way
+            break
+        bits[i], rest = int(draws[i] < q), k + 1
+        later += way * ((q - bits[i]) * s / width)
+    for i, q in zip(open_[rest:], chance[rest:].tolist()):
+        s = sizes[i]
+        if q <= 1e-12 or q >= 1 - 1e-12:
+            bits[i] = int(q > 0.5)
             continue
         if held < 0:
             held, p = i, q
@@ -73,30 +71,25 @@ def pivot(sizes: list[float], probs: list[float], rng: np.random.Generator) -> t
     return bits, held, p
 
 
-def mend(sizes: list[float], bits: list[int], free: list[bool], off: float) -> None:
-    """Swaps bits of free documents, the large first, while that brings the sum, which is off by `off` words, nearer."""
-    for i in sorted((i for i, f in enumerate(free) if f and sizes[i] > 0), key=lambda i: (-sizes[i], i)):
-        change = sizes[i] if bits[i] == 0 else -sizes[i]
-        if abs(off + change) < abs(off):
-            bits[i], off = 1 - bits[i], off + change
+def _rng(*key: int) -> np.random.Generator:
+    return np.random.default_rng([int(k) & 0xFFFFFFFF for k in key])
 
 
-def _rng(*key: int) -> np.random.Generator:
-    return np.random.default_rng([SEED, *(int(k) & 0xFFFFFFFF for k in key)])
+def _first(seed: int):
+    """Over a bucket of classes of equal rows: the whole part of a class's extra copies is dealt at once, the rest pivots."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _bucket(pdf, seed)
+
+    return run
 
-def _first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket of classes of equal rows: the whole part of a class's extra copies is dealt at once, the rest pivots."""
-    # the large first: what is left over then meets many small ones, each moving it a little, and seldom stays large
+
+def _bucket(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     mass = pdf["frac"].to_numpy() * pdf["n"].to_numpy()
     whole = np.floor(mass + 1e-12)
-    sizes, probs, rng = pdf["size"].astype(float).tolist(), np.clip(mass - whole, 0, 1).tolist(), _rng(pdf["sid"][0], pdf["bucket"][0])
+    sizes, probs, rng = pdf["size"].astype(float).tolist(), np.clip(mass - whole, 0, 1).tolist(), _rng(seed, pdf["sid"][0], pdf["bucket"][0])
     bits, held, p = pivot(sizes, probs, rng)
-    if held >= 0 and pdf["only"][0]:  # a source of one bucket ends here, and others make up for its last document
-        bits[held] = int(rng.random() < p)
-        mend(sizes, bits, [i != held and 0 < q < 1 for i, q in enumerate(probs)], (bits[held] - p) * sizes[held])
-        held = -1
     pdf["extra"] = whole.astype("int64") + np.array(bits, dtype="int64")
     left = np.full(len(pdf), np.nan)
     if held >= 0:
@@ -105,10 +98,10 @@ def _first(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["sid", "bucket", "doc_id", "size", "n", "extra", "left"]]
 
 
-def _next(last: bool, level: int):
+def _next(last: bool, level: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "bucket"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        rng = _rng(pdf["sid"][0], pdf["node"][0], level + 1)
+        rng = _rng(seed, pdf["sid"][0], pdf["node"][0], level + 1)
         bits, held, p = pivot(pdf["size"].astype(float).tolist(), pdf["left"].tolist(), rng)
         left = np.full(len(pdf), np.nan)
         if held >= 0:
@@ -121,35 +114,62 @@ def _next(last: bool, level: int):
     return run
 
 
-def source_targets(rows: DataFrame, weights=WEIGHTS, cap: float = MAX_COPIES):
-    """One row per source in code-point order, null last: (sid, source, rows, source_size, target)."""
-    found = sorted(((r["source"], r["rows"], r["source_size"]) for r in rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    aims = targets([r[2] for r in found], [weights[i % len(weights)] for i in range(len(found))], cap)
-    return [(i, s, n, size, aim) for i, ((s, n, size), aim) in enumerate(zip(found, aims, strict=True))]
+def source_targets(rows: DataFrame, weights=WEIGHTS, cap: float = MAX_COPIES) -> DataFrame:
+    """One row per source of rows(source, size, n): (sid, source, rows, source_size, target), staged.
+
+    sid numbers the sources in code-point order, null last; weights repeat along it. Targets share all words by weight, none
+    above cap times its source's size; the excess is reshared by weight until none is above. Sources stay
+    distributed: they are numbered within ranges of the order, and the driver sees a count per range and the sums of each resharing.
+    """
+    found = rows.groupBy("source").agg(F.sum("n").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = staged(found.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["part"], before))
+        before += r["n"]
+    starts = rows.sparkSession.createDataFrame(offsets, "part int, before long")
+    sid = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    numbered = ranged.join(F.broadcast(starts), "part").withColumn("sid", sid.cast("long")).withColumn("weight", weight).withColumn("most", F.col("source_size") * float(cap))
+    numbered = staged(numbered, "mix-numbered")
+    left = float(numbered.agg(F.sum("source_size")).first()[0] or 0)
+    rate, closed = 0.0, F.lit(False)
+    while left > 0:
+        total = numbered.where(~closed).agg(F.sum("weight")).first()[0]
+        if not total:
+            break
+        rate = left / total
+        above = ~closed & (F.lit(rate) * F.col("weight") > F.col("most"))
+        sums = numbered.where(above).agg(F.sum("most"), F.max("sid")).first()
+        if sums[1] is None:
+            break
+        # a source that is above stays above, as every resharing raises the rate
+        left, closed = left - sums[0], F.lit(rate) * F.col("weight") > F.col("most")
+    target = F.least(F.lit(rate) * F.col("weight"), F.col("most"))
+    out = staged(numbered.select("sid", "source", "rows", "source_size", target.alias("target")), "mix-sources")
+    discard(ranged, numbered)
+    return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies.
 
     A null text has size 0, a null source is a source of its own, and equal rows are told apart by a
     running number, so a repeated row never fills one bucket. Documents of size 0 get no extra copy.
-    The table of sources (a row each) is the only thing the driver sees. An empty table gives no rows.
+    Sources are a table of their own, joined like any other. An empty table gives no rows.
     Results depend on the rows alone, not on how they are dealt over tasks.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     classes = staged(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-classes")
-    found = source_targets(classes.select("source", F.col("size") * F.col("n"), "n").toDF("source", "size", "n"), weights, cap)
-    shape = "sid int, source string, rows long, source_size long, target double"
-    sources = spark.createDataFrame(found, shape)
-    most = max((max(1, math.ceil(r[2] / bucket_rows)) for r in found), default=1)
+    sources = source_targets(classes, weights, cap)
+    most = math.ceil((sources.agg(F.max("rows")).first()[0] or 1) / bucket_rows)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     dealt = classes.join(sources.withColumnRenamed("source", "source_"), F.col("source_").eqNullSafe(F.col("source"))).drop("source_")
     dealt = dealt.withColumn("base", F.floor(rate)).withColumn("frac", rate - F.floor(rate)).withColumn("order", F.xxhash64("doc_id", "size"))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(SEED)), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows))).cast("long"))
-    dealt = dealt.withColumn("only", F.col("rows") <= bucket_rows)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(seed)), F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows))).cast("long"))
     first = staged(
-        dealt.select("sid", "bucket", "doc_id", "size", "n", "frac", "order", "only").groupBy("sid", "bucket").applyInPandas(_first, "sid int, bucket long, doc_id long, size long, n long, extra long, left double"),
+        dealt.select("sid", "bucket", "doc_id", "size", "n", "frac", "order").groupBy("sid", "bucket").applyInPandas(_first(seed), "sid long, bucket long, doc_id long, size long, n long, extra long, left double"),
         "mix-level0",
     )
     left = first.where("left is not null and not isnan(left)").select("sid", "bucket", "size", "left")
@@ -158,7 +178,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, bucket_rows: in
         width *= fan_in
         last = width >= most
         out = staged(
-            left.withColumn("node", F.floor(F.col("bucket") / width).cast("long")).groupBy("sid", "node").applyInPandas(_next(last, level), "sid int, bucket long, size long, bit long, left double"),
+            left.withColumn("node", F.floor(F.col("bucket") / width).cast("long")).groupBy("sid", "node").applyInPandas(_next(last, level, seed), "sid long, bucket long, size long, bit long, left double"),
             f"mix-level{level + 1}",
         )
         settled.append(out.where("left is null or isnan(left)").select("sid", "bucket", "bit"))
@@ -170,6 +190,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, bucket_rows: in
         bits = bits.unionByName(more)
     whole = first.where("left is null or isnan(left)").withColumn("bit", F.lit(0).cast("long"))
     rest = first.where("left is not null and not isnan(left)").join(bits, ["sid", "bucket"])
+    discard(classes)
     done = whole.unionByName(rest.select(whole.columns)).withColumn("extra", F.col("extra") + F.col("bit"))
     done = done.join(sources, "sid").withColumn("base", F.floor(rate).cast("long"))
     one = done.select("doc_id", "source", "size", "source_size", "target", "base", "extra", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))

@@ -22,10 +22,12 @@ WIDTH, STEP, VECTOR, FILTERS, HIDDEN = 8, 2, 6, 24, 12
 LAP = (WIDTH - STEP) // STEP
 #: Positions a chunk computes at once; chunks overlap by WIDTH - STEP bytes.
 CHUNK = 1 << 14
-#: Labelled texts of a class that are learnt from at most, and their longest size.
+#: Labelled texts of a class that are learnt from, about, and the bytes of each that are.
 SAMPLE_PER_CLASS = 1500
 SAMPLE_BYTES = 1 << 14
 EPOCHS, BATCH, RATE = 8, 16, 4e-3
+#: Batches that a small sample is gone through at least, and epochs at most.
+LEAST_BATCHES, MOST_EPOCHS = 1500, 40
 THRESHOLD = 0.7
 
 
@@ -110,6 +112,7 @@ class ByteNet:
     def train(self, docs: list[bytes], y: np.ndarray, epochs: int = EPOCHS) -> None:
         """Adam over batches in a fixed shuffled order, the rate falling to nothing."""
         rng, step = np.random.default_rng(9), 0
+        epochs = max(epochs, min(MOST_EPOCHS, math.ceil(LEAST_BATCHES * BATCH / max(1, len(docs)))))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         total = epochs * math.ceil(len(docs) / BATCH)
@@ -130,16 +133,16 @@ class ByteNet:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ByteNet:
-    """Trains on at most per_class texts of each class from the training fold (crc32 of the id modulo 4 is not 2).
+    """Trains on about per_class texts of each class from the training fold (crc32 of the id modulo 4 is not 2).
 
     The bias is then set where the sample's classes part best, at the classes' true counts. With one class or none the net stays as drawn.
     """
     rows, counts = labelled(docs, labels, "quality", 4, 2, per_class, SAMPLE_BYTES)
-    got = sorted((r["doc_id"], r["y"], r["text"]) for r in rows.collect())
+    got = sorted((r["doc_id"], r["y"], bytes(r["text"])) for r in rows.collect())
     net, y = ByteNet(), np.array([r[1] for r in got], np.float32)
     if len(set(y.tolist())) == 2:
-        net.train([r[2].encode() for r in got], y)
-        net.calibrate([r[2].encode() for r in got], y, counts)
+        net.train([r[2] for r in got], y)
+        net.calibrate([r[2] for r in got], y, counts)
     return net
 
 

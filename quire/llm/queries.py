@@ -9,10 +9,6 @@ from quire.llm import bpe, chroma, langid, maxscore, mixing, quality, repeats, s
 from quire.llm.common import in_training_fold, table
 
 
-#: Id of the end-of-document token in the vocabulary below.
-EOD = 49407
-
-
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -57,7 +53,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Every document's tokens, counted in flat token shards by a separator scan."""
-    return token_counts.count_documents(table(spark, sf_dir, "documents"), path or tokenizer_path(), EOD)
+    path = path or tokenizer_path()
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), path, token_counts.special_id(path))
 
 
 def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

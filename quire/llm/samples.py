@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import in_training_fold
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, longest: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, y) of at most per_class training rows of each class, first by hashed id, and the number of training labels of each class.
+def fraction(*columns) -> F.Column:
+    """A place from 0 to 1 by the hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
-    Rows held out by the fold, null labels and texts over `longest` bytes (a bound on the learner's memory) teach
-    nothing; a chosen id without such a text is not replaced. An id with several labels takes the least. The ids chosen are 2 * per_class at most, and are broadcast.
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, piece: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of about per_class training rows of each class (all, if there are no more), and the number of training labels of each class.
+
+    text is bytes: of a text over `piece` bytes as many from a hashed place on, which bounds the learner's memory. Ids are chosen by
+    their hash against the share that per_class is of the class, so no task ranks them. Rows held out by the fold, null labels and
+    null texts teach nothing. An id with several labels takes the least, one with several texts the least piece. The ids chosen are about 2 * per_class, and are broadcast.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & in_training_fold(mod, held)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(label)), "doc_id"))
-    ids = rows.withColumn("n", place).where(F.col("n") <= per_class).select("doc_id", "y")
-    got = docs.where(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return got.select("doc_id", "text", "y"), counts
+    place = fraction(F.col("doc_id").cast("string"), F.lit(label))
+    share = F.when(F.col("y") == 1, per_class / counts.get(1, 1)).otherwise(per_class / counts.get(0, 1))
+    ids = rows.where(place < share).select("doc_id", "y")
+    data = F.col("text").cast("string").cast("binary")
+    first = F.floor(fraction(F.col("doc_id").cast("string"), F.lit("piece")) * F.greatest(F.octet_length(data) - piece + 1, F.lit(1))).cast("int") + 1
+    got = docs.where("text is not null").select("doc_id", F.substring(data, first, F.lit(piece)).alias("text")).join(F.broadcast(ids), "doc_id")
+    return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")), counts
 
 
 def best_cut(margins: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> float:

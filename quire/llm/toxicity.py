@@ -19,10 +19,10 @@ from quire.llm.common import pieces, texts
 from quire.llm.samples import best_cut, labelled
 
 BITS = 20
-#: Labelled texts of a class that are learnt from at most, and their longest size.
+#: Labelled texts of a class that are learnt from, about, and the bytes of each that are.
 SAMPLE_PER_CLASS = 3000
 SAMPLE_BYTES = 1 << 16
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 2.0, 0.1, 2
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 3
 THRESHOLD = 0.5
 
 #: ASCII letters lower-cased, digits and the bytes of other letters kept, all else parts words (zero).
@@ -100,7 +100,7 @@ def fit(rows: list[tuple[np.ndarray, int]], counts: dict[int, int]) -> tuple[np.
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on at most per_class texts of each class from the training fold (crc32 of the id modulo 5 is not 0)."""
+    """Fits on about per_class texts of each class from the training fold (crc32 of the id modulo 5 is not 0)."""
     rows, counts = labelled(docs, labels, "toxic", 5, 0, per_class, SAMPLE_BYTES)
 
     def run(batches):

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -6,10 +7,11 @@ import pytest
 from tokenizers import Tokenizer
 
 from quire.llm import bpe, token_counts
-from quire.llm.queries import EOD, tokenizer_path
+from quire.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, n_tokens string, ids int"
 PATH = tokenizer_path()
+EOD = token_counts.special_id(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +90,33 @@ def test_counts_in_flat_files(spark, tmp_path, block):
     assert sorted((r["file"].rpartition("/")[2][0], r["ordinal"], r["n_tokens"], r["ended"]) for r in got) == sorted(want)
 
 
+def test_large_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "READ", 1000)
+    monkeypatch.setattr(token_counts, "RUN", 5)
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 40, 50001).astype("<u4")
+    ids.tofile(tmp_path / "x.bin")
+    blocks = token_counts.read_blocks(spark, str(tmp_path), width=4, block=64)
+    assert blocks.count() == -(-50001 // 64) and blocks.rdd.getNumPartitions() == 16
+    got = {r["ordinal"]: r["n_tokens"] for r in token_counts.count_tokens(blocks, 0, width=4).collect()}
+    ends = np.flatnonzero(ids == 0)
+    assert [got[i] for i in range(len(ends))] == (np.diff(np.r_[-1, ends]) - 1).tolist()
+
+
+def test_what_does_not_fit_is_refused(spark, tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    with pytest.raises(ValueError, match="need more than 1 bytes"):
+        token_counts.token_table(frame(spark, [(1, "x")]), PATH, EOD, width=1)
+    for change in (lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\S+"), lambda s: s.update(normalizer=None), lambda s: s["model"].update(dropout=0.1)):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        with pytest.raises(ValueError, match="another way"):
+            bpe.WordBpe.check(other, "x")
+    (tmp_path / "t.json").write_text(json.dumps({"added_tokens": []}))
+    with pytest.raises(ValueError, match="has no"):
+        token_counts.special_id(str(tmp_path / "t.json"))
+
+
 def test_broken_file_is_refused(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="no whole ids"):

@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
-from quire.llm import langid, quality, toxicity
+from quire.llm import langid, quality, queries, samples, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, y int"
 
@@ -101,3 +103,131 @@ def test_pooling_is_the_same_in_chunks():
     whole = net.pool(docs)
     got = [np.concatenate([v for _, v in net.convolve(net.lay([d])[0], chunk=64)]).max(0) for d in docs]
     assert np.allclose(whole, np.array(got), atol=1e-5)
+
+
+# -- against plain versions --------------------------------------------------------------------
+def plain_grams(text):
+    """Distinct n-grams of 1 to 3 bytes of lower-cased letters, blanks for the rest and at both ends, runs of blanks as one."""
+    x = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in b" " + text + b" ")
+    while b"  " in x:
+        x = x.replace(b"  ", b" ")
+    return {x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+
+
+def test_kernel_is_the_share_of_common_grams():
+    rng = random.Random(5)
+    docs = [words(rng, "abcdeé", n).encode() for n in (1, 5, 30, 60)] + [b"", b"A b--C 99 d"]
+    found = [langid.presence(d) for d in docs]
+    grams = [plain_grams(d) for d in docs]
+    assert all(0 <= len(g) - p.sum() <= 2 + len(g) // 40 for g, p in zip(grams, found))  # a few share a place
+    marks = np.stack(found[:4])
+    columns = np.flatnonzero(marks.any(0))
+    model = langid.KernelModel(["x"], columns, np.ascontiguousarray(marks[:, columns].T.astype(np.float32)), np.zeros((4, 1)))
+    want = [[(a & b).sum() / math.sqrt(max(1, a.sum()) * max(1, b.sum())) for b in found[:4]] for a in found]
+    assert np.allclose(model.kernels(found), want, atol=1e-6)
+    exact = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in grams[:4]] for a in grams]
+    assert np.abs(np.array(want) - exact).max() < 0.06
+
+
+def test_regression_solves_the_ridge_problem_on_nystrom_features():
+    rng = random.Random(6)
+    rows = [(g, langid.presence(words(rng, k, rng.randint(5, 40)).encode())) for g, k in (("xa", "abcde"), ("xb", "cdefg")) for _ in range(30)]
+    model = langid.fit(rows, 100)  # every text a landmark: the features span the whole kernel
+    kernel = model.kernels([p for _, p in rows]).astype(float)
+    values = kernel @ model.weights
+    marks = model.landmarks / model.size
+    own = (marks.T @ marks).astype(float)
+    y = np.array([[g == x for x in model.labels] for g, _ in rows], float)
+    # in the dual: weights minimise sum of squared errors over the class sizes plus the ridge on the function's norm
+    gradient = kernel.T @ ((kernel @ model.weights - y) / 30) + langid.RIDGE * own @ model.weights
+    assert np.abs(gradient).max() < 1e-3 and ((values.argmax(1) == y.argmax(1)).mean()) > 0.95
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    def ids(t):
+        owner, place = toxicity.features([t])
+        return sorted(place.tolist())
+
+    a, b, c = (ids(w)[0] for w in (b"alpha", b"Beta", b"c9"))
+    got = ids(b"ALPHA, beta -- c9!")
+    assert len(got) == 6 and {a, b, c} <= set(got)
+    pairs = [set(ids(x + b" " + y)) - set(ids(x)) - set(ids(y)) for x, y in ((b"alpha", b"beta"), (b"beta", b"c9"))]
+    assert pairs[0] | pairs[1] <= set(got)
+    skip = set(got) - {a, b, c} - pairs[0] - pairs[1]
+    assert len(skip) == 1 and skip <= set(ids(b"alpha other c9"))
+    owner, place = toxicity.features([b"alpha", b"", b"beta"])
+    assert owner.tolist() == [0, 2] and place.tolist() == [a, b]  # no pair across texts
+
+
+def test_ftrl_step_by_step():
+    """Each step against the proximal problem it stands for: w minimises g.w + sum of sigma / 2 * (w - w_s)^2 + L1 |w| + L2 / 2 * w^2."""
+    model, rng = toxicity.Ftrl(4), np.random.default_rng(0)
+    history = []
+    for step in range(30):
+        at = np.flatnonzero(rng.random(4) < 0.6)
+        y = int(rng.random() < 0.5)
+        before, seen = model.weights(np.arange(5)), model.n.copy()
+        model.learn(at, y)
+        on = np.r_[at, 4]
+        g = np.zeros(5)
+        g[on] = 1 / (1 + math.exp(-before[on].sum())) - y
+        history.append((g, before, (np.sqrt(seen + g * g) - np.sqrt(seen)) / toxicity.ALPHA))
+    w = model.weights(np.arange(5))
+    for i in range(5):
+        def loss(x):
+            prox = sum(g[i] * x + s[i] / 2 * (x - old[i]) ** 2 for g, old, s in history)
+            return prox + (toxicity.L1 * abs(x) if i < 4 else 0) + (toxicity.BETA / toxicity.ALPHA + toxicity.L2) / 2 * x * x
+
+        near = [loss(w[i] + d) for d in (-1e-3, 0, 1e-3)]
+        assert near[1] <= min(near) + 1e-9
+
+
+def test_convolution_and_gradients_are_those_of_the_definition():
+    net = quality.ByteNet(3)
+    docs = [b"hello world", b"", b"x" * 9, bytes(range(40))]
+
+    def margin(p, d):
+        padded = d + b"\x00" * (quality.WIDTH + (-(len(d) + quality.WIDTH)) % quality.STEP)
+        best = [-math.inf] * quality.FILTERS
+        for at in range(0, len(padded) - quality.WIDTH + 1, quality.STEP):
+            x = np.concatenate([p["vector"][b] for b in padded[at : at + quality.WIDTH]]).astype(float)
+            best = np.maximum(best, x @ p["filter"])
+        hidden = np.maximum(0, np.tanh(best + p["shift"]) @ p["hidden"] + p["hidden_shift"])
+        return hidden @ p["out"] + p["bias"][0]
+
+    want = np.array([margin(net.p, d) for d in docs])
+    assert np.allclose(net.scores(docs), 1 / (1 + np.exp(-want)), atol=1e-5)
+    y = np.array([1, 0, 1, 0], np.float32)
+    loss = lambda p: np.mean([np.log1p(np.exp(-m if t else m)) for m, t in zip((margin(p, d) for d in docs), y)])
+    slopes = net.gradients(docs, y)
+    for name, at in (("vector", (104, 2)), ("filter", (5, 3)), ("shift", (4,)), ("hidden", (3, 2)), ("out", (5,)), ("bias", (0,)), ("hidden_shift", (1,))):
+        up, down = ({k: v.astype(float).copy() for k, v in net.p.items()} for _ in range(2))
+        up[name][at] += 1e-4
+        down[name][at] -= 1e-4
+        assert slopes[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-4)
+
+
+def test_samples_are_bounded_stable_and_leave_no_length_out(spark):
+    texts = [(i, f"text {i} " * (1 + i % 5), None) for i in range(4000)] + [(7, "other text of seven", None), (9000, "z" * 5000, None), (9001, None, None)]
+    tags = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in range(4000)] + [(9000, 0, 1), (9001, 0, 1), (30, 0, 0)], "doc_id long, quality int, toxic int")
+    take = lambda docs: sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in samples.labelled(docs, tags, "toxic", 5, 0, 150, 1000)[0].collect())
+    got = take(frame(spark, texts))
+    assert got == take(frame(spark, random.Random(1).sample(texts, len(texts))).repartition(5))
+    assert not any(held(i, 5, 0) for i, _, _ in got) and all(len(t) <= 1000 for _, t, _ in got)
+    assert 100 < sum(y == 0 for _, _, y in got) < 200 and 100 < sum(y for _, _, y in got) < 200
+    every = samples.labelled(frame(spark, texts), tags, "toxic", 5, 0, 10**6, 1000)[0].collect()
+    assert {r["doc_id"]: len(r["text"]) for r in every}.get(9000) == (None if held(9000, 5, 0) else 1000)
+    docs = frame(spark, [(i % 50, f"{'abc' if i % 2 else 'xyz'} {i}", "xa" if i % 2 else "xb") for i in range(600)])
+    one, two = (sorted((g, p.tobytes()) for g, p in langid.sample(d, 40)) for d in (docs, docs.orderBy("text").repartition(3)))
+    assert one == two and 20 < sum(g == "xa" for g, _ in one) < 65
+
+
+def test_queries_name_the_fold_and_the_threshold(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, words(rng, "abcd" if i % 2 else "efgh", 20) + (" vile" if i % 3 == 0 else ""), "xa" if i % 2 else "xb") for i in range(200)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, mod, rest, cut in (("op2_langid", 5, 0, None), ("op5_toxicity", 5, 0, 0.5), ("op8_quality", 4, 2, 0.7)):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == 200 and all(r["held_out"] == held(r["doc_id"], mod, rest) for r in got)
+        assert cut is None or all(r["predicted"] == int(r["score"] >= cut) for r in got)

@@ -19,7 +19,7 @@ def plain(rows, k=20):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shape", [{}, {"shard": 16, "block": 5}])
+@pytest.mark.parametrize("shape", [{}, {"shard": 16, "block": 5, "group": 2}])
 def test_matches_brute_force(spark, shape):
     rng = random.Random(4)
     rows = [(i, [rng.gauss(0, 1) for _ in range(12)]) for i in range(150)]
@@ -48,3 +48,22 @@ def test_prunes_without_losing_any():
         order = np.lexsort((np.arange(3000), -scores))[:5]
         assert s.best[i][0].tolist() == scores[order].tolist() and s.best[i][1].tolist() == order.tolist()
     assert s.probed < 20 * 3000 * 3
+
+
+@pytest.mark.parametrize("most", [2**22, 2**24, 2**51, 2**53])
+@pytest.mark.parametrize("part", [0.4, 0.77, 0.999, 1.001])
+def test_exact_on_both_sides_of_each_switch(most, part):
+    """Near-parallel vectors of full size, where scores are as large as the bound and differ by little."""
+    rng = np.random.default_rng(int(1000 * part))
+    wide = 64
+    top = int((most * part / wide) ** 0.5)
+    base = rng.choice([-top, top], wide)
+    parts = np.array([base - np.sign(base) * rng.integers(0, 3, wide) for _ in range(400)], np.int64)
+    parts[::7] *= -1
+    s = maxscore.Searcher(maxscore.Block(np.arange(20), parts[:20], np.zeros(20, int), np.arange(20)), 5)
+    s.pass_shard(0, np.arange(200), parts[:200])
+    s.pass_shard(1, np.arange(200, 400), parts[200:])
+    for i in range(20):
+        scores = np.array([sum(int(x) * int(y) for x, y in zip(parts[i], p)) for p in parts])
+        order = [x for x in np.lexsort((np.arange(400), -scores)).tolist() if x != i][:5]
+        assert s.best[i][1].tolist() == order and s.best[i][0].tolist() == scores[order].tolist()

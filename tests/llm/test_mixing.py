@@ -72,18 +72,51 @@ def test_empty_table(spark):
 
 def test_pivot_keeps_the_sum_and_the_chances():
     rng = np.random.default_rng(0)
-    sizes, probs = rng.integers(1, 50, 40).astype(float).tolist(), rng.random(40).tolist()
+    sizes, probs = sorted(rng.integers(1, 50, 40).astype(float).tolist(), reverse=True), rng.random(40).tolist()
+    sizes[0], probs[3], probs[5] = 60.0, 0.0, 1.0
     mean = np.zeros(40)
-    for i in range(3000):
+    for i in range(4000):
         bits, held, p = mixing.pivot(sizes, probs, np.random.default_rng(i))
         total = sum(s * b for s, b in zip(sizes, bits)) + (sizes[held] * p if held >= 0 else 0)
         assert total == pytest.approx(np.dot(sizes, probs))
+        assert held < 0 or sizes[held] < sizes[3]
         mean += bits
         if held >= 0:
             mean[held] += p
-    assert np.abs(mean / 3000 - probs).max() < 0.05
-
-
-def test_targets_reshare_until_none_is_above():
-    assert mixing.targets([10, 1, 1000], [5, 2, 1]) == [30.0, 3.0, 978.0]
-    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0.0, 0.0]
+    assert np.abs(mean / 4000 - probs).max() < 0.05
+
+
+def test_chances_hold_and_targets_are_near_end_to_end(spark):
+    """Over many seeds every document of a source is taken as often as its share asks, and the source comes near its target."""
+    rng = random.Random(2)
+    rows = [(100 * k + i, " ".join(["w"] * int(min(150, rng.paretovariate(0.9) * 10))), f"s{k:03}") for k in range(3) for i in range(60)]
+    docs = spark.createDataFrame([(d, t, None, s, 0, "c", 7, "c") for d, t, s in rows], SCHEMA).coalesce(1).cache()
+    taken, off, rounds = defaultdict(float), [], 40
+    for seed in range(rounds):
+        words, want, largest = defaultdict(int), {}, defaultdict(int)
+        for r in mixing.mix(docs, bucket_rows=25, fan_in=2, seed=seed).collect():
+            taken[r["doc_id"], r["target"] / r["source_size"]] += r["copies"] / rounds
+            words[r["source"]] += r["copies"] * r["size"]
+            want[r["source"]] = r["target"]
+        off += [abs(words[s] - want[s]) / want[s] for s in want]
+    free = [(share, n) for (_, share), n in taken.items() if share % 1 > 0.02]
+    assert len(free) > 100
+    worst = max(abs(n - share) / max(0.05, (share % 1 * (1 - share % 1) / rounds) ** 0.5) for share, n in free)
+    assert worst < 4.5 and abs(sum(n - share for share, n in free)) / len(free) < 0.03
+    assert np.mean(off) < 0.03 and max(off) < 0.15
+
+
+def targets(spark, sizes, weights=(5, 2, 1)):
+    rows = spark.createDataFrame([(f"s{i:05}", s, 1) for i, s in enumerate(sizes)], "source string, size long, n long")
+    return [r["target"] for r in mixing.source_targets(rows, weights).orderBy("sid").collect()]
+
+
+def test_targets_reshare_until_none_is_above(spark):
+    assert targets(spark, [10, 1, 1000]) == [30.0, 3.0, 978.0]
+    assert targets(spark, []) == [] and targets(spark, [0, 0]) == [0.0, 0.0]
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    rng = random.Random(1)
+    sizes = [int(rng.paretovariate(0.7) * 10) for _ in range(3000)]
+    assert targets(spark, sizes) == pytest.approx(targets_plainly(sizes), rel=1e-6)

@@ -11,6 +11,7 @@ from test_simhash import plain as plain_components
 
 import corpus_pipeline
 from quire.llm import mixing
+from test_mixing import targets_plainly
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,7 +81,7 @@ def test_sources_meet_their_targets(stages, spark):
         taken[r["source"]] += size(r["text"])
         copies[r["doc_id"]] += 1
     names = sorted(total, key=lambda s: (s is None, s or ""))
-    for s, target in zip(names, mixing.targets([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])):
+    for s, target in zip(names, targets_plainly([total[s] for s in names])):
         assert abs(taken[s] - target) <= most[s]
     assert max(copies.values()) <= 3
     again = mixing.apply_mix(frames[3]).collect()
