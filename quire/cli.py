@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import functools
+import inspect
+import os
 import re
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,6 +16,7 @@ from quire.functions.urls import resolve
 from quire.operators import extract, filtering
 from quire.plans import book
 from quire.sources import pages, sinks
+from quire.sources.staging import written
 
 
 def _leading_int(value: str) -> int | None:
@@ -29,12 +34,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-l", "--layout-mode", default="static")
     p.add_argument("--ai-provider", default="gemini")
     p.add_argument("--ai-model")
-    p.add_argument("--ai-api-key")
+    p.add_argument("--ai-api-key", help="passed on to the injected clients; better given in the environment as QUIRE_AI_API_KEY")
     p.add_argument("--no-strip-links", dest="strip_links", action="store_false")
     p.add_argument("--no-filter", dest="filter", action="store_false")
     p.add_argument("--lazy-load-timeout", default="20000", help="accepted; captures have no live page to wait for")
     p.add_argument("--no-lazy-load", dest="lazy_load", action="store_false")
-    p.add_argument("--no-cache", dest="cache", action="store_false")
+    p.add_argument("--no-cache", dest="cache", action="store_false", help="ask for a new layout although one is kept for the content")
+    p.add_argument("--cache-dir", default=str(Path.home() / ".cache" / "quire" / "layouts"))
     return p
 
 
@@ -56,43 +62,55 @@ def validated(args: argparse.Namespace) -> argparse.Namespace:
     return args
 
 
+def _with_access(client, access: dict):
+    """The client with those of the options that it takes by name."""
+    if client is None:
+        return None
+    taken = inspect.signature(client).parameters
+    return functools.partial(client, **{k: v for k, v in access.items() if k in taken})
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, judge=None, designer=None, render=None) -> int:
-    """Exit code: 0 for a book or when nothing is linked, 1 otherwise. judge, designer and render are injected clients."""
+    """Exit code: 0 for a book or when nothing is linked, 1 otherwise.
+
+    judge, designer and render are injected clients; the first two get provider, model and api_key by name if they take them.
+    """
     try:
         args = validated(parser().parse_args(argv))
     except ValueError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
+    if args.ai_api_key:
+        print("Warning: a key on the command line is seen by others; QUIRE_AI_API_KEY takes it", file=sys.stderr)
+    access = {"provider": args.ai_provider, "model": args.ai_model, "api_key": args.ai_api_key or os.environ.get("QUIRE_AI_API_KEY")}
+    judge, designer = _with_access(judge, access), _with_access(designer, access)
     spark = spark or SparkSession.builder.appName("quire").getOrCreate()
     captured = pages.read_pages(spark, args.pages)
     seed = resolve(args.url) or args.url
     seeds = pages.with_book(spark.createDataFrame([(0, args.url, "")], "page_id long, url string, html string")).select("book_id", "url")
     options = book.BookOptions(args.max, extraction=extract.ExtractionOptions(args.strip_links, args.lazy_load), filter=filtering.FilterOptions() if args.filter else None, judge=judge)
-    rows = book.classified_articles(captured, seeds, options).persist()
-    try:
-        if not rows.count():
-            print(f"Nothing to read at {seed}", file=sys.stderr)
-            return 0 if not book.discover.discover(captured, seeds, options.max_pages).take(1) else 1
-        gone = filtering.omitted(rows).orderBy("seq").collect()
-        for r in gone:
-            print(f'Omitted: "{r["title"]}" ({r["url"]}): {r["reason"]}', file=sys.stderr)
-        kept = filtering.kept(rows)
-        if not kept.take(1):
-            print("All pages were omitted; --no-filter includes them", file=sys.stderr)
-            return 1
-        if args.format == "epub":
-            n = sinks.write_epub(kept, args.out)
-        else:
-            css = None
-            if args.layout_mode == "ai" and designer is not None:
-                from quire.plans.layout import layout
-
-                css = layout(kept, designer, args.ai_provider, args.ai_model)
-            n = sinks.write_document(kept, args.out, css, render)
-        print(f"{args.out}: {n} articles ({args.format})")
-        return 0
-    finally:
-        rows.unpersist()
+    rows = written(book.classified_articles(captured, seeds, options), "book")
+    if not rows.count():
+        print(f"Nothing to read at {seed}", file=sys.stderr)
+        return 0 if not book.discover.discover(captured, seeds, options.max_pages).take(1) else 1
+    gone = filtering.omitted(rows).orderBy("seq").collect()
+    for r in gone:
+        print(f'Omitted: "{r["title"]}" ({r["url"]}): {r["reason"]}', file=sys.stderr)
+    kept = filtering.kept(rows)
+    if not kept.take(1):
+        print("All pages were omitted; --no-filter includes them", file=sys.stderr)
+        return 1
+    if args.format == "epub":
+        n = sinks.write_epub(kept, args.out)
+    else:
+        css = None
+        if args.layout_mode == "ai" and designer is not None:
+            from quire.plans.layout import SheetCache, layout
+
+            css = layout(kept, designer, args.ai_provider, args.ai_model, SheetCache(args.cache_dir, fresh=not args.cache))
+        n = sinks.write_document(kept, args.out, css, render)
+    print(f"{args.out}: {n} articles ({args.format})")
+    return 0
 
 
 if __name__ == "__main__":

@@ -11,7 +11,6 @@ from quire.functions.urls import resolve, safe_media
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-RAW = frozenset("script style noscript iframe textarea title xmp".split())
 #: Opening a key ends an open value, unless one of the fences lies between.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tbody"}, "tfoot": {"tr", "td", "th", "tbody"}} | {b: {"p"} for b in BLOCK}
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"table", "td", "th", "button", "object"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
@@ -35,8 +34,11 @@ NEXT_PAGE = ("a.next", 'a[rel="next"]', 'a[aria-label*="next" i]', "a.pagination
 LOAD_MORE_CONTROLS = ('[data-action="load-more"]', ".load-more", ".show-more", "button.expand", "button", "a[href]", '[role="button"]')
 CONTENT_ROOTS = ("article", "main", '[role="main"]', ".content")
 LAZY_SOURCES = ("data-src", "data-lazy-src", "data-original", "data-lazy")
-PRE_STYLE = "; white-space: pre-wrap; font-family: monospace;"
-CODE_STYLE = "; white-space: pre; font-family: monospace;"
+PRE_STYLE = "; white-space: pre-wrap; font-family: monospace; background-color: #f5f5f5; padding: 10px; border-radius: 4px; overflow-x: auto;"
+CODE_STYLE = "; white-space: pre; font-family: monospace; background-color: #f5f5f5; padding: 2px 4px; border-radius: 3px;"
+# What stands for an embed.
+EMBED_LABEL = "[Embedded Media]"
+EMBED_LINK = {"target": "_blank", "rel": "noopener noreferrer"}
 
 
 class Node:
@@ -222,7 +224,35 @@ def selector(text: str):
     return fits
 
 
-_NON_CONTENT = [selector(s) for s in NON_CONTENT]
+class Ranks:
+    """For elements: the place of the first selector of a list that fits, found by tag, id, classes and attributes instead of one selector after the other."""
+
+    def __init__(self, selectors: tuple[str, ...]):
+        self.by_tag: dict[str, list] = {}
+        self.by_id: dict[str, int] = {}
+        self.by_class: dict[str, int] = {}
+        self.inside: dict[str, list[tuple[str, int]]] = {}
+        for i, s in enumerate(selectors):
+            if m := re.fullmatch(r"\.([\w-]+)", s):
+                self.by_class.setdefault(m[1], i)
+            elif m := re.fullmatch(r"#([\w-]+)", s):
+                self.by_id.setdefault(m[1], i)
+            elif m := re.fullmatch(r'\[([\w-]+)\*="([^"]*)"\]', s):
+                self.inside.setdefault(m[1], []).append((m[2], i))
+            else:
+                self.by_tag.setdefault(re.match(r"[a-z0-9]+", s)[0], []).append((selector(s), i))
+
+    def of(self, n: Node) -> int | None:
+        found = [i for fits, i in self.by_tag.get(n.tag, ()) if fits(n)]
+        if n.attrs:
+            if (i := self.by_id.get(n.attrs.get("id"))) is not None:
+                found.append(i)
+            found += [i for c in n.attrs.get("class", "").split() if (i := self.by_class.get(c)) is not None]
+            found += [i for name, parts in self.inside.items() if (v := n.attrs.get(name)) for part, i in parts if part in v]
+        return min(found, default=None)
+
+
+_NON_CONTENT = Ranks(NON_CONTENT)
 _NEXT = [selector(s) for s in NEXT_PAGE]
 _CONTROLS = [selector(s) for s in LOAD_MORE_CONTROLS]
 _ROOTS = [selector(s) for s in CONTENT_ROOTS]
@@ -230,12 +260,22 @@ _ROOTS = [selector(s) for s in CONTENT_ROOTS]
 
 # -- edits, in place ------------------------------------------------------------------------------
 def prune(root: Node) -> int:
-    """Drops peripheral parts, then in one pass p, div and span without any child; the number of peripheral parts."""
-    n = 0
-    for fits in _NON_CONTENT:
-        for e in [e for e in root.walk() if fits(e)]:
-            e.remove()
-            n += 1
+    """Drops peripheral parts, then in one pass p, div and span without any child; the number of peripheral parts.
+
+    Selectors take their turns in order, so a part counts unless one above it went in an earlier turn; one walk settles all.
+    """
+    n, gone, todo = 0, [], [(k, len(NON_CONTENT)) for k in reversed(root.kids) if isinstance(k, Node)]
+    while todo:
+        e, earliest = todo.pop()
+        rank = _NON_CONTENT.of(e)
+        if rank is not None:
+            n += rank <= earliest
+            if earliest == len(NON_CONTENT):
+                gone.append(e)
+            earliest = min(earliest, rank)
+        todo += [(k, earliest) for k in reversed(e.kids) if isinstance(k, Node)]
+    for e in gone:
+        e.remove()
     for e in [e for e in root.find("p", "div", "span") if not [k for k in e.kids if not isinstance(k, Comment)]]:
         e.remove()
     return n
@@ -256,8 +296,8 @@ def replace_iframes(root: Node, base: str) -> None:
         if href is None:
             e.remove()
             continue
-        p, mark, link = Node("p"), Node("strong"), Node("a", {"href": href, "target": "_blank", "rel": "noopener noreferrer"})
-        mark.add("[Embedded Media]")
+        p, mark, link = Node("p"), Node("strong"), Node("a", {"href": href} | EMBED_LINK)
+        mark.add(EMBED_LABEL)
         link.add(href)
         for kid in (mark, " ", link):
             p.add(kid)

@@ -36,6 +36,7 @@ def numbered(kept: DataFrame) -> DataFrame:
 
 def chapters_of(kept: DataFrame) -> DataFrame:
     """(book_id, chapter, toc_item, body): each chapter's line of the contents and its HTML; titles are escaped, content is not."""
+    # The markup of contents and chapters.
     rows = numbered(kept)
     anchor, title = F.concat(F.lit("chapter-"), (F.col("chapter") - 1).cast("string")), text.escape_html(F.col("title"))
     item = F.concat(F.lit('<li class="toc-item"><a href="#'), anchor, F.lit('"><span class="toc-item-number">'), F.col("chapter").cast("string"), F.lit(".</span> "), title, F.lit("</a></li>"))
@@ -50,6 +51,7 @@ def books(kept: DataFrame, css: str | None = None) -> DataFrame:
         F.expr("listagg(body, '\n') within group (order by chapter)").alias("chapters"),
     )
     toc = F.concat(F.lit('<div class="toc"><h1>Table of Contents</h1><ul class="toc-list">\n'), F.col("items"), F.lit("\n</ul></div>"))
+    # The page head.
     head = '<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>eBook Collection</title>\n'
     style = f"<style>\n{css}\n</style>" if css else STYLE
     master = F.concat(F.lit(f"{head}{style}\n</head>\n<body>\n"), F.col("toc"), F.lit("\n"), F.col("chapters"), F.lit("\n</body>\n</html>"))

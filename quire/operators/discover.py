@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import html, urls
+from quire.sources.staging import written
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -28,8 +29,7 @@ def first_seen(links: DataFrame) -> DataFrame:
 
     Grouping takes the least place of each link with map-side minima; only distinct links are numbered.
     """
-    place = F.col("page_id") * F.lit(1 << 20) + F.col("pos")
-    once = links.groupBy("book_id", "href").agg(F.min(place).alias("place"))
+    once = links.groupBy("book_id", "href").agg(F.min(F.struct("page_id", "pos")).alias("place"))
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("place", "href"))
     return once.select("book_id", number.cast("long").alias("seq"), "href")
 
@@ -44,18 +44,25 @@ def _next_series(page: pd.Series, url: pd.Series) -> pd.Series:
 
 
 def next_links(pages: DataFrame) -> DataFrame:
-    """(url, next_url) of pages that name a next page."""
-    found = pages.select("url", F.pandas_udf(_next_series, "string")("html", "url").alias("next_url"))
-    return found.where(F.col("next_url").isNotNull())
+    """(url, next_url) of pages that name a next page; an address captured several times counts by its first capture that does."""
+    found = pages.select("page_id", "url", F.pandas_udf(_next_series, "string")("html", "url").alias("next_url")).where(F.col("next_url").isNotNull())
+    return found.groupBy("url").agg(F.min(F.struct("page_id", "next_url")).alias("first")).select("url", "first.next_url")
 
 
 def pagination_chain(seeds: DataFrame, nexts: DataFrame, max_pages: int = 5) -> DataFrame:
-    """(book_id, depth, url): from each seed along next links, never to an address seen before, at most max_pages pages."""
-    step = seeds.select("book_id", F.lit(1).cast("long").alias("depth"), "url", F.array("url").alias("seen"))
+    """(book_id, depth, url): from each seed along next links, never to an address seen before, at most max_pages pages.
+
+    A frontier: each step is written, so plans don't grow with the depth, and the loop ends when no chain goes on.
+    Repeated seeds count once, and of several next links of an address the least does.
+    """
+    nexts = written(nexts.groupBy("url").agg(F.min("next_url").alias("next_url")), "nexts")
+    step = seeds.select("book_id", F.lit(1).cast("long").alias("depth"), "url", F.array("url").alias("seen")).dropDuplicates(["book_id", "url"])
     out = step
     for _ in range(max_pages - 1):
         step = step.join(nexts, "url").where(~F.array_contains("seen", F.col("next_url")))
-        step = step.select("book_id", (F.col("depth") + 1).alias("depth"), F.col("next_url").alias("url"), F.concat("seen", F.array("next_url")).alias("seen"))
+        step = written(step.select("book_id", (F.col("depth") + 1).alias("depth"), F.col("next_url").alias("url"), F.concat("seen", F.array("next_url")).alias("seen")), "frontier")
+        if not step.take(1):
+            break
         out = out.unionByName(step)
     return out.select("book_id", "depth", "url")
 
@@ -67,8 +74,10 @@ def discover(pages: DataFrame, seeds: DataFrame, max_pages: int = 5) -> DataFram
     """
     chain = pagination_chain(seeds, next_links(pages), max_pages)
     base = seeds.select("book_id", F.col("url").alias("seed"))
-    listed = chain.join(pages.select("url", "html"), "url").join(base, "book_id")
-    found = anchors(listed.select(F.struct("book_id", "depth", "seed").alias("page_id"), "url", "html"))
+    base = base.groupBy("book_id").agg(F.min("seed").alias("seed"))
+    listed = chain.join(pages.select("page_id", "url", "html"), "url").groupBy("book_id", "depth", "url").agg(F.min(F.struct("page_id", "html")).alias("first"))  # one capture of an address
+    listed = listed.join(base, "book_id")
+    found = anchors(listed.select(F.struct("book_id", "depth", "seed").alias("page_id"), "url", "first.html"))
     found = found.select("page_id.*", "pos", urls.resolved(F.col("href"), F.col("url")).alias("full"))
     found = found.where(urls.is_article_link(F.col("full"), F.col("seed")))
     return first_seen(found.select("book_id", F.col("depth").alias("page_id"), "pos", urls.without_fragment(F.col("full")).alias("href")))
@@ -78,6 +87,6 @@ def union_links(*parts: DataFrame) -> DataFrame:
     """Links of several snapshots, parts in order: each link once, at its first place."""
     out = None
     for i, part in enumerate(parts):
-        part = part.select("book_id", (F.lit(i).cast("long") * (1 << 20) + F.col("seq")).alias("page_id"), F.lit(0).alias("pos"), "href")
+        part = part.select("book_id", F.lit(i).cast("long").alias("page_id"), F.col("seq").alias("pos"), "href")
         out = part if out is None else out.unionByName(part)
     return first_seen(out)

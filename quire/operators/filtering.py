@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import extract
+from quire.sources.staging import written
 
 DEDUP_CAP = 100
 BATCH = 10
@@ -36,28 +37,30 @@ def classify(articles: DataFrame, options: FilterOptions = FilterOptions(), flat
     """articles(book_id, seq, url, title, content_html) with plain, content_hash, reason (null: kept).
 
     The first articles of a book are compared with those before them, omitted ones included; a duplicate
-    is named as such before any rule. Only hashes are numbered, and no more than the cap of a book leave a
-    task, so a book of any size never gathers; the few duplicates found are joined back.
+    is named as such before any rule. Of equal articles at one place of a book one is first, so none is lost.
+    The rows are written once with a number each, so extraction runs once. Then only hashes are ranked, and no more than
+    the cap of a book leave a task, so a book of any size never gathers; the few duplicates found are joined back by their numbers.
     flat: link shares by native expressions, for fragments without nesting.
     """
-    rows = with_plain(articles)
+    rows = with_plain(articles).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("content_hash", text.content_hash(F.col("plain"))).withColumn("title", text.titled(F.col("title")))
     share = None
     if options.ratio_check and not flat:
         share = F.col("_share")
         rows = rows.withColumn("_share", extract.link_share(F.col("content_html"), F.col("plain")))
     rule = text.rule_reason(F.col("title"), F.col("plain"), F.col("content_html"), options.min_length, options.pattern_check, options.ratio_check, share)
-    again = duplicates(rows, options.dedup_cap).select(F.col("book_id").alias("_book"), F.col("seq").alias("_seq"), F.lit(True).alias("_again"))
-    rows = rows.join(again, F.col("book_id").eqNullSafe(F.col("_book")) & F.col("seq").eqNullSafe(F.col("_seq")), "left")
-    return rows.withColumn("reason", F.when(F.col("_again"), F.lit(text.DUPLICATE)).otherwise(rule)).drop("_book", "_seq", "_again", "_share")
+    rows = written(rows.withColumn("_rule", rule).drop("_share"), "classified")
+    again = duplicates(rows, options.dedup_cap).withColumn("_again", F.lit(True))
+    rows = rows.join(again, "_row", "left")
+    return rows.withColumn("reason", F.when(F.col("_again"), F.lit(text.DUPLICATE)).otherwise(F.col("_rule"))).drop("_row", "_again", "_rule")
 
 
 def duplicates(rows: DataFrame, cap: int = DEDUP_CAP) -> DataFrame:
-    """(book_id, seq) of articles among the first `cap` of a book whose text an earlier one of them has; empty texts are never compared."""
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("seq"))
-    head = rows.select("book_id", "seq", "content_hash", (F.length("plain") > 0).alias("filled")).withColumn("n", place).where(F.col("n") <= cap)
+    """_row of articles among the first `cap` of a book whose text an earlier one of them has; empty texts are never compared."""
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("seq", "_row"))
+    head = rows.select("book_id", "seq", "_row", "content_hash", (F.length("plain") > 0).alias("filled")).withColumn("n", place).where(F.col("n") <= cap)
     first = F.min("n").over(Window.partitionBy("book_id", "content_hash"))
-    return head.where("filled").withColumn("first", first).where("n > first").select("book_id", "seq").distinct()
+    return head.where("filled").withColumn("first", first).where("n > first").select("_row")
 
 
 def kept(classified: DataFrame) -> DataFrame:
@@ -87,7 +90,10 @@ def batches(articles: DataFrame, size: int = BATCH) -> DataFrame:
 
 def prompt_lines(articles: DataFrame, size: int = BATCH) -> DataFrame:
     """(book_id, batch, pos, line): number, title, address, length and the first 200 characters, as a judge reads them."""
-    rows = batches(with_plain(articles), size)
+    return _lines(batches(with_plain(articles), size))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
     line = F.format_string('%d. Title: "%s" | URL: %s | Length: %d chars | Snippet: "%s"', F.col("pos") + 1, text.collapse(text.titled(F.col("title"))), F.col("url"), F.length("plain"), F.substring("plain", 1, 200))
     return rows.select("book_id", "batch", "pos", line.alias("line"))
 
@@ -111,7 +117,8 @@ def parse_decisions(raw: str | None, expected: int) -> list[dict] | None:
         return None
     if not isinstance(got, list) or len(got) != expected or not all(isinstance(d, dict) and isinstance(d.get("include"), bool) for d in got):
         return None
-    return [{"include": d["include"], "reason": d["reason"] if isinstance(d.get("reason"), str) else "" if d["include"] else OMITTED_BY_FILTER} for d in got]
+    given = [d["reason"] if isinstance(d.get("reason"), str) else "" for d in got]
+    return [{"include": d["include"], "reason": reason if reason or d["include"] else OMITTED_BY_FILTER} for d, reason in zip(got, given)]
 
 
 DECISIONS = "array<struct<include:boolean,reason:string>>"
@@ -130,10 +137,11 @@ def judged(articles: DataFrame, judge: Callable[[str], str | None], size: int =
     """classify() by a judge: it gets a prompt per batch and returns a reply.
 
     A batch whose judge fails or whose reply is invalid goes by the rules, for itself alone; a valid reply replaces the rules.
-    The judge is called in tasks, one batch at a time.
+    The judge is called in tasks, one batch at a time, and once for each: articles and replies are written before they are used,
+    so nothing that follows asks again (a task that is lost does). Every article comes back once, whatever the judge says.
     """
-    lines = prompt_lines(articles, size)
-    asked = lines.groupBy("book_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    rows = written(batches(with_plain(articles), size).withColumn("title", text.titled(F.col("title"))), "batches")
+    asked = _lines(rows).groupBy("book_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
 
     def answer(prompt: str) -> str | None:
         try:
@@ -144,9 +152,9 @@ def judged(articles: DataFrame, judge: Callable[[str], str | None], size: int =
     def ask(some: pd.Series) -> pd.Series:
         return pd.Series([answer(build_prompt(list(x))) for x in some], dtype=object)
 
-    replies = asked.withColumn("raw", F.pandas_udf(ask, "string")("lines")).withColumn("expected", F.size("lines"))
+    answered = F.pandas_udf(ask, "string").asNondeterministic()("lines")
+    replies = written(asked.select("book_id", "batch", answered.alias("raw"), F.size("lines").alias("expected")), "replies")
     verdicts = decisions(replies).select("book_id", "batch", F.posexplode_outer("decisions").alias("pos", "decision"))
-    rows = batches(with_plain(articles), size).withColumn("title", text.titled(F.col("title")))
     names = rows.columns
     valid = verdicts.where("decision is not null").select("book_id", "batch", F.col("pos").cast("long").alias("pos"), "decision")
     decided = rows.join(valid, ["book_id", "batch", "pos"]).withColumn("reason", F.when(~F.col("decision.include"), F.col("decision.reason"))).select(*names, "reason")

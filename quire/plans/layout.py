@@ -15,14 +15,14 @@ PROVIDERS = ("gemini", "openai", "anthropic")
 
 
 class SheetCache:
-    """A folder of style sheets by key; failures to write don't matter."""
+    """A folder of style sheets by key; failures to write don't matter. fresh: what is kept is not read, but replaced."""
 
-    def __init__(self, folder: str | Path | None):
-        self.folder = Path(folder) if folder else None
+    def __init__(self, folder: str | Path | None, fresh: bool = False):
+        self.folder, self.fresh = Path(folder) if folder else None, fresh
 
     def get(self, key: str) -> str | None:
         try:
-            return (self.folder / f"{key}.css").read_text(encoding="utf-8") if self.folder else None
+            return (self.folder / f"{key}.css").read_text(encoding="utf-8") if self.folder and not self.fresh else None
         except OSError:
             return None
 

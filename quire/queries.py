@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text, urls
+from quire.functions import html, text, urls
 from quire.operators import assemble, discover, extract, filtering, metadata
 from quire.sources import pages as captured
 from quire.streaming.pages import stability
@@ -57,6 +57,10 @@ def _host(x: str) -> str:
     return f"lower(regexp_extract({x}, '^[A-Za-z]+://([^/?#:]*)', 1))"
 
 
+_RULES = f"""WHEN length(plain) < 100 THEN '{text.TOO_SHORT % 100}'
+        WHEN regexp_matches(trim(title), '(?i)(404|not\\s+found|access\\s+denied|forbidden|error)') THEN '{text.ERROR_PAGE}'
+        WHEN regexp_matches(trim(title), '(?i)\\b(login|sign\\s*in|sign\\s*up|register)\\b') THEN '{text.LOGIN_WALL}'
+        WHEN length(plain) > 0 AND link_ratio > 0.6 THEN '{text.NAVIGATION}'"""
 _BASE = f"""
 WITH a AS (
     SELECT {_host("url")} AS book_id, page_id AS seq, url, {_read("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
@@ -71,10 +75,7 @@ WITH a AS (
 ), e AS (
     SELECT * REPLACE (coalesce(nullif(title, ''), '{text.UNTITLED}') AS title), CASE
         WHEN n <= 100 AND length(plain) > 0 AND n > first THEN '{text.DUPLICATE}'
-        WHEN length(plain) < 100 THEN '{text.TOO_SHORT % 100}'
-        WHEN regexp_matches(trim(title), '(?i)(404|not\\s+found|access\\s+denied|forbidden|error)') THEN '{text.ERROR_PAGE}'
-        WHEN regexp_matches(trim(title), '(?i)\\b(login|sign\\s*in|sign\\s*up|register)\\b') THEN '{text.LOGIN_WALL}'
-        WHEN length(plain) > 0 AND link_ratio > 0.6 THEN '{text.NAVIGATION}' END AS reason FROM d
+        {_RULES} END AS reason FROM d
 ), k AS (
     SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS chapter FROM e WHERE reason IS NULL
 )
@@ -162,12 +163,6 @@ def safe_iframe(spark, d):
     return _pages(spark, d).select("page_id", urls.safe_media_url(src, F.col("url")).alias("safe"))
 
 
-@query(f"SELECT page_id, html FROM pages WHERE url = (SELECT url FROM pages WHERE page_id = 7)")
-def lookup_page(spark, d):
-    pages = _pages(spark, d)
-    return pages.join(pages.where("page_id = 7").select("url"), "url", "left_semi").select("page_id", "html")
-
-
 # -- filtering ---------------------------------------------------------------------------------
 @query(_BASE + "SELECT book_id, seq, title, length(plain)::BIGINT AS n_chars, content_hash, reason FROM e")
 def rule_filter(spark, d):
@@ -237,7 +232,12 @@ def _stub(prompt: str) -> str:
     return "none" if len(lines) == 3 else json.dumps([{"include": len(x) % 2 == 0, "reason": "odd"} for x in lines])
 
 
-@query()
+_LINE = """pos || '. Title: "' || trim(regexp_replace(title, '\\s+', ' ', 'g')) || '" | URL: ' || url || ' | Length: ' || length(plain)::VARCHAR || ' chars | Snippet: "' || left(plain, 200) || '"'"""
+
+
+@query(_BASE + f""", t AS (SELECT *, (n - 1) // 10 AS batch, (n - 1) % 10 + 1 AS pos, count(*) OVER (PARTITION BY book_id, (n - 1) // 10) AS size FROM e),
+u AS (SELECT *, {_LINE} AS line, min(CASE WHEN length(plain) > 0 THEN pos END) OVER (PARTITION BY book_id, batch, content_hash) AS own FROM t)
+SELECT book_id, seq, title, CASE WHEN size <> 3 AND length(line) % 2 = 0 THEN NULL WHEN size <> 3 THEN 'odd' WHEN length(plain) > 0 AND pos > own THEN '{text.DUPLICATE}' {_RULES} END AS reason FROM u""")
 def ai_filter_stub(spark, d):
     return filtering.judged(_articles(spark, d), _stub).select("book_id", "seq", "title", "reason")
 
@@ -279,6 +279,15 @@ def union_of_snapshots(spark, d):
     return discover.union_links(links.where("seq <= 4"), links)
 
 
+@query(f"""WITH m AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)
+SELECT {_host("url")} AS book_id, row_number() OVER (PARTITION BY {_host("url")} ORDER BY page_id, url) AS seq, url, sha256(html) AS page FROM m JOIN pages USING (url, page_id)""")
+def lookup_page(spark, d):
+    """The captures of all addresses, each by its address, in order of discovery."""
+    pages = _pages(spark, d)
+    listed = discover.first_seen(captured.with_book(pages).select("book_id", "page_id", F.lit(0).alias("pos"), F.col("url").alias("href")))
+    return captured.fetch(pages, listed).select("book_id", "seq", "url", F.sha2("html", 256).alias("page"))
+
+
 _CHAIN = f"""WITH RECURSIVE p AS (SELECT {_host("url")} AS book_id, url, page_id, lead(url) OVER w AS next_url, row_number() OVER w AS i FROM pages WINDOW w AS (PARTITION BY {_host("url")} ORDER BY page_id)),
 c AS (SELECT book_id, 1::BIGINT AS depth, url, [url] AS seen FROM p WHERE i = 1 UNION ALL
 SELECT c.book_id, c.depth + 1, p.next_url, list_append(c.seen, p.next_url) FROM c JOIN p USING (url) WHERE p.next_url IS NOT NULL AND c.depth < 5 AND NOT list_contains(c.seen, p.next_url))
@@ -320,6 +329,7 @@ def metadata_cache_key(spark, d):
 
 _TOC = f"""'<div class="toc"><h1>Table of Contents</h1><ul class="toc-list">' || chr(10) || string_agg('<li class="toc-item"><a href="#chapter-' || (chapter - 1) || '"><span class="toc-item-number">' || chapter || '.</span> ' || {_escape("title")} || '</a></li>', chr(10) ORDER BY chapter) || chr(10) || '</ul></div>'"""
 _CHAPTERS = f"""string_agg('<div class="chapter" id="chapter-' || (chapter - 1) || '"><h1>' || {_escape("title")} || '</h1>' || chr(10) || content_html || chr(10) || '</div>', chr(10) ORDER BY chapter)"""
+# The page head.
 _HEAD = '<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>eBook Collection</title>\n'
 
 
@@ -363,13 +373,60 @@ def _edit(name: str, based: bool = False):
     return run
 
 
-for _name, _edit_name, _based in (("pruned_html", "prune", False), ("stripped_links", "strip_links", False), ("revealed_images", "reveal_images", False), ("styled_code", "style_code", False), ("iframes_replaced", "replace_iframes", True)):
-    QUERIES[_name] = _edit(_edit_name, _based)
+for _name, _edit_name in (("pruned_html", "prune"), ("stripped_links", "strip_links")):
+    QUERIES[_name] = _edit(_edit_name)
+
+
+# The captures hold no such elements, so these edits work on fragments made of the pages' ids and addresses: (name, edit, needs the address, fragment, result, changes).
+_ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_CASES = (
+    ("revealed_images", "reveal_images", False,
+     """CASE page_id % 4 WHEN 0 THEN '<img data-src="/a' || page_id || '.png" loading="lazy">' WHEN 1 THEN '<img src="/b.png" data-srcset="/b2.png 2x">' WHEN 2 THEN '<img data-original="/c' || page_id || '.png" data-lazy="/d.png" alt="x &amp; y">' ELSE '<img src="/e.png">' END""",
+     """CASE page_id % 4 WHEN 0 THEN '<img data-src="/a' || page_id || '.png" src="/a' || page_id || '.png">' WHEN 1 THEN '<img src="/b.png" data-srcset="/b2.png 2x" srcset="/b2.png 2x">' WHEN 2 THEN '<img data-original="/c' || page_id || '.png" data-lazy="/d.png" alt="x &amp; y" src="/c' || page_id || '.png">' ELSE '<img src="/e.png">' END""",
+     "CASE page_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END"),
+    ("styled_code", "style_code", False,
+     """'<pre style="a:b">x' || page_id || '<code>y</code></pre><p><code>z</code></p>'""",
+     f"""'<pre style="a:b{html.PRE_STYLE}">x' || page_id || '<code>y</code></pre><p><code style="{html.CODE_STYLE}">z</code></p>'""",
+     "0"),
+    ("iframes_replaced", "replace_iframes", True,
+     """CASE page_id % 4 WHEN 0 THEN '<div><iframe src="https://v.example/' || page_id || '?a=1&amp;b=2"></iframe></div>' WHEN 1 THEN '<div><iframe src="JavaScript:x"></iframe></div>' WHEN 2 THEN '<div><iframe></iframe></div>' ELSE '<div><iframe src="/e/' || page_id || '"></iframe></div>' END""",
+     f"""CASE page_id % 4 WHEN 0 THEN '<div><p><strong>{html.EMBED_LABEL}</strong> <a href="https://v.example/' || page_id || '?a=1&amp;b=2" target="_blank" rel="noopener noreferrer">https://v.example/' || page_id || '?a=1&amp;b=2</a></p></div>' WHEN 3 THEN '<div><p><strong>{html.EMBED_LABEL}</strong> <a href="' || {_ROOT} || '/e/' || page_id || '" target="_blank" rel="noopener noreferrer">' || {_ROOT} || '/e/' || page_id || '</a></p></div>' ELSE '<div></div>' END""",
+     "0"),
+    ("stripped_parts", "strip_links", False,
+     """'<p>a <a href="/x">b <b>c</b></a> <a href="#s">d</a> <a>e' || page_id || '</a></p>'""",
+     """'<p>a b c <a href="#s">d</a> <a>e' || page_id || '</a></p>'""",
+     "1"),
+    ("pruned_parts", "prune", False,
+     """'<div class="x"><nav>n</nav><p></p><div class="social-links">s<div class="ad">q</div></div><section class="chapter"><footer>k</footer></section><footer>f</footer><p>t' || page_id || '</p></div>'""",
+     """'<div class="x"><section class="chapter"><footer>k</footer></section><p>t' || page_id || '</p></div>'""",
+     "4"),
+    ("absolute_parts", "absolutise", True,
+     """'<p><a href="/k' || page_id || '">l</a> <img src="/i.png" srcset="x" loading="lazy"> <a href="https://o.example/q">m</a></p>'""",
+     f"""'<p><a href="' || {_ROOT} || '/k' || page_id || '">l</a> <img src="' || {_ROOT} || '/i.png"> <a href="https://o.example/q">m</a></p>'""",
+     "0"),
+)
+
+
+def _fragments(edit: str, based: bool, fragment: str):
+    def run(spark, d):
+        pages = _pages(spark, d).select("page_id", "url", F.expr(fragment).alias("html"))
+        return pages.select("page_id", extract.edited(edit, F.col("html"), F.col("url") if based else None).alias("e")).select("page_id", "e.html", F.col("e.n").alias("n"))
 
+    return run
 
-@query()
+
+for _name, _edit_name, _based, _fragment, _result, _changes in _CASES:
+    QUERIES[_name] = _fragments(_edit_name, _based, _fragment)
+    ORACLES[_name] = f"SELECT page_id, {_result} AS html, ({_changes})::BIGINT AS n FROM pages"
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN t <> '' AND length(t) <= 80 AND regexp_matches(t, '(?i)\b(load more|show more|show all|expand|see more|view all)\b') THEN t END AS label
+FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)""")
 def load_more_targets(spark, d):
-    return _pages(spark, d).select("page_id", extract.load_more_target(F.col("html")).alias("label"))
+    """Turns as labels of buttons in content."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    page = F.concat(F.lit("<body><button>outside</button><article><p>p</p><button>"), text.escape_html(F.coalesce("text", F.lit(""))), F.lit("</button></article></body>"))
+    return rows.select("conv_id", "turn", extract.load_more_target(page).alias("label"))
 
 
 @query()
@@ -392,9 +449,10 @@ def book_pipeline(spark, d):
     return filtering.classify(articles).select("book_id", "seq", "url", "title", "reason")
 
 
-@query()
+@query(_ANCHORS + ", start AS (SELECT " + _host("url") + """ AS book_id, min(page_id) AS page_id FROM pages GROUP BY 1)
+SELECT h.book_id, h.href, row_number() OVER (PARTITION BY h.book_id ORDER BY min(h.pos), h.href) AS seq FROM h JOIN start USING (book_id, page_id) GROUP BY h.book_id, h.href""")
 def discovered_links(spark, d):
-    """Links over each host's chain of captured pages, from its first page."""
+    """Links over each host's chain of captured pages, from its first page; no capture here names a next one."""
     pages = captured.with_book(_pages(spark, d))
     seeds = pages.groupBy("book_id").agg(F.min_by("url", "page_id").alias("url"))
     return discover.discover(pages.select("page_id", "url", "html"), seeds)

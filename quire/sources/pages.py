@@ -24,8 +24,10 @@ def with_book(pages: DataFrame) -> DataFrame:
 
 
 def fetch(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Captured pages of links(book_id, seq, href), in their order; links without a capture drop out. Spark broadcasts links if they are small."""
-    return links.join(pages.withColumnRenamed("url", "href"), "href").select("book_id", "seq", F.col("href").alias("url"), "html")
+    """Captured pages of links(book_id, seq, href), in their order, the first capture of each; links without one drop out. Spark broadcasts links if they are small."""
+    found = links.join(pages.select("page_id", F.col("url").alias("href"), "html"), "href")
+    first = found.groupBy("book_id", "seq", "href").agg(F.min(F.struct("page_id", "html")).alias("first"))
+    return first.select("book_id", "seq", F.col("href").alias("url"), "first.html")
 
 
 def allowed_requests(requests: DataFrame) -> DataFrame:
@@ -46,3 +48,9 @@ def flat_articles(pages: DataFrame) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files, in any store Spark reads."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def verified(sums: DataFrame, expected: DataFrame) -> DataFrame:
+    """checksums() with ok: whether expected(path, digest) names the same digest, read up to the first blank in any case; false if none is given."""
+    wanted = expected.select(F.col("path").alias("_path"), F.lower(F.regexp_extract(F.trim("digest"), r"^\S+", 0)).alias("_digest"))
+    return sums.join(wanted, F.col("path") == F.col("_path"), "left").withColumn("ok", F.coalesce((F.col("_digest") != "") & (F.col("sha256") == F.col("_digest")), F.lit(False))).drop("_path", "_digest")

@@ -25,20 +25,24 @@ def _target(path: str) -> Path:
     return out
 
 
+def _one(books: DataFrame) -> list:
+    """The row of the only book; none or several are refused."""
+    rows = books.take(2)
+    if len(rows) != 1:
+        raise ValueError("no articles for the book" if not rows else "articles of several books; write_books() writes them all")
+    return rows
+
+
 def write_epub(kept: DataFrame, path: str) -> int:
     """One book's articles as an EPUB file; the number of chapters."""
-    rows = assemble.epubs(kept).take(1)
-    if not rows:
-        raise ValueError("no articles for the book")
+    rows = _one(assemble.epubs(kept))
     _target(path).write_bytes(bytes(rows[0]["epub"]))
     return rows[0]["chapters"]
 
 
 def write_document(kept: DataFrame, path: str, css: str | None = None, render: Callable[[str, Path], None] | None = None) -> int:
     """One book's master HTML; with `render` (HTML, target) a PDF or whatever it prints, else the HTML itself beside the path."""
-    rows = assemble.books(kept, css).take(1)
-    if not rows:
-        raise ValueError("no articles for the book")
+    rows = _one(assemble.books(kept, css))
     target = _target(path)
     if render is None:
         target.with_suffix(".html").write_text(rows[0]["master_html"], encoding="utf-8")

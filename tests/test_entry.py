@@ -28,3 +28,11 @@ def test_nothing_else_imports_the_subpackage():
     for p in ROOT.glob("quire/**/*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
             assert "quire.llm" not in p.read_text()
+
+
+def test_missing_module_of_others_leaves_the_core_queries(tmp_path):
+    """The corpus operators need modules that the rest does not; without one of them the rest still stands."""
+    (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError(\"No module named 'xxhash'\", name='xxhash')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'rule_filter' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    path = f"{tmp_path}:{ROOT}"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": path})

@@ -140,3 +140,29 @@ def test_any_input_parses_and_settles(s):
     html.readable(html.parse(s))
     assert isinstance(once, str)
     assert html.tidy(html.tidy(s)) == html.tidy(s)
+
+
+def test_one_walk_prunes_as_the_selectors_in_turn():
+    import random
+
+    from quire.functions import html
+
+    def in_turn(root):
+        n = 0
+        for fits in [html.selector(s) for s in html.NON_CONTENT]:
+            for e in [e for e in root.walk() if fits(e)]:
+                e.remove()
+                n += 1
+        for e in [e for e in root.find("p", "div", "span") if not [k for k in e.kids if not isinstance(k, html.Comment)]]:
+            e.remove()
+        return n
+
+    rng = random.Random(3)
+    marks = ["", ' class="ad"', ' class="x advert-y"', ' class="chapter"', ' id="comments"', ' id="mycomment"', ' class="social-links popup"', ' class="related-posts cookie"', ' class="overlay"', ' id="respond" class="modal"']
+    for _ in range(300):
+        out = ""
+        for _ in range(rng.randint(1, 14)):
+            tag = rng.choice(["div", "section", "nav", "footer", "header", "aside", "span", "p", "ul"])
+            out += f"<{tag}{rng.choice(marks)}>" + rng.choice(["", "t", "<!--c-->"]) + rng.choice(["", "", f"</{tag}>", f"</{tag}></div>"])
+        a, b = html.parse(out), html.parse(out)
+        assert (html.prune(a), html.inner_html(a)) == (in_turn(b), html.inner_html(b)), out

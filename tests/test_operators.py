@@ -187,3 +187,84 @@ def test_whole_book(spark):
     assert book.classified_articles(pages, seeds, book.BookOptions(max_articles=1)).count() == 1
     assert captured.lookup(pages, "https://h.com/start").count() == 1
     assert captured.allowed_requests(spark.createDataFrame([("https://x/y", "xhr"), ("https://x/ads", "xhr")], "url string, resource_type string")).count() == 1
+
+
+def test_judge_is_asked_once_a_batch_and_no_row_is_doubled(spark, tmp_path):
+    """A judge that answers differently each time it is asked, and notes every call."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def judge(prompt):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("x")
+        asked = len(list(log.iterdir()))
+        lines = [x for x in prompt.split("\n") if x[:1].isdigit()]
+        return "?" if asked % 2 else json.dumps([{"include": False, "reason": ""} for _ in lines])
+
+    rows = [(f"t{i}", f"<p>{i}</p>" + WORDS) for i in range(15)]
+    got = filtering.judged(articles(spark, rows).coalesce(1), judge)
+    first = sorted((r["seq"], r["reason"]) for r in got.collect())
+    assert len(list(log.iterdir())) == 2
+    assert [s for s, _ in first] == list(range(1, 16)) and first == sorted((r["seq"], r["reason"]) for r in got.collect())
+    assert len(list(log.iterdir())) == 2
+    assert {r for _, r in first} == {None, filtering.OMITTED_BY_FILTER}  # an empty reason is replaced
+
+
+def test_equal_rows_at_one_place_keep_the_first(spark):
+    one = articles(spark, [("a", WORDS), ("b", WORDS + "other")])
+    got = filtering.classify(one.unionByName(one)).collect()
+    assert sorted((r["seq"], r["reason"] or "") for r in got) == [(1, ""), (1, text.DUPLICATE), (2, ""), (2, text.DUPLICATE)]
+
+
+def test_links_of_pages_with_large_numbers_and_many_anchors(spark):
+    links = spark.createDataFrame([("b", 2**60, 0, "u0"), ("b", 2**60 - 1, 2**21, "u1"), ("b", 2**60, 1, "u1"), ("b", -5, 7, "u2"), ("b", 2**60 - 1, 2**20, "u3")], "book_id string, page_id long, pos int, href string")
+    assert [r["href"] for r in discover.first_seen(links).orderBy("seq").collect()] == ["u2", "u3", "u1", "u0"]
+
+
+def test_repeated_captures_count_once(spark):
+    nav = lambda n: f'<a href="/post/x{n}">x</a><a class="next" href="/list{n + 1}">Next</a>'
+    rows = [(100 * k + n, f"https://h.com/list{n}", f"<html><body>{nav(n)}</body></html>") for n in range(1, 4) for k in range(3)]
+    rows += [(1, "https://h.com/post/x1", page(WORDS, "first")), (2, "https://h.com/post/x1", page(WORDS, "second"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("h.com", "https://h.com/list1")] * 2, "book_id string, url string")
+    chain = discover.pagination_chain(seeds, discover.next_links(pages)).collect()
+    assert sorted((r["depth"], r["url"][-1]) for r in chain) == [(1, "1"), (2, "2"), (3, "3"), (4, "4")]
+    links = discover.discover(pages, seeds)
+    assert links.count() == links.select("href").distinct().count()
+    got = captured.fetch(pages, links).collect()
+    assert [(r["url"], "first" in r["html"]) for r in got if "post" in r["url"]] == [("https://h.com/post/x1", True)]
+
+
+def test_several_books_are_refused_by_the_file_writers(spark, tmp_path):
+    one = articles(spark, [("a", WORDS)])
+    both = one.unionByName(one.withColumn("book_id", F.lit("c")))
+    for write in (sinks.write_epub, sinks.write_document):
+        with pytest.raises(ValueError, match="several books"):
+            write(both, str(tmp_path / "x.epub"))
+
+
+def test_checksums_are_compared(spark, tmp_path):
+    import hashlib
+
+    for n in "abc":
+        (tmp_path / n).write_bytes(n.encode())
+    sums = captured.checksums(spark, str(tmp_path))
+    path = {r["path"][-1]: r["path"] for r in sums.collect()}
+    digest = hashlib.sha256(b"a").hexdigest()
+    expected = spark.createDataFrame([(path["a"], f"  {digest.upper()}  a.bin\n"), (path["b"], digest), (path["c"], " ")], "path string, digest string")
+    assert {r["path"][-1]: r["ok"] for r in captured.verified(sums, expected).collect()} == {"a": True, "b": False, "c": False}
+    assert not any(r["ok"] for r in captured.verified(sums, expected.limit(0)).collect())
+
+
+def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys):
+    rows = [(1, "https://h.com/start", '<html><body><a href="/post/a">a</a></body></html>'), (2, "https://h.com/post/a", page(WORDS, "Alpha"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    css = "body{a:b} .toc{a:b} .chapter{a:b} h1{a:b} h2{a:b}" + "p{margin:0 auto;padding:0}" * 3
+    seen = []
+    designer = lambda request, provider, api_key=None: seen.append((provider, api_key)) or css
+    base = ["-u", "https://h.com/start", "-p", str(tmp_path / "pages"), "-o", str(tmp_path / "b"), "-l", "ai", "--cache-dir", str(tmp_path / "c"), "--ai-provider", "openai"]
+    assert cli.main([*base, "--ai-api-key", "k"], spark, designer=designer) == 0 and seen == [("openai", "k")]
+    assert "QUIRE_AI_API_KEY" in capsys.readouterr().err and css in (tmp_path / "b.html").read_text()
+    assert cli.main(base, spark, designer=designer) == 0 and len(seen) == 1  # kept
+    assert cli.main([*base, "--no-cache"], spark, designer=designer) == 0 and seen[1:] == [("openai", None)]
