@@ -25,8 +25,9 @@ SAMPLE_PER_LANGUAGE = 160
 LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-2
 UNKNOWN = "und"
-#: Below this score a text has no language as far as filtering goes.
-REJECT_BELOW = 0.3
+#: Below this value of the winning regression a text with as many distinct n-grams has no language as far as filtering goes. Unlike the
+#: score the value doesn't depend on how many languages there are; shorter texts say too little to be rejected.
+REJECT_BELOW, LEAST_GRAMS = 0.28, 60
 
 #: ASCII letters lower-cased, other bytes of letters kept, all else blank.
 _FOLD = np.full(256, 32, np.uint8)
@@ -68,11 +69,15 @@ class KernelModel:
             out[at : at + 256] = some[:, self.columns].astype(np.float32) @ self.landmarks / own[:, None] / self.size
         return out
 
+    def values(self, batch: list[np.ndarray]) -> np.ndarray:
+        """The regressions' values, a column per language: near 1 for texts like a language's, near 0 for others."""
+        return self.kernels(batch) @ self.weights
+
     def scores(self, batch: list[np.ndarray]) -> np.ndarray:
         """One column per language, from 0 to 1, rows summing to 1: a soft maximum of the regressions' values."""
         if not self.labels or not batch:
             return np.zeros((len(batch), len(self.labels)))
-        values = self.kernels(batch) @ self.weights
+        values = self.values(batch)
         e = np.exp(8 * (values - values.max(1, keepdims=True)))
         return e / e.sum(1, keepdims=True)
 
@@ -160,9 +165,9 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> KernelMod
 
 
 def reject_unknown(docs: DataFrame, model: KernelModel, below: float = REJECT_BELOW) -> DataFrame:
-    """docs without the rows that get no language or a score below the limit; columns stay, and so do clean rows of any language.
+    """docs without the rows that get no language: no letter, or text like none of the languages; columns stay, and so do clean rows of any language.
 
-    With nothing learnt only texts without a letter go.
+    Texts of several languages are like each of them. With nothing learnt only texts without a letter go.
     """
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
@@ -172,8 +177,9 @@ def reject_unknown(docs: DataFrame, model: KernelModel, below: float = REJECT_BE
         for b in pieces(batches, 1 << 20, at):
             keep = b.column(len(names)).to_pylist()
             if m.labels:
-                best = m.scores([presence(t) for t in texts(b.column(at))]).max(1)
-                keep = [k and s >= below for k, s in zip(keep, best.tolist())]
+                found = [presence(t) for t in texts(b.column(at))]
+                best = m.values(found).max(1)
+                keep = [k and (v >= below or p.sum() < LEAST_GRAMS) for k, v, p in zip(keep, best.tolist(), found)]
             yield b.select(names).filter(pa.array(keep, pa.bool_()))
 
     letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters")

@@ -231,3 +231,20 @@ def test_queries_name_the_fold_and_the_threshold(spark, tmp_path):
         got = queries.QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == 200 and all(r["held_out"] == held(r["doc_id"], mod, rest) for r in got)
         assert cut is None or all(r["predicted"] == int(r["score"] >= cut) for r in got)
+
+
+@pytest.mark.parametrize("many", [2, 9])
+def test_text_in_no_language_goes_however_many_languages_there_are(spark, many):
+    """Languages as syllables of their own; planted: random letters, hex, an unseen script, and texts of two languages, which stay."""
+    rng = random.Random(many)
+    consonants, vowels = "bcdfghjklmnprstvwz", "aeiouyäöü"
+    syllables = {f"l{k}": ["".join(rng.choice(x) for x in (consonants, vowels, consonants)[: rng.randint(2, 3)]) for _ in range(25)] for k in range(many)}
+    speak = lambda g, n: " ".join("".join(rng.choice(syllables[g]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    clean = [(i, speak(g, rng.randint(15, 90)), g) for i in range(60 * many) for g in [f"l{i % many}"]]
+    clean += [(5000 + i, speak("l0", 30) + " " + speak("l1", 30), None) for i in range(20)]
+    random_ = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    odd = [(6000 + i, random_("abcdefghijklmnopqrstuvwxyz", 60), None) for i in range(20)] + [(7000 + i, random_("0123456789abcdef", 80), None) for i in range(20)] + [(8000 + i, random_("абвгдежзик", 40), None) for i in range(20)]
+    docs = frame(spark, clean + odd)
+    left = {r["doc_id"] for r in langid.reject_unknown(docs, langid.learn(docs, 50)).collect()}
+    assert len([d for d, _, _ in clean if d not in left]) <= len(clean) // 100
+    assert len([d for d, _, _ in odd if d in left]) <= 3
