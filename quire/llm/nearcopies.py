@@ -30,6 +30,12 @@ BANDS, ROWS = 32, 5
 SMALL, PIVOTS = 64, 8
 #: How many times as many pivots the next round has.
 MORE = 7
+#: Least hashes of a set that its sketch holds: all of most texts, whose pairs it settles but for the check of what it finds.
+SKETCH = 512
+#: For longer texts the share of common ones among the least of both from which texts are compared: 4.5 standard deviations below SIMILAR.
+ALIKE = 0.72
+#: Members of a bucket that one task compares with the pivots.
+SLICE = 4096
 #: Parts over which the comparisons with one pivot are dealt.
 PARTS = 256
 
@@ -68,6 +74,11 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)]
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The upper halves of the SKETCH least hashes of an ascending set."""
+    return (found[:SKETCH] >> np.uint64(32)).astype("<u4")
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     """Whether two ascending sets have the similarity."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -78,7 +89,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, cls, n, fp, bands) of every row; cls names the shingle set by 128 bits, n is its size, fp the fingerprint."""
+    """(doc_id, row_key, cls, n, fp, bands, sig) of every row; cls names the shingle set by 128 bits, n is its size, fp the fingerprint, sig its sketch."""
 
     def run(batches):
         for b in pieces(batches):
@@ -87,10 +98,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
             found = [np.unique(x) for x in all_]
             cls = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in found]
             keys = [bands(x) if len(x) else [] for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_key", "cls", "n", "fp", "bands"])
+            sig = [sketch(x).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cls, pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "row_key", "cls", "n", "fp", "bands", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("row_key"))
-    return rows.mapInArrow(run, f"doc_id long, row_key {ROW_KEY}, cls binary, n long, fp long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id long, row_key {ROW_KEY}, cls binary, n long, fp long, bands array<long>, sig binary")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,6 +130,74 @@ def _links(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def _alike(members: DataFrame, heads: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b), a > b: members and heads of a bucket that carry different labels and are similar by their sketches, once for a member and a label. A large bucket's members go in slices, its heads to each."""
+
+    def run(batches):
+        bucket, heads_ = None, []
+        names = ["kind", "band", "key", "salt", "cls", "n", "label", "sig"]
+        for batch in pieces(batches, 1 << 20, 7):
+            cols = dict(zip(names, (c.to_pylist() for c in batch.columns), strict=True))
+            where = list(zip(cols["band"], cols["key"], cols["salt"]))
+            at = 0
+            while at < len(where):
+                end = at
+                while end < len(where) and where[end] == where[at] and cols["kind"][end] == cols["kind"][at]:
+                    end += 1
+                rows = list(zip(*(cols[x][at:end] for x in ("cls", "n", "label", "sig"))))
+                if where[at] != bucket:
+                    bucket, heads_ = where[at], []
+                if cols["kind"][at] == 0:
+                    heads_ += rows
+                elif heads_:
+                    a, b = _compared(rows, heads_)
+                    if a:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                at = end
+
+    slices = F.ceil(F.col("size") / SLICE).cast("long")
+    given = members.withColumn("salt", F.pmod(F.xxhash64("cls"), slices)).withColumn("kind", F.lit(1))
+    asked = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).withColumn("kind", F.lit(0))
+    columns = ["kind", "band", "key", "salt", "cls", "n", "label", "sig"]
+    asked, given = (x.join(sketches, "cls").select(columns) for x in (asked, given))
+    both = asked.unionByName(given).repartition("band", "key", "salt").sortWithinPartitions("band", "key", "salt", "kind")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def _compared(rows: list[tuple], heads: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of rows and heads (cls, n, label, sketch), the greater cls first, that differ in label and are similar by their sketches.
+
+    Whole sketches give the similarity but for hashes that share their upper half, which can only raise it. So a row that is clearly similar to a head needs no other head of that label.
+    """
+    sig = [np.frombuffer(r[3], "<u4") for r in rows]
+    all_, n, number = np.concatenate(sig), np.array([r[1] for r in rows]), {}
+    starts = np.cumsum([0, *map(len, sig[:-1])])
+    label = np.array([number.setdefault(r[2], len(number)) for r in rows])
+    a, b, joined = [], [], set()
+    for cls, size, name, s in heads:
+        own = np.frombuffer(s, "<u4")
+        own_label = number.setdefault(name, len(number))
+        at = np.flatnonzero((np.minimum(n, size) >= SIMILAR * np.maximum(n, size)) & (label != own_label))
+        if not len(at):
+            continue
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_, starts, dtype=np.int64)
+        for i in at.tolist():
+            if rows[i][0] < cls or (i, own_label) in joined:
+                continue
+            if max(n[i], size) <= SKETCH:
+                if both[i] < SIMILAR * (n[i] + size - both[i]):
+                    continue
+                if both[i] - 2 >= SIMILAR * (n[i] + size - both[i] + 2):
+                    joined.add((i, own_label))
+            else:
+                least = np.union1d(sig[i], own)[:SKETCH]
+                if np.isin(least, sig[i]).astype(int) @ np.isin(least, own) < ALIKE * len(least):
+                    continue
+            a.append(rows[i][0])
+            b.append(cls)
+    return a, b
+
+
 def _linked_by_simhash(classes: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, of classes that the Gray-order index links: those of one fingerprint with the least of them, and these along the links."""
     named = staged(classes.groupBy("fp").agg(F.min("cls").alias("top")), "named")
@@ -162,9 +242,7 @@ def _compare(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         rank = F.row_number().over(Window.partitionBy("band", "key").orderBy("cls"))
         large = members.where(f"size > {SMALL}").withColumn("place", rank).where(F.col("place") <= pivots).drop("place")  # a task passes on its first few
         heads = staged(members.where(f"size <= {SMALL}").unionByName(large), "heads")
-        b = heads.select("band", "key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = members.join(b, ["band", "key"]).where((F.col("b") < F.col("cls")) & (F.col("label") != F.col("lb")))
-        pairs = pairs.where(F.least("n", "nb") >= F.lit(SIMILAR) * F.greatest("n", "nb")).select(F.col("cls").alias("a"), "b").distinct()
+        pairs = _alike(members, heads, classes.select("cls", "sig")).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = staged(links.union(_links(pairs, found)), "links")
         old += [pairs, links, labels, heads]
@@ -182,7 +260,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts link from a similarity of SIMILAR on; a group is all that links reach. Texts without words are one group.
     """
     rows = staged(_sketches(docs), "sketches")
-    classes = staged(rows.groupBy("cls").agg(F.min_by(F.struct("row_key", "n", "fp", "bands"), "row_key").alias("c")).select("cls", "c.*"), "classes")
+    classes = staged(rows.groupBy("cls").agg(F.min_by(F.struct("row_key", "n", "fp", "bands", "sig"), "row_key").alias("c")).select("cls", "c.*"), "classes")
     labels = _compare(docs, classes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     best = rows.groupBy("cls").agg(first.alias("f"))

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quire.llm import nearcopies
 
@@ -71,3 +73,29 @@ def test_no_rows(spark):
 def test_sets_decide():
     a = nearcopies.shingles(b"a b c d e f g h")
     assert len(a) == 4 and nearcopies.similar(a, a) and not nearcopies.similar(a, a[:3])
+
+
+def test_sketches_hold_no_similar_pair_back():
+    """Pairs at the limit, of short and long texts: their texts are compared."""
+    rng = np.random.default_rng(3)
+    for n, rounds in ((40, 100), (500, 60), (640, 200), (20000, 60)):
+        for k in range(rounds):
+            common = rng.integers(0, 2**63, n * 4 // 5, dtype=np.uint64)
+            sets = [np.unique(np.r_[common, rng.integers(0, 2**63, n // 10, dtype=np.uint64)]) for _ in range(2)]
+            assert nearcopies.similar(*sets)
+            rows = [(bytes([9 - i]), len(x), bytes([i]), nearcopies.sketch(x).tobytes()) for i, x in enumerate(sets)]
+            assert nearcopies._compared(rows[:1], rows[1:]) == ([b"\x09"], [b"\x08"])
+    far = [np.unique(np.r_[common[: n // 2], rng.integers(0, 2**63, n // 2, dtype=np.uint64)]) for _ in range(2)]
+    rows = [(bytes([9 - i]), len(x), bytes([i]), nearcopies.sketch(x).tobytes()) for i, x in enumerate(far)]
+    assert nearcopies._compared(rows[:1], rows[1:]) == ([], [])
+
+
+def test_slices_of_a_large_bucket_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, edited(rng, " ".join(base), rng.choice([2, 5, 8, 12]))) for i in range(70)]
+    want = kept_by_brute_force(rows)
+    monkeypatch.setattr(nearcopies, "SLICE", 7)
+    monkeypatch.setattr(nearcopies, "SMALL", 4)
+    monkeypatch.setattr(nearcopies, "PIVOTS", 1)
+    assert kept(spark, rows) == want and 1 < len(want) < 70
