@@ -425,9 +425,14 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id").cast("long"), _text()).alias("rid"), *_identity(_text()), _text().alias("text"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """A row per place of each distinct text, that of the least rid: copies of a text fall together in the tasks that read them, before any shuffle."""
+    return rows.groupBy(*[x for x in rows.columns if x != "rid"]).agg(F.min("rid").alias("rid"))
+
+
 def _live(rows: DataFrame, name: str, across: bool) -> DataFrame:
-    """Rows whose anchor occurs in two places or more, a row per place, with: n, the contexts of the anchor; whether the context
-    is in two places (two texts, if across); whether the row stands for it. Copies of a text count once: the row of least rid is kept."""
+    """Rows whose anchor occurs in two places or more, with: n, the contexts of the anchor; whether the context
+    is in two places (two texts, if across); whether the row stands for it. rows: a row per place."""
     place, many = F.xxhash64("t1", "t2", F.shiftright("at", 32)), F.col("at").bitwiseAND(F.lit(1).cast("long"))
     if across:
         several = (F.min("t1") != F.max("t1")) | (F.min("t2") != F.max("t2")) | (F.max(many) > 0)
@@ -435,10 +440,9 @@ def _live(rows: DataFrame, name: str, across: bool) -> DataFrame:
         several = F.min(place) != F.max(place)
     contexts = staged(rows.groupBy("key", "ctx", "ctx2").agg(F.min(place).alias("first"), several.alias("shared")), f"{name}-contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("n"), F.max("shared").alias("some")).where("n > 1 or some").select("key", "n")
-    # a table of its own, so that the join below shuffles both sides for itself and Spark can split a hot context; at every size
+    # a table of its own, so that the join below shuffles both sides for itself, and nothing after it needs its order: Spark can split a hot context
     some = staged(contexts.join(keys, "key"), f"{name}-live-contexts")
     live = rows.join(some.hint("merge"), ["key", "ctx", "ctx2"]).withColumn("stands", place == F.col("first")).drop("first")
-    live = live.groupBy(*[x for x in live.columns if x != "rid"]).agg(F.min("rid").alias("rid"))
     c, s = F.shiftright("at", 32).cast("int"), F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
     live = staged(live.select("*", c.alias("c"), s.alias("s")).drop("at"), f"{name}-live")
     discard(rows, contexts, some)
@@ -500,7 +504,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     wide = 8 if words else 1
     found = _identified(docs)
-    rows = staged(anchor_rows(found, length, anchor, wide), "anchors")
+    rows = staged(_once(anchor_rows(found, length, anchor, wide)), "anchors")
     covers, used, level, candidates = [], [], 0, None
     while True:
         live = _live(rows, f"repeats{level}", across)
@@ -518,7 +522,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         split = live.where(f"n > {hot}").where("stands or not shared").withColumn("many", F.col("shared") & F.lit(across))
         if level == len(SLICES) or not split.limit(1).count():
             break
-        rows = staged(slice_rows(split, candidates, length, SLICES[level], wide), f"slices{level}")
+        rows = staged(_once(slice_rows(split, candidates, length, SLICES[level], wide)), f"slices{level}")
         level += 1
     all_covers = covers[0]
     for more in covers[1:]:
