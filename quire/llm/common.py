@@ -4,28 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.staging import shared_dir
+
 #: Words are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the setting is unset on a local master, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
 
