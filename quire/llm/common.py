@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import uuid
 
 import pyarrow as pa
@@ -102,6 +103,21 @@ def row_key() -> F.Column:
     return F.struct(F.xxhash64(*both).alias("x"), F.xxhash64(F.lit(1), *both).alias("y"))
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def columns_apart(work):
+    """For operators from docs to docs: columns beyond those of documents go through the work under names that clash with none of its own."""
+
+    @functools.wraps(work)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = docs.columns
+        renamed = docs.toDF(*[x if x in DOCUMENT else f"x{i}x" for i, x in enumerate(names)])
+        return work(renamed, *args, **options).toDF(*names)
+
+    return run
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null is empty."""
     if pa.types.is_string(column.type):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_training_fold, pieces, texts
+from quire.llm.common import columns_apart, in_training_fold, pieces, texts
 from quire.llm.samples import fraction
 
 NGRAMS = (1, 2, 3)
@@ -164,6 +164,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> KernelMod
     return fit(sample(docs, per_language))
 
 
+@columns_apart
 def reject_unknown(docs: DataFrame, model: KernelModel, below: float = REJECT_BELOW) -> DataFrame:
     """docs without the rows that get no language: no letter, or text like none of the languages; columns stay, and so do clean rows of any language.
 

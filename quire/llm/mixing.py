@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, discard, staged
+from quire.llm.common import WORD, columns_apart, discard, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -197,6 +197,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, bucket_rows: in
     return one.select("doc_id", "source", "size", "source_size", "target", "i", (F.col("base") + (F.col("i") <= F.col("extra")).cast("long")).alias("copies"))
 
 
+@columns_apart
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as many times as mix() takes it; rows taken no time go, columns stay."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")

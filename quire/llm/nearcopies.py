@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import simhash
-from quire.llm.common import ROW_KEY, discard, pieces, row_key, staged, texts
+from quire.llm.common import ROW_KEY, columns_apart, discard, pieces, row_key, staged, texts
 from quire.llm.components import components
 
 SHINGLE = 5
@@ -254,6 +254,7 @@ def _compare(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     return out
 
 
+@columns_apart
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row left of each group of near copies: the one with the least id, null ids last; of equal rows one.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, discard, pieces, staged, texts
+from quire.llm.common import WORD, columns_apart, discard, pieces, staged, texts
 
 LENGTH = 400
 ANCHOR = 128
@@ -560,6 +560,7 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([t if s is None else cut_bytes((t or "").encode(), [(x["start"], x["stop"]) for x in s]).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
 
+@columns_apart
 def cut_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """docs with repeated passages cut out of the text; columns and rows stay, a character cut in two goes, a null text stays null.
 

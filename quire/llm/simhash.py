@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ROW_KEY, discard, pieces, row_key, staged, texts
+from quire.llm.common import ROW_KEY, columns_apart, discard, pieces, row_key, staged, texts
 from quire.llm.components import components
 
 SHINGLE = 3
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     )
 
 
+@columns_apart
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row left of each component: the one with the least id, null ids last; of equal rows one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))

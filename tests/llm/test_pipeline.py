@@ -113,3 +113,28 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+
+
+def test_extra_columns_and_very_long_texts_pass_all_stages(spark, tmp_path):
+    """Columns named as the operators' own, some repeated in other case or with blanks, and texts of 200,000 words, one of them null elsewhere."""
+    rng = random.Random(5)
+    word = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(word) for _ in range(n))
+    passage = text(70)
+    rows = [(i, text(40) + (" " + passage + " " + text(9) if i < 2 else ""), "xa", "s0", 0) for i in range(30)]
+    rows += [(100, text(200_000), "xa", "s1", 0), (101, text(100_000) + " " + passage + " " + text(100_000), "xa", "s1", None), (None, None, None, None, None)]
+    extra = ["tid", "_key", "_letters", "_t1", "_t2", "_spans", "_size", "_copies", "_n", "_d", "spans", "t1", "rid", "copies", "odd name", "cls"]
+    docs = spark.createDataFrame([(*r, *[f"{x}{r[0]}" for x in extra]) for r in rows], SCHEMA + "".join(f", `{x}` string" for x in extra))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        assert at.columns == docs.columns
+        found = at.collect()
+        assert all(r[x] == f"{x}{r['doc_id']}" for r in found for x in extra)
+        if name == "repeated_passages":
+            assert {r["doc_id"] for r in found} == {r[0] for r in rows} - {None} and not any(passage in r["text"] for r in found)
+            assert {r["doc_id"]: len(r["text"].split()) for r in found}[101] == 200_000
+    last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+    assert len(last) == len(found) and max(r["n_tokens"] for r in last) > 200_000
