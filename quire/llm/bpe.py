@@ -48,7 +48,7 @@ class WordBpe:
     #: The file's pattern of words.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, cache_words: int = 400_000, specials: bool = True):
+    def __init__(self, path: str, cache_words: int = 200_000, specials: bool = True):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))

@@ -66,7 +66,7 @@ def release(spark: SparkSession, since: int = 0) -> None:
 
 
 #: Rows of an Arrow batch: whole texts cross to Python a few megabytes at a time.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "300"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
