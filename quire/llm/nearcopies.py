@@ -210,6 +210,19 @@ def _linked_by_simhash(classes: DataFrame) -> DataFrame:
     return out
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after adding links (a, b): the components of the links between labels, so what is joined already is not gone through again."""
+    ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b")]
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    up = components(edges)
+    alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    nodes = labels.select("node", "label").unionByName(alone.withColumn("label", F.col("node")))
+    out = nodes.join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = staged(out, "joined")
+    discard(up)
+    return out
+
+
 def _compare(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(cls, label) of all linked classes, label the least class of the group; None without candidates.
 
@@ -244,9 +257,12 @@ def _compare(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         heads = staged(members.where(f"size <= {SMALL}").unionByName(large), "heads")
         pairs = _alike(members, heads, classes.select("cls", "sig")).distinct()
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = staged(links.union(_links(pairs, found)), "links")
-        old += [pairs, links, labels, heads]
-        tried, links, labels = tried.union(pairs), more, components(more)
+        new = staged(_links(pairs, found), "links")
+        old += [pairs, new, heads]
+        tried = tried.union(pairs)
+        if new.limit(1).count():
+            old.append(labels)
+            labels = _joined(labels, new)
         members_now, pivots = members.join(heads.select("band", "key", "cls"), ["band", "key", "cls"], "left_anti"), pivots * MORE
     discard(members, found, links, *old)
     out = labels.withColumnsRenamed({"node": "cls"})
