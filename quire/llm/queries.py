@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chroma, codes, langid, maxscore, mixing, pii, quality, repeats, simhash, token_counts, toxicity
+from quire.llm import bpe, chroma, codes, langid, maxscore, mixing, pii, quality, repeats, simhash, token_counts, toxicity, tries
 from quire.llm.common import in_training_fold, table
 
 
@@ -78,6 +78,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, with totals of every subtree."""
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors over codebooks that two rounds fit."""
     return codes.compress(table(spark, sf_dir, "embeddings"))
@@ -88,7 +93,7 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_langid, op3_simhash, op4_chroma, op5_toxicity, op6_bpe, op7_mixing, op8_quality, op9_token_counts, op10_maxscore, op12_codes, op13_pii)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_langid, op3_simhash, op4_chroma, op5_toxicity, op6_bpe, op7_mixing, op8_quality, op9_token_counts, op10_maxscore, op11_trie, op12_codes, op13_pii)}
 
 #: For op13: proposing expressions, and which proposals stay. Lists of parts and matches give the places of matches.
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[length(d) - i + 1]::INT ELSE 2 * d[length(d) - i + 1]::INT - 9 * (d[length(d) - i + 1] > '4')::INT END)) % 10 = 0"
@@ -126,6 +131,21 @@ def _pii_sql() -> str:
     return ",\n".join(parts)
 
 
+_CRC = "xor(4294967295, list_reduce(flatten(list_transform(string_split(c::VARCHAR, ''), lambda b: [unicode(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, i: CASE WHEN i >= 0 THEN xor(a, i) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT))"
+_TRIE = f"""
+        WITH t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, list(t ORDER BY n) AS own, {_CRC} % 6 AS h FROM t GROUP BY c),
+        b AS (SELECT o.c, list_concat(coalesce(p.own, [])[1:o.h], o.own[o.h + 1:]) AS path FROM o LEFT JOIN o p ON p.c = o.c - o.c % 100),
+        m AS (SELECT c, d AS depth, path[1:d] AS node, path[1:d - 1] AS up, len(path) = d AS ends FROM b, unnest(range(0, len(path) + 1)) u(d)),
+        g AS (SELECT node, any_value(up) AS up, depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+        k AS (SELECT up, depth - 1 AS depth, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+        v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN g.depth = 0 THEN 0 ELSE (n_convs - 1) * length(g.node[g.depth].x) END AS own FROM g LEFT JOIN k ON k.up = g.node AND k.depth = g.depth),
+        s AS (SELECT w.node[1:d] AS node, d AS depth, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM v w, unnest(range(0, w.depth + 1)) u(d) GROUP BY ALL)
+        SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+        FROM v JOIN s ON s.node = v.node AND s.depth = v.depth LEFT JOIN v p ON p.node = v.up AND p.depth = v.depth - 1
+    """
+
+
 def _codes_sql(wide: int = 4) -> str:
     """For vectors of 64 components."""
     dims = range(1, wide + 1)
@@ -162,6 +182,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_trie": _TRIE,
     "op12_codes": _codes_sql(),
     "op13_pii": _pii_sql(),
 }
