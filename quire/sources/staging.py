@@ -1,4 +1,4 @@
-"""Tables written once in the shared folder, so that what made them runs once and rows keep their numbers."""
+"""Tables written once in the shared folder, so that what made them runs once, rows keep their numbers and lineage ends."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Written tables by path, with the owner each was written for.
+_written: dict[str, str | None] = {}
+_owners: list[str | None] = [None]
 _at_end: list = []
 
 
@@ -25,21 +28,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of its own; it goes with release() or at the end of the driver's process."""
+    """df as a Parquet table of its own, which outlives lost executors; it goes with discard(), release() or at the end of the driver's process."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     if not _at_end:
         _at_end.append(atexit.register(_clear, spark))
+    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = _owners[-1]
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """What is written meanwhile belongs to the owner, whose release() it waits for."""
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    del _written[path]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.staged_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all written tables; call it once nothing reads them."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, owner: str | None = None) -> None:
+    """Deletes an owner's tables, or without one all: call it once nothing reads them."""
+    for path in [p for p, o in _written.items() if owner is None or o == owner]:
+        _delete(spark, path)
 
 
 def _clear(spark: SparkSession) -> None:

@@ -268,3 +268,15 @@ def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys):
     assert "QUIRE_AI_API_KEY" in capsys.readouterr().err and css in (tmp_path / "b.html").read_text()
     assert cli.main(base, spark, designer=designer) == 0 and len(seen) == 1  # kept
     assert cli.main([*base, "--no-cache"], spark, designer=designer) == 0 and seen[1:] == [("openai", None)]
+
+
+def test_only_an_owners_tables_go(spark):
+    from quire.sources import staging
+
+    with staging.owned("mine"):
+        mine = staging.written(spark.range(3), "t")
+    other = staging.written(spark.range(4), "t")
+    staging.release(spark, "mine")
+    assert other.count() == 4 and mine.staged_at not in staging._written
+    staging.discard(other)
+    assert other.staged_at not in staging._written
