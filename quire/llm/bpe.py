@@ -83,6 +83,7 @@ class WordBpe:
             body = token.removesuffix(self.end)
             if body:
                 self.longest[body[:2]] = max(self.longest.get(body[:2], 1), len(body))
+        self.longest_end = max(len(t) - len(self.end) for t in self.vocab if t.endswith(self.end))
         self.cache: dict[str, bytes] = {}
         self.cache_words, self.mended = cache_words, 0
         self.inner = np.array([self.vocab.get(c, -1) for c in self.letters])
@@ -117,7 +118,7 @@ class WordBpe:
         letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
         vocab, longest, n, at, out = self.vocab, self.longest, len(letters), 0, []
         while True:
-            token = vocab.get(letters[at:] + self.end)
+            token = vocab.get(letters[at:] + self.end) if n - at <= self.longest_end else None
             if token is not None:
                 out.append(token)
                 return out

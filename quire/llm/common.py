@@ -2,69 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import functools
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.staging import shared_dir
+from quire.sources.staging import discard, owned, release, shared_dir  # noqa: F401
+from quire.sources.staging import written as staged  # noqa: F401
 
 #: Words are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back.
-
-    The table outlives lost executors. It stays until discard(), release() or the end of the driver's process.
-    """
-    spark = df.sparkSession
-    if not _at_end:
-        _at_end.append(atexit.register(_clear, spark))
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _paths.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
-    for t in tables:
-        spark, path = t.sparkSession, t.staged_at
-        _paths.remove(path)
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_paths: list[str] = []
-_at_end: list = []
-
-
-def _clear(spark: SparkSession) -> None:
-    """What is left at the end of the process goes, as far as the session's store can still be reached."""
-    with contextlib.suppress(Exception):
-        release(spark)
-
-
-def mark() -> int:
-    """A point from which release() deletes."""
-    return len(_paths)
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables staged after mark() gave `since`; call it once their results are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_paths) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 #: Rows of an Arrow batch: whole texts cross to Python a few megabytes at a time.
 BATCH_ROWS = "300"
 

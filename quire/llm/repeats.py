@@ -215,6 +215,11 @@ def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return m, size
 
 
+def _in_order(m: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of padded rows in the order of their bytes, the shorter first: padding and NUL bytes compare alike."""
+    return np.lexsort((size, np.ascontiguousarray(m).view(f"S{m.shape[1]}").ravel()))
+
+
 def _common(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of rows, in bytes."""
     differ = a != b
@@ -244,14 +249,14 @@ class SuffixArray:
         self.length, self.wide, self.ladder = length, wide, None
         m, size = _matrix(right, length * wide)
         keyed = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), m], axis=1)
-        self.order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").ravel(), kind="stable")
+        self.order = _in_order(keyed, size)
         m, size, key = m[self.order], size[self.order], key[self.order]
         self.lcp = _common(m[1:], m[:-1], size[1:], size[:-1]) // wide if len(m) > 1 else np.zeros(0, np.int64)
         self.lcp[key[1:] != key[:-1]] = 0
         left = [left[i] for i in self.order.tolist()]
         self.left, self.left_size = _matrix(left, max(map(len, left), default=1))
         self.left_rank = np.empty(len(left), np.int64)
-        self.left_rank[np.argsort(self.left.view(f"S{self.left.shape[1]}").ravel(), kind="stable")] = np.arange(len(left))
+        self.left_rank[_in_order(self.left, self.left_size)] = np.arange(len(left))
 
     def tree(self, most: int = 1 << 16):
         """Yields, for some intervals at a time: interval number, its length, member (place in the suffix array),

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -130,3 +131,13 @@ def test_counts_of_documents(spark, library):
     library.encode_special_tokens = False
     assert sorted(str(tuple(r)) for r in token_counts.count_documents(frame(spark, rows), PATH, EOD, block=500).collect()) == want
     assert token_counts.count_documents(frame(spark, []), PATH, EOD).count() == 0
+
+
+@pytest.mark.parametrize("word", ["abcdefghij" * 100_000, "éü" * 300_000, "qzxj" * 250_000])
+def test_one_very_long_word(library, word):
+    """About a megabyte without a break, in time that stays near the library's."""
+    began = time.perf_counter()
+    want = library.encode(word, add_special_tokens=False).ids
+    theirs, began = time.perf_counter() - began, time.perf_counter()
+    got = np.frombuffer(bpe.WordBpe(PATH).encode_batch([word])[0], "<u4").tolist()
+    assert got == want and time.perf_counter() - began < 20 + 3 * theirs

@@ -10,7 +10,7 @@ from test_repeats import plain_words
 from test_simhash import plain as plain_components
 
 import corpus_pipeline
-from quire.llm import mixing
+from quire.llm import mixing, simhash
 from test_mixing import targets_plainly
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,3 +138,13 @@ def test_extra_columns_and_very_long_texts_pass_all_stages(spark, tmp_path):
             assert {r["doc_id"]: len(r["text"].split()) for r in found}[101] == 200_000
     last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
     assert len(last) == len(found) and max(r["n_tokens"] for r in last) > 200_000
+
+
+def test_tables_of_other_queries_stay(spark, tmp_path):
+    """A query that is built before the pipeline and read after it."""
+    rows = [(i, f"the quick brown fox number {i % 7} jumps over the lazy dog", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    query = simhash.near_duplicates(docs)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert query.count() == 40

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quire.llm import common, repeats
+from quire.sources import staging
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tid long, spans string"
 
@@ -165,8 +166,20 @@ def test_across_holds_for_bytes_too(spark):
 
 
 def test_nothing_staged_is_left_but_what_is_read(spark):
-    before = common.mark()
-    repeats.removals(frame(spark, list(enumerate(corpus(2, 10)))), hot=3).count()
-    assert len(common._paths) - before == 2
-    common.release(spark, before)
-    assert common.mark() == before
+    with common.owned("repeats"):
+        repeats.removals(frame(spark, list(enumerate(corpus(2, 10)))), hot=3).count()
+    assert list(staging._written.values()).count("repeats") == 2
+    common.release(spark, "repeats")
+    assert "repeats" not in staging._written.values()
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_nul_bytes_inside_and_at_ends(spark, turned):
+    """A text and the same text plus NULs differ, in whatever order they come."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("a\0") for _ in range(rng.choice([5, 20, 450, 600]))) for _ in range(12)]
+    texts = [t + "\0" * rng.choice([0, 0, 1, 2, 5, 400]) for t in base for _ in range(4)] + ["\0" * n for n in (399, 400, 401, 800)] + [("\0" * 3 + t)[:-2] for t in base]
+    texts = texts[::-1] if turned else texts
+    want = plain(texts, 400)
+    got = sorted(repeats.removals(frame(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == want
