@@ -15,14 +15,15 @@ from quire.llm import bpe, common, langid, mixing, nearcopies, repeats
 from quire.llm.queries import tokenizer_path
 
 
-def _stage(work):
-    """A stage first drops the temporary tables of those before it, whose results are written by then."""
+def _stage(at: int, work):
+    """A stage first drops what the one before it staged, whose result is written by then; other queries' tables stay."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if not any("/quire-" in f for f in docs.inputFiles()):
-            common.release(spark)
+        if at:
+            common.release(spark, f"corpus-stage-{at - 1}")
         common.small_batches(spark)
-        return work(spark, docs, sf_dir)
+        with common.owned(f"corpus-stage-{at}"):
+            return work(spark, docs, sf_dir)
 
     return run
 
@@ -55,11 +56,11 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", _stage(language)),
-    ("near_duplicates", _stage(near_duplicates)),
-    ("repeated_passages", _stage(repeated_passages)),
-    ("mixing", _stage(mixture)),
-    ("token_ids", _stage(token_ids)),
+    ("language_id", _stage(0, language)),
+    ("near_duplicates", _stage(1, near_duplicates)),
+    ("repeated_passages", _stage(2, repeated_passages)),
+    ("mixing", _stage(3, mixture)),
+    ("token_ids", _stage(4, token_ids)),
 ]
 
 #: SQL can't express the learnt model, the suffix arrays or the tokenizer; tests hold run() against plain versions.
