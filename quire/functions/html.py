@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -100,18 +101,33 @@ class Comment(str):
     pass
 
 
+def exchange(pairs: list[tuple[Node, object]]) -> None:
+    """Puts what is given in the place of each element, nothing for None; a parent's children are gone through once."""
+    new = {id(e): x for e, x in pairs}
+    for parent in {id(e.parent): e.parent for e, _ in pairs if e.parent is not None}.values():
+        kids, parent.kids = parent.kids, []
+        for k in kids:
+            k = new[id(k)] if id(k) in new else k
+            if k is not None:
+                parent.add(k)
+    for e, _ in pairs:
+        e.parent = None
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.count = Counter()
 
     def _end(self, i: int) -> None:
+        self.count.subtract(n.tag for n in self.open[i:])
         del self.open[i:]
 
     def handle_starttag(self, tag, attrs):
         ends = ENDS.get(tag, ())
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if any(self.count[e] > 0 for e in ends) else ():
             name = self.open[i].tag
             if name in ends:
                 self._end(i)
@@ -128,12 +144,13 @@ class _Builder(HTMLParser):
         self.open[-1].add(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.count[tag] > 0 else ():
             if self.open[i].tag == tag:
                 self._end(i)
                 return
@@ -274,10 +291,8 @@ def prune(root: Node) -> int:
                 gone.append(e)
             earliest = min(earliest, rank)
         todo += [(k, earliest) for k in reversed(e.kids) if isinstance(k, Node)]
-    for e in gone:
-        e.remove()
-    for e in [e for e in root.find("p", "div", "span") if not [k for k in e.kids if not isinstance(k, Comment)]]:
-        e.remove()
+    exchange([(e, None) for e in gone])
+    exchange([(e, None) for e in root.find("p", "div", "span") if not [k for k in e.kids if not isinstance(k, Comment)]])
     return n
 
 
@@ -291,28 +306,23 @@ def style_code(root: Node) -> None:
 
 def replace_iframes(root: Node, base: str) -> None:
     """Embeds become a marked paragraph with a link; unsafe ones go."""
+    pairs: list[tuple[Node, object]] = []
     for e in root.find("iframe"):
         href = safe_media(e.attrs.get("src"), base)
-        if href is None:
-            e.remove()
-            continue
-        p, mark, link = Node("p"), Node("strong"), Node("a", {"href": href} | EMBED_LINK)
+        p, mark, link = Node("p"), Node("strong"), Node("a", {"href": href or ""} | EMBED_LINK)
         mark.add(EMBED_LABEL)
-        link.add(href)
+        link.add(href or "")
         for kid in (mark, " ", link):
             p.add(kid)
-        e.swap(p)
+        pairs.append((e, p if href else None))
+    exchange(pairs)
 
 
 def strip_links(root: Node) -> int:
     """Links but those within the page become their text; how many."""
-    n = 0
-    for e in root.find("a"):
-        href = e.attrs.get("href")
-        if href and not href.startswith("#") and e.parent is not None:
-            e.swap(e.text())
-            n += 1
-    return n
+    links = [(e, e.text()) for e in root.find("a") if (href := e.attrs.get("href")) and not href.startswith("#")]
+    exchange(links)
+    return len(links)
 
 
 def reveal_images(root: Node) -> int:
@@ -393,86 +403,3 @@ def load_more_target(root: Node) -> str | None:
                 if 0 < len(label) <= 80 and not unsafe and re.search(r"(?ai)\b(load more|show more|show all|expand|see more|view all)\b", label):
                     return label
     return None
-
-
-_LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
-_UNLIKELY = re.compile(r"combx|contact|foot|masthead|media|meta|promo|shopping|tool|widget|menu|banner|breadcrumb|pager|pagination", re.I)
-_START = {"article": 25, "main": 20, "section": 8, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "address": -3} | {f"h{i}": -5 for i in range(1, 7)}
-
-
-def readable(root: Node) -> dict | None:
-    """The main content by density of text: paragraphs vote for their containers, links count against them. None if no text is found."""
-    page = body(root)
-    votes: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    for e in page.walk():
-        if e.tag not in ("p", "pre", "td", "blockquote") and not (e.tag in ("div", "section", "article") and not any(isinstance(k, Node) and k.tag in BLOCK for k in e.kids)):
-            continue
-        text = collapse(e.text())
-        if len(text) < 25:
-            continue
-        worth = 1 + len(re.findall("[,،、]", text)) + min(len(text) // 100, 3)
-        for depth, up in enumerate([a for a in e.above() if a.tag != "#root"][:3]):
-            if id(up) not in votes:
-                hint = f"{up.attrs.get('class', '')} {up.attrs.get('id', '')}"
-                votes[id(up)] = _START.get(up.tag, 0) + 25 * bool(_LIKELY.search(hint)) - 25 * bool(_UNLIKELY.search(hint))
-                nodes[id(up)] = up
-            votes[id(up)] += worth / (1, 2, 6)[depth]
-
-    def linked(n: Node) -> float:
-        total = len(collapse(n.text()))
-        return sum(len(collapse(a.text())) for a in n.find("a")) / total if total else 0.0
-
-    best = max(nodes, key=lambda i: votes[i] * (1 - linked(nodes[i])), default=None)
-    top = nodes[best] if best is not None else page
-    text = top.text().strip()
-    if not text:
-        return None
-    meta = {(m.attrs.get("property") or m.attrs.get("name") or "").lower(): m.attrs.get("content", "") for m in root.find("meta")}
-    html = next(iter(root.find("html")), None)
-    named = next((collapse(t.text()) for t in root.find("title")), "")
-    heads = [collapse(h.text()) for h in page.find("h1")]
-    title = meta.get("og:title") or named
-    if cut := re.match(r"(.+?)\s[|\-–—»/]\s[^|\-–—»/]+$", title):
-        title = cut[1] if len(cut[1].split()) >= 3 else title
-    first = next((collapse(p.text()) for p in top.find("p") if collapse(p.text())), "")
-    by = next((collapse(e.text()) for e in page.walk() if e.attrs.get("rel") == "author" or "author" in e.attrs.get("itemprop", "")), None)
-    inside = inner_html(top)
-    return {
-        "title": title or (heads[0] if heads else ""),
-        "content": f'<div id="readability-page-1" class="page">{inside}</div>',
-        "text_content": text,
-        "length": len(text),
-        "excerpt": meta.get("description") or meta.get("og:description") or first,
-        "byline": meta.get("author") or by,
-        "dir": next((a.attrs["dir"] for a in [top, *top.above()] if a.attrs.get("dir")), None),
-        "site_name": meta.get("og:site_name") or None,
-        "lang": (html.attrs.get("lang") if html is not None else None) or None,
-    }
-
-
-def prepare(html: str | None, base: str) -> Node:
-    root = parse(html)
-    style_code(root)
-    replace_iframes(root, base)
-    prune(root)
-    return root
-
-
-def extract(html: str | None) -> dict | None:
-    """Readable content of a page without an address."""
-    return readable(prepare(html, "https://example.com"))
-
-
-def extract_article(html: str | None, url: str, keep_links: bool = False, reveal: bool = True) -> dict | None:
-    """Title and tidied content of a captured page; None if there is none."""
-    root = parse(html)
-    if reveal:
-        reveal_images(root)
-    style_code(root)
-    replace_iframes(root, url)
-    prune(root)
-    if not keep_links:
-        strip_links(root)
-    found = readable(root)
-    return found and {"title": found["title"], "content_html": absolute_html(found["content"], url)}

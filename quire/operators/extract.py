@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import html
+from quire.functions import content, html
 
 EXTRACTED = "title string, content string, text_content string, length int, excerpt string, byline string, dir string, site_name string, lang string"
 
@@ -39,7 +39,7 @@ def extracted(page: Column) -> Column:
     """Struct of the nine readable fields; all null if nothing readable is found."""
 
     def run(h: pd.Series) -> pd.DataFrame:
-        return _records(_guarded(html.extract, h), [f.split()[0] for f in EXTRACTED.split(", ")])
+        return _records(_guarded(content.extract, h), [f.split()[0] for f in EXTRACTED.split(", ")])
 
     return F.pandas_udf(run, EXTRACTED)(page)
 
@@ -48,7 +48,7 @@ def article(page: Column, url: Column, options: ExtractionOptions = ExtractionOp
     """Struct of title and content_html; null fields if the page fails."""
 
     def run(h: pd.Series, u: pd.Series) -> pd.DataFrame:
-        f = lambda a, b: html.extract_article(a, b, not options.strip_links, options.lazy_load)
+        f = lambda a, b: content.extract_article(a, b, not options.strip_links, options.lazy_load)
         return _records(_guarded(f, h, u), ["title", "content_html"])
 
     return F.pandas_udf(run, "title string, content_html string")(page, url)

@@ -440,7 +440,25 @@ def tree_plain_text(spark, d):
     return _articles(spark, d).select(F.col("seq").alias("page_id"), extract.plain(F.col("content_html")).alias("plain"))
 
 
-@query()
+_BODY = _flat("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<h1>.*?</h1>', '')")
+
+
+@query(f"SELECT page_id, {_BODY} AS main_text FROM pages")
+def main_text(spark, d):
+    """The main content of every page without its heading: on these captures, whose lists of links and lines of advertising stand outside, the text of the article element."""
+    got = _pages(spark, d).select("page_id", extract.extracted(F.col("html"))["content"].alias("content"))
+    return got.select("page_id", extract.plain(F.regexp_replace("content", "(?s)<h1>.*?</h1>", F.lit(""))).alias("main_text"))
+
+
+_PARTED = "^(.+?)\\s[|\\-–—»/]\\s[^|\\-–—»/]+$"
+
+
+@query(f"""WITH u AS (SELECT {_host("url")} AS book_id, url, min(page_id) AS page_id FROM pages GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_id, url) AS seq FROM u),
+t AS (SELECT n.book_id, n.seq, n.url, {_BODY} AS plain, trim(regexp_replace({_read("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS t FROM n JOIN pages p USING (page_id) WHERE n.seq <= 10),
+c AS (SELECT *, regexp_extract(t, '{_PARTED}', 1) AS cut, 0.0 AS link_ratio FROM t),
+e AS (SELECT *, CASE WHEN len(string_split_regex(trim(cut), '\\s+')) >= 3 THEN cut ELSE t END AS title, min(CASE WHEN length(plain) > 0 THEN seq END) OVER (PARTITION BY book_id, sha256(lower(plain))) AS first FROM c)
+SELECT book_id, seq, url, coalesce(nullif(title, ''), '{text.UNTITLED}') AS title, CASE WHEN length(plain) > 0 AND seq > first THEN '{text.DUPLICATE}' {_RULES} END AS reason FROM e""")
 def book_pipeline(spark, d):
     """A book per host from its first ten captures: fetch, extract, classify."""
     pages = _pages(spark, d)

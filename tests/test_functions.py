@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.functions import html, text, urls
+from quire.functions import content, html, text, urls
 
 
 def column(spark, values, f, kind="string"):
@@ -124,12 +124,12 @@ def test_load_more_target():
 def test_readable_article():
     body = "".join(f"<p>Sentence number {i}, which says something, at some length, about the matter.</p>" for i in range(8))
     page = f'<html lang="en"><head><title>A long story | Site</title><meta name="author" content="A. Writer"><meta property="og:site_name" content="Site"></head><body><nav>menu</nav><div class="links">{"<a href=/x>link text here</a>" * 30}</div><div id="content" dir="ltr">{body}<a href="/y">z</a></div></body></html>'
-    got = html.extract(page)
+    got = content.extract(page)
     assert got["title"] == "A long story" and got["byline"] == "A. Writer" and got["site_name"] == "Site" and got["lang"] == "en" and got["dir"] == "ltr"
     assert "Sentence number 7" in got["text_content"] and "link text here" not in got["text_content"] and got["length"] == len(got["text_content"])
-    art = html.extract_article(page, "https://h/a")
+    art = content.extract_article(page, "https://h/a")
     assert "<a" not in art["content_html"] and "Sentence number 0" in art["content_html"]
-    assert html.extract("<html><body></body></html>") is None
+    assert content.extract("<html><body></body></html>") is None
 
 
 @settings(max_examples=200, deadline=None)
@@ -137,7 +137,7 @@ def test_readable_article():
 def test_any_input_parses_and_settles(s):
     once = html.inner_html(html.parse(s))
     html.prune(html.parse(s))
-    html.readable(html.parse(s))
+    content.readable(html.parse(s))
     assert isinstance(once, str)
     assert html.tidy(html.tidy(s)) == html.tidy(s)
 
