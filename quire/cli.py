@@ -105,9 +105,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, judge
     else:
         css = None
         if args.layout_mode == "ai" and designer is not None:
-            from quire.plans.layout import SheetCache, layout
+            from quire.plans.layout import layout
 
-            css = layout(kept, designer, args.ai_provider, args.ai_model, SheetCache(args.cache_dir, fresh=not args.cache))
+            css = layout(kept, designer, args.ai_provider, args.ai_model, args.cache_dir, fresh=not args.cache)
         n = sinks.write_document(kept, args.out, css, render)
     print(f"{args.out}: {n} articles ({args.format})")
     return 0

@@ -44,8 +44,11 @@ def chapters_of(kept: DataFrame) -> DataFrame:
     return rows.select("book_id", "chapter", item.alias("toc_item"), body.alias("body"))
 
 
-def books(kept: DataFrame, css: str | None = None) -> DataFrame:
-    """(book_id, toc, chapters, master_html): one row per book, joined in order; a book is one row by nature."""
+def books(kept: DataFrame, css: str | None = None, layouts: DataFrame | None = None) -> DataFrame:
+    """(book_id, toc, chapters, master_html): one row per book, joined in order; a book is one row by nature.
+
+    A book's style is its sheet in layouts(book_id, css), else css, else STYLE.
+    """
     joined = chapters_of(kept).groupBy("book_id").agg(
         F.expr("listagg(toc_item, '\n') within group (order by chapter)").alias("items"),
         F.expr("listagg(body, '\n') within group (order by chapter)").alias("chapters"),
@@ -53,8 +56,11 @@ def books(kept: DataFrame, css: str | None = None) -> DataFrame:
     toc = F.concat(F.lit('<div class="toc"><h1>Table of Contents</h1><ul class="toc-list">\n'), F.col("items"), F.lit("\n</ul></div>"))
     # The page head.
     head = '<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>eBook Collection</title>\n'
-    style = f"<style>\n{css}\n</style>" if css else STYLE
-    master = F.concat(F.lit(f"{head}{style}\n</head>\n<body>\n"), F.col("toc"), F.lit("\n"), F.col("chapters"), F.lit("\n</body>\n</html>"))
+    style = F.lit(f"<style>\n{css}\n</style>" if css else STYLE)
+    if layouts is not None:
+        joined = joined.join(layouts.select("book_id", F.col("css").alias("_css")), "book_id", "left")
+        style = F.coalesce(F.concat(F.lit("<style>\n"), F.nullif("_css", F.lit("")), F.lit("\n</style>")), style)
+    master = F.concat(F.lit(head), style, F.lit("\n</head>\n<body>\n"), F.col("toc"), F.lit("\n"), F.col("chapters"), F.lit("\n</body>\n</html>"))
     return joined.withColumn("toc", toc).withColumn("master_html", master).select("book_id", "toc", "chapters", "master_html")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import extract
+from quire.operators.calls import AT_ONCE, DEADLINE, answers
 from quire.sources.staging import written
 
 DEDUP_CAP = 100
@@ -133,24 +134,18 @@ def decisions(replies: DataFrame) -> DataFrame:
     return replies.withColumn("decisions", F.pandas_udf(run, DECISIONS)("raw", "expected"))
 
 
-def judged(articles: DataFrame, judge: Callable[[str], str | None], size: int = BATCH, options: FilterOptions = FilterOptions()) -> DataFrame:
+def judged(articles: DataFrame, judge: Callable[[str], str | None], size: int = BATCH, options: FilterOptions = FilterOptions(), seconds: float = DEADLINE, at_once: int = AT_ONCE) -> DataFrame:
     """classify() by a judge: it gets a prompt per batch and returns a reply.
 
-    A batch whose judge fails or whose reply is invalid goes by the rules, for itself alone; a valid reply replaces the rules.
-    The judge is called in tasks, one batch at a time, and once for each: articles and replies are written before they are used,
+    A batch whose judge fails, takes longer than `seconds` or gives an invalid reply goes by the rules, for itself alone; a valid reply replaces the rules.
+    The judge is called in tasks, `at_once` batches at a time, and once for each: articles and replies are written before they are used,
     so nothing that follows asks again (a task that is lost does). Every article comes back once, whatever the judge says.
     """
     rows = written(batches(with_plain(articles), size).withColumn("title", text.titled(F.col("title"))), "batches")
     asked = _lines(rows).groupBy("book_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
 
-    def answer(prompt: str) -> str | None:
-        try:
-            return judge(prompt)
-        except Exception:  # whatever an injected judge fails with, the rules take over
-            return None
-
     def ask(some: pd.Series) -> pd.Series:
-        return pd.Series([answer(build_prompt(list(x))) for x in some], dtype=object)
+        return pd.Series(answers(judge, [build_prompt(list(x)) for x in some], seconds, at_once), dtype=object)
 
     answered = F.pandas_udf(ask, "string").asNondeterministic()("lines")
     replies = written(asked.select("book_id", "batch", answered.alias("raw"), F.size("lines").alias("expected")), "replies")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.operators import assemble
+from quire.sources import book_files
 
 
 def with_extension(path: str, kind: str) -> str:
@@ -51,6 +53,23 @@ def write_document(kept: DataFrame, path: str, css: str | None = None, render: C
     return kept.count()
 
 
-def write_books(kept: DataFrame, path: str) -> None:
-    """All books as a Parquet table of EPUB files, written by the tasks that make them."""
+def write_books(kept: DataFrame, path: str, mode: str = "append") -> None:
+    """All books as EPUB files in a folder, one each, written by the tasks that make them; a job that fails leaves none."""
+    name = F.pandas_udf(lambda ids: ids.map(lambda i: book_files.file_name(i, "epub")), "string")
+    books = assemble.epubs(kept)
+    book_files.write_files(books.select(name("book_id").alias("name"), F.col("epub").alias("content")), path, mode)
+
+
+def write_documents(kept: DataFrame, path: str, css: str | None = None, layouts: DataFrame | None = None, render: Callable[[str], bytes] | None = None, extension: str = "html", mode: str = "append") -> None:
+    """All books' master HTML in a folder, one file each; with `render` (HTML to bytes, run in tasks) what it makes of it, under its extension. layouts(book_id, css) as in assemble.books()."""
+    name = F.pandas_udf(lambda ids: ids.map(lambda i: book_files.file_name(i, extension)), "string")
+    content = F.col("master_html").cast("binary")
+    if render is not None:
+        content = F.pandas_udf(lambda pages: pages.map(render), "binary")("master_html")
+    books = assemble.books(kept, css, layouts)
+    book_files.write_files(books.select(name("book_id").alias("name"), content.alias("content")), path, mode)
+
+
+def write_book_table(kept: DataFrame, path: str) -> None:
+    """All books as a Parquet table of EPUB files."""
     assemble.epubs(kept).write.mode("overwrite").parquet(path)

@@ -50,6 +50,11 @@ def owned(owner: str) -> Iterator[None]:
         _owners.pop()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     del _written[path]
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

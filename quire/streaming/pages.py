@@ -1,13 +1,9 @@
-"""Streams of captured pages and of events: duplicates with bounded state, capped duplicates per book, windows of activity."""
+"""Streams of captured pages and of events: duplicates with bounded state, windows of activity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.functions import text
 
@@ -24,32 +20,6 @@ def without_duplicates(articles: DataFrame, late: str = "1 hour") -> DataFrame:
     return articles.withColumn("content_hash", text.content_hash(F.col("plain"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def capped_duplicates(articles: DataFrame, cap: int = 100, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """articles(book_id, seq, content_hash, filled) with duplicate: whether the first `cap` of a book hold the hash before.
-
-    A trigger's articles of a book are taken in order of seq. State per book is at most `cap` hashes, and goes when a book has been idle for so long.
-    """
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, seen = state.get if state.exists else (0, [])
-        seen, flags = list(seen), []
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        for h, filled in zip(rows["content_hash"], rows["filled"], strict=True):
-            n += 1
-            flags.append(bool(n <= cap and filled and h in seen))
-            if n <= cap and filled and h not in seen:
-                seen.append(h)
-        yield pd.DataFrame({"book_id": rows["book_id"], "seq": rows["seq"], "duplicate": flags})
-        state.update((n, seen))
-        state.setTimeoutDuration(idle_ms)
-
-    rows = articles.select("book_id", "seq", "content_hash", "filled")
-    return rows.groupBy("book_id").applyInPandasWithState(step, "book_id string, seq long, duplicate boolean", "n long, seen array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def activity(events: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour", threshold: int = 5) -> DataFrame:
     """Counts of events(ts) in sliding windows, and whether a window is quiet."""
     counted = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide)).agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quire import cli
 from quire.functions import text
-from quire.operators import assemble, discover, extract, filtering, metadata
+from quire.operators import assemble, calls, discover, extract, filtering, metadata
 from quire.plans import book, layout
+from quire.sources import book_files
 from quire.sources import pages as captured
 from quire.sources import sinks
 from quire.streaming import pages as streams
@@ -132,17 +134,127 @@ def test_book_documents_and_files(spark, tmp_path):
     sinks.write_document(kept, str(tmp_path / "b.pdf"), render=lambda html, to: seen.append((html[:15], to.name)))
     assert seen == [("<!DOCTYPE html>", "b.pdf")]
     assert [sinks.with_extension(p, "epub") for p in ("a", "a.pdf", "a.epub", "a.EPUB")] == ["a.epub", "a.epub", "a.epub", "a.epub"]
-    sinks.write_books(kept, str(tmp_path / "books"))
+    sinks.write_book_table(kept, str(tmp_path / "books"))
     assert zipfile.ZipFile(io.BytesIO(bytes(spark.read.parquet(str(tmp_path / "books")).first()["epub"]))).testzip() is None
 
 
-def test_layouts_are_cached(spark, tmp_path):
-    css = "body{a:b} .toc{a:b} .chapter{a:b} h1{a:b} h2{a:b}" + "p{margin:0 auto;padding:0}" * 3
-    calls = []
-    designer = lambda request: calls.append(request) or f"```css\n{css}\n```"
-    kept, cache = articles(spark, [("t", WORDS)]), layout.SheetCache(tmp_path / "c")
-    assert layout.layout(kept, designer, cache=cache) == css == layout.layout(kept, designer, cache=cache)
-    assert len(calls) == 1 and layout.layout(kept, lambda r: "nope") is None and layout.layout(kept, lambda r: None) is None
+SHEET = "body{a:b} .toc{a:b} .chapter{a:b} h1{a:b} h2{a:b}" + "p{margin:0 auto;padding:0}" * 3
+
+
+def counting(path, answer):
+    """A client that runs in tasks and leaves a line for each call."""
+
+    def client(request):
+        with open(path, "a") as f:
+            f.write("asked\n")
+        return answer(request)
+
+    return client
+
+
+def test_layouts_of_all_books_ask_once(spark, tmp_path):
+    one = articles(spark, [("t", WORDS)])
+    many = one
+    for i in range(1, 9):  # four contents, two of them in several books
+        many = many.unionByName(one.withColumn("book_id", F.lit(f"b{i}")).withColumn("title", F.lit(f"t{i % 4}")))
+    log, cache = tmp_path / "calls", str(tmp_path / "sheets")
+    asked = lambda: len(log.read_text().split()) if log.exists() else 0
+    answer = lambda r: f"```css\n{SHEET}\n```" if "1 articles" in r else None
+    designer = counting(str(log), answer)
+    first = layout.layouts(many, designer, cache).collect()
+    assert len(first) == 9 and {r["css"] for r in first} == {SHEET} and asked() == 5
+    again = layout.layouts(many, designer, cache).collect()
+    assert sorted(again) == sorted(first) and asked() == 5  # nothing is asked twice
+    more = many.unionByName(one.withColumn("book_id", F.lit("new")).withColumn("title", F.lit("new")))
+    assert layout.layouts(more, designer, cache).count() == 10 and asked() == 6
+    other = SHEET + "h3{a:b}"
+    assert {r["css"] for r in layout.layouts(many, lambda r: other, cache, fresh=True).collect()} == {other}
+    assert {r["css"] for r in layout.layouts(many, designer, cache).collect()} == {other} and asked() == 6  # the latest sheet counts
+
+
+def test_layouts_that_fail_are_null_and_asked_again(spark, tmp_path):
+    kept, cache = articles(spark, [("t", WORDS)]), str(tmp_path / "sheets")
+    for bad in (lambda r: None, lambda r: "nope", lambda r: 1 / 0, lambda r: SHEET + "@import 'x'"):
+        assert [r["css"] for r in layout.layouts(kept, bad, cache).collect()] == [None]
+    assert layout.layout(kept, lambda r: SHEET, cache=cache) == SHEET and layout.layout(kept.limit(0), lambda r: SHEET) is None
+    styled = assemble.books(kept, layouts=layout.layouts(kept, lambda r: None, cache)).first()["master_html"]
+    assert f"<style>\n{SHEET}\n</style>" in styled
+    assert assemble.STYLE in assemble.books(kept, layouts=layout.layouts(kept, lambda r: None)).first()["master_html"]
+
+
+def test_a_file_per_book(spark, tmp_path):
+    one = articles(spark, [("First", WORDS), ("Second", WORDS + "more")])
+    ids = ["h.com", "a/b", "a_b", "A:B", "é" * 300, "", "x"]
+    kept = one.where("false")
+    for i in ids:
+        kept = kept.unionByName(one.withColumn("book_id", F.lit(i)))
+    folder = tmp_path / "out"
+    sinks.write_books(kept, str(folder))
+    names = sorted(p.name for p in folder.iterdir())
+    assert names == sorted([book_files.DONE, *(book_files.file_name(i, "epub") for i in ids)]) and len(set(names)) == len(ids) + 1
+    want = {book_files.file_name(r["book_id"], "epub"): bytes(r["epub"]) for r in assemble.epubs(kept).collect()}
+    assert {p.name: p.read_bytes() for p in folder.glob("*.epub")} == want
+    assert json.loads((folder / book_files.DONE).read_text()) == {"files": len(ids), "bytes": sum(map(len, want.values()))}
+    sinks.write_documents(kept.where("book_id = 'x'"), f"file://{folder}")  # another format beside them
+    assert (folder / "x.html").read_text().startswith("<!DOCTYPE html>") and len(list(folder.glob("*.epub"))) == len(ids)
+    sinks.write_documents(kept.where("book_id = 'x'"), str(folder), render=lambda page: page[:9].encode(), extension="pdf", mode="overwrite")
+    assert {p.name for p in folder.iterdir()} == {"x.pdf", book_files.DONE} and (folder / "x.pdf").read_bytes() == b"<!DOCTYPE"
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    folder = tmp_path / "out"
+    one = articles(spark, [("First", WORDS)])
+    sinks.write_documents(one, str(folder))
+    before = {p.name: p.read_text() for p in folder.iterdir()}
+    both = one.unionByName(one.withColumn("book_id", F.lit("bad")).withColumn("title", F.lit("spoils it"))).repartition(2)
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception):  # noqa: B017
+            sinks.write_documents(both, str(folder), render=lambda page: page.encode() if "spoils" not in page else 1 / 0, mode=mode)
+        assert {p.name: p.read_text() for p in folder.iterdir()} == before
+    rows = spark.createDataFrame([("same", b"1"), ("same", b"2")], "name string, content binary").coalesce(1)
+    with pytest.raises(Exception, match="two rows want"):
+        book_files.write_files(rows, str(folder))
+    with pytest.raises(Exception, match="files are made of rows"):
+        book_files.write_files(rows.withColumn("content", F.col("name")), str(folder))
+    assert {p.name: p.read_text() for p in folder.iterdir()} == before
+
+
+def test_attempts_that_are_lost_are_not_committed(tmp_path):
+    """What a commit takes is named by its messages; other attempts' folders go."""
+    writer = book_files.BookWriter(str(tmp_path / "out"), overwrite=False)
+    Row = dict
+    lost = writer.write(iter([Row(name="a.epub", content=b"half")]))
+    good = writer.write(iter([Row(name="a.epub", content=b"whole"), Row(name="b.epub", content=b"b")]))
+    assert lost.folder != good.folder
+    writer.commit([good, None])
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").glob("*.epub")} == {"a.epub": b"whole", "b.epub": b"b"}
+    assert not list((tmp_path / "out").glob("_temporary*"))
+    again = book_files.BookWriter(str(tmp_path / "out"), overwrite=False)
+    again.write(iter([Row(name="c.epub", content=b"c")]))
+    again.abort([None])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "a.epub", "b.epub"]
+
+
+def test_answers_keep_their_order_and_deadlines():
+    def client(p):
+        if p == "hang":
+            time.sleep(30)
+        if p == "fail":
+            raise OSError
+        time.sleep(0.05 if p == "slow" else 0)
+        return p.upper()
+
+    began = time.monotonic()
+    assert calls.answers(client, ["slow", "a", "hang", "fail", "hang", "b", "slow"], seconds=0.5, at_once=2) == ["SLOW", "A", None, None, None, "B", "SLOW"]
+    assert time.monotonic() - began < 3 and calls.answers(client, []) == []
+    began = time.monotonic()
+    assert calls.answers(client, ["hang"] * 6, seconds=0.2, at_once=3) == [None] * 6 and time.monotonic() - began < 2
+
+
+def test_a_hanging_judge_leaves_the_rules_in_time(spark):
+    judge = lambda prompt: time.sleep(60) if "h/1 " in prompt else json.dumps([{"include": False, "reason": "no"}] * sum(x[:1].isdigit() for x in prompt.split("\n")))
+    rows = filtering.judged(articles(spark, [("t", WORDS + str(i)) for i in range(12)]), judge, seconds=1.0)
+    assert {r["seq"]: r["reason"] for r in rows.collect()} == {i: "no" if i > 10 else None for i in range(1, 13)}
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -172,7 +284,6 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
         return spark.table(name).collect()
 
-    assert {r["seq"]: r["duplicate"] for r in run(streams.capped_duplicates(source, 3), "capped")} == {0: False, 1: False, 2: True, 3: False}
     assert len(run(streams.without_duplicates(source.drop("content_hash")), "once")) == 2
     assert run(streams.activity(source), "quiet", "complete")[0]["stable"]
     batch = spark.createDataFrame([(1, t + dt.timedelta(seconds=s)) for s in (0, 0.5, 1, 3)], "k int, ts timestamp")
@@ -203,7 +314,7 @@ def test_judge_is_asked_once_a_batch_and_no_row_is_doubled(spark, tmp_path):
         return "?" if asked % 2 else json.dumps([{"include": False, "reason": ""} for _ in lines])
 
     rows = [(f"t{i}", f"<p>{i}</p>" + WORDS) for i in range(15)]
-    got = filtering.judged(articles(spark, rows).coalesce(1), judge)
+    got = filtering.judged(articles(spark, rows).coalesce(1), judge, at_once=1)
     first = sorted((r["seq"], r["reason"]) for r in got.collect())
     assert len(list(log.iterdir())) == 2
     assert [s for s, _ in first] == list(range(1, 16)) and first == sorted((r["seq"], r["reason"]) for r in got.collect())
@@ -260,14 +371,19 @@ def test_checksums_are_compared(spark, tmp_path):
 def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys):
     rows = [(1, "https://h.com/start", '<html><body><a href="/post/a">a</a></body></html>'), (2, "https://h.com/post/a", page(WORDS, "Alpha"))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
-    css = "body{a:b} .toc{a:b} .chapter{a:b} h1{a:b} h2{a:b}" + "p{margin:0 auto;padding:0}" * 3
-    seen = []
-    designer = lambda request, provider, api_key=None: seen.append((provider, api_key)) or css
+    log = str(tmp_path / "seen")
+
+    def designer(request, provider, api_key=None):
+        with open(log, "a") as f:
+            f.write(f"{provider} {api_key}\n")
+        return SHEET
+
+    seen = lambda: open(log).read().splitlines()
     base = ["-u", "https://h.com/start", "-p", str(tmp_path / "pages"), "-o", str(tmp_path / "b"), "-l", "ai", "--cache-dir", str(tmp_path / "c"), "--ai-provider", "openai"]
-    assert cli.main([*base, "--ai-api-key", "k"], spark, designer=designer) == 0 and seen == [("openai", "k")]
-    assert "QUIRE_AI_API_KEY" in capsys.readouterr().err and css in (tmp_path / "b.html").read_text()
-    assert cli.main(base, spark, designer=designer) == 0 and len(seen) == 1  # kept
-    assert cli.main([*base, "--no-cache"], spark, designer=designer) == 0 and seen[1:] == [("openai", None)]
+    assert cli.main([*base, "--ai-api-key", "k"], spark, designer=designer) == 0 and seen() == ["openai k"]
+    assert "QUIRE_AI_API_KEY" in capsys.readouterr().err and SHEET in (tmp_path / "b.html").read_text()
+    assert cli.main(base, spark, designer=designer) == 0 and len(seen()) == 1  # kept
+    assert cli.main([*base, "--no-cache"], spark, designer=designer) == 0 and seen()[1:] == ["openai None"]
 
 
 def test_only_an_owners_tables_go(spark):
