@@ -1,10 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document gets the fractional number of copies that takes its source to its target. Pairs of
-documents then exchange mass, measured in words, in a random direction until one of the two holds a
-whole number. A bucket's largest documents come first, each paired with all smaller ones together: it
-becomes whole at its own chance, and they take up or give the difference. What is left of a bucket is one small document, and the
-buckets' leftovers meet in a reduction tree that works the same way. Every document keeps its chance, and a
+Every document gets the fractional number of copies that takes its source to its target. In a bucket the
+largest open document is paired with all smaller open ones together: mass, measured in words, moves between the two
+sides in a random direction until one document holds a whole number, and so on until one is open. So each document keeps
+its chance and the sum stays, and large documents are settled while smaller ones can still take up the difference: what is left of a bucket
+is the smallest, unless one document outweighs all others. The buckets' leftovers meet in a reduction tree that works the same way, and a
 source's words differ from its target by a part of the last leftover.
 """
 
@@ -23,8 +23,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 BUCKET_ROWS = 4096
 FAN_IN = 1024
-#: Documents of a bucket, the largest first, that are paired with all smaller ones together.
-LARGEST = 256
 SEED = 20
 
 
@@ -33,42 +31,32 @@ def pivot(sizes: list[float], probs: list[float], rng: np.random.Generator) -> t
 
     Returns the bits, and the index and probability of what is left over (-1: nothing).
     """
-    bits, held, p = [int(q >= 1) for q in probs], -1, 0.0
-    draws = rng.random(len(sizes)).tolist()
-    open_ = [i for i, (s, q) in enumerate(zip(sizes, probs, strict=True)) if s > 0 and 0 < q < 1]
-    size, chance, rest = np.array([sizes[i] for i in open_]), np.array([probs[i] for i in open_]), 0
-    for k, i in enumerate(open_[:LARGEST]):
-        s, q, later = size[k], chance[k], chance[k + 1 :]
-        # the smaller ones move along one direction, to and fro, so that each keeps its chance
-        way = later * (1 - later)
-        width = float(size[k + 1 :] @ way)
-        if max(q, 1 - q) * s >= width:  # they can't take it up either way
-            break
-        bits[i], rest = int(draws[i] < q), k + 1
-        later += way * ((q - bits[i]) * s / width)
-    for i, q in zip(open_[rest:], chance[rest:].tolist()):
-        s = sizes[i]
-        if q <= 1e-12 or q >= 1 - 1e-12:
-            bits[i] = int(q > 0.5)
-            continue
-        if held < 0:
-            held, p = i, q
-            continue
-        t = sizes[held]
-        down, up = min(p * t, (1 - q) * s), min(q * s, (1 - p) * t)  # words that may leave the held one, or reach it
-        if draws[i] * (down + up) < up:
-            if down == p * t:
-                held, p = i, q + down / s
-            else:
-                bits[i], p = 1, p - down / t
-        elif up == q * s:
-            p += up / t
-        else:
-            bits[held] = 1
-            held, p = i, q - up / s
-        if p <= 1e-12 or p >= 1 - 1e-12:
-            bits[held], held = int(p > 0.5), -1
-    return bits, held, p
+    bits = [int(q >= 1) for q in probs]
+    which = np.array([i for i, (s, q) in enumerate(zip(sizes, probs, strict=True)) if s > 0 and 1e-12 < q < 1 - 1e-12], np.int64)
+    for i, q in enumerate(probs):
+        if 1 - 1e-12 <= q < 1:
+            bits[i] = 1
+    size, chance = np.array(sizes)[which], np.array(probs)[which]
+    draws = rng.random(len(which))
+    step = 0
+    while len(which) > 1:
+        s, q, others = size[0], chance[0], chance[1:]
+        way = others * (1 - others)  # the smaller ones move along one direction, to and fro
+        width = float(size[1:] @ way)
+        # words that may reach the largest or leave it before somebody holds a whole number
+        up = min((1 - q) * s, width / float((1 - others).max()))
+        down = min(q * s, width / float(others.max()))
+        moved = up if draws[step] * (up + down) < down else -down
+        step += 1
+        chance[0] = q + moved / s
+        chance[1:] = others - way * (moved / width)
+        done = (chance <= 1e-9) | (chance >= 1 - 1e-9)
+        if not done.any():  # rounding: the nearest is the one that was meant
+            done[np.minimum(chance, 1 - chance).argmin()] = True
+        for i in np.flatnonzero(done).tolist():
+            bits[which[i]] = int(chance[i] > 0.5)
+        which, size, chance = which[~done], size[~done], chance[~done]
+    return bits, int(which[0]) if len(which) else -1, float(chance[0]) if len(which) else 0.0
 
 
 def _rng(*key: int) -> np.random.Generator:
