@@ -23,6 +23,8 @@ BINS = 1 << 14
 #: Labelled texts a language gives, about, and landmarks of them; nothing else in this operator is a sample.
 SAMPLE_PER_LANGUAGE = 160
 LANDMARKS_PER_LANGUAGE = 24
+#: Languages that are learnt, those with most labelled rows, and texts of all of them together, about: what the driver holds.
+MOST_LANGUAGES, SAMPLE_TEXTS = 200, 12_000
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Below this value of the winning regression a text with as many distinct n-grams has no language as far as filtering goes. Unlike the
@@ -110,7 +112,7 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS_PER_LANGU
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """About per_language labelled training texts of each language (all, if there are no more); no other rows are learnt from.
+    """About per_language labelled training texts of each language (all, if there are no more) of the MOST_LANGUAGES with most rows; no other rows are learnt from.
 
     A row is chosen by the hash of its id and text against the share that per_language is of its language, so no
     task ranks rows, reruns agree, and rows of one id with different texts are different rows. Equal rows count once.
@@ -118,14 +120,12 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tup
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training_fold(5, 0))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     place = fraction(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("langid"))
-    shares = [(r["lang"], per_language / r["n"]) for r in sizes.limit(257).collect()]
-    if len(shares) <= 256:  # a filter of a known size: no text is shuffled to be chosen
-        share = F.lit(1.0)
-        for lang, x in shares:
-            share = F.when(F.col("lang") == lang, x).otherwise(share)
-        picked = rows.where(place < share)
-    else:
-        picked = rows.join(sizes, "lang").where(place < F.lit(float(per_language)) / F.col("n"))
+    found = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    per_language = min(per_language, SAMPLE_TEXTS // max(1, len(found)))
+    share = F.lit(-1.0)
+    for r in found:  # a filter of a known size: no text is shuffled to be chosen
+        share = F.when(F.col("lang") == r["lang"], per_language / r["n"]).otherwise(share)
+    picked = rows.where(place < share)
     picked = picked.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
 
     def run(batches):

@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import pieces, texts
-from quire.llm.samples import best_cut, labelled
+from quire.llm.samples import best_cut, labelled, within
 
 WIDTH, STEP, VECTOR, FILTERS, HIDDEN = 8, 2, 6, 24, 12
 #: Positions of a text's end whose filters reach past it.
 LAP = (WIDTH - STEP) // STEP
 #: Positions a chunk computes at once; chunks overlap by WIDTH - STEP bytes.
 CHUNK = 1 << 14
-#: Labelled texts of a class that are learnt from, about, and the bytes of each that are.
+#: Labelled texts of a class that are learnt from, about, and the bytes of all of them together.
 SAMPLE_PER_CLASS = 1500
-SAMPLE_BYTES = 1 << 14
+SAMPLE_BYTES = 1 << 25
 EPOCHS, BATCH, RATE = 8, 16, 4e-3
 #: Batches that a small sample is gone through at least, and epochs at most.
 LEAST_BATCHES, MOST_EPOCHS = 1500, 40
@@ -88,11 +88,15 @@ class ByteNet:
         data, first = self.lay(docs)
         top = np.full((len(docs), FILTERS), -np.inf, np.float32)
         where = np.zeros((len(docs), FILTERS), np.int64)
-        values = np.concatenate([v for _, v in self.convolve(data)])
-        ends = np.r_[first[1:], len(values) + LAP]
-        for i, (a, b) in enumerate(zip(first.tolist(), ends.tolist())):
-            k = values[a : max(a + 1, b - LAP)].argmax(0)
-            where[i], top[i] = a + k, values[a + k, np.arange(FILTERS)]
+        n = max(0, (len(data) - WIDTH) // STEP + 1)
+        ends = np.maximum(first + 1, np.r_[first[1:], n + LAP] - LAP)
+        for at, values in self.convolve(data):  # a text may lie in several chunks: the first largest value counts
+            for i in range(np.searchsorted(ends, at, side="right"), np.searchsorted(first, at + len(values), side="left")):
+                part = values[max(0, first[i] - at) : ends[i] - at]
+                k = part.argmax(0)
+                found = part[k, np.arange(FILTERS)]
+                better = found > top[i]
+                top[i][better], where[i][better] = found[better], (k + max(at, first[i]))[better]
         squashed, hidden, z = self.head(top + self.p["shift"])
         g = {}
         dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
@@ -132,13 +136,13 @@ class ByteNet:
         self.p["bias"] = (self.p["bias"] + math.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(margins, y, counts)).astype(np.float32)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ByteNet:
-    """Trains on about per_class texts of each class from the training fold (crc32 of the id modulo 4 is not 2).
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most: int = SAMPLE_BYTES) -> ByteNet:
+    """Trains on about per_class whole texts of each class from the training fold (crc32 of the id modulo 4 is not 2), as many as `most` bytes hold.
 
     The bias is then set where the sample's classes part best, at the classes' true counts. With one class or none the net stays as drawn.
     """
-    rows, counts = labelled(docs, labels, "quality", 4, 2, per_class, SAMPLE_BYTES)
-    got = sorted((r["doc_id"], r["y"], bytes(r["text"])) for r in rows.collect())
+    rows, counts = labelled(docs, labels, "quality", 4, 2, per_class)
+    got = sorted((r["doc_id"], r["y"], bytes(r["text"])) for r in within(rows, "text", most))
     net, y = ByteNet(), np.array([r[1] for r in got], np.float32)
     if len(set(y.tolist())) == 2:
         net.train([r[2] for r in got], y)

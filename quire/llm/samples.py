@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_training_fold
+from quire.llm.common import discard, in_training_fold, staged
 
 
 def fraction(*columns) -> F.Column:
@@ -14,22 +14,37 @@ def fraction(*columns) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, piece: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of about per_class training rows of each class (all, if there are no more), and the number of training labels of each class.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y, place) of about per_class training rows of each class (all, if there are no more), and the number of training labels of each class.
 
-    text is bytes: of a text over `piece` bytes as many from a hashed place on, which bounds the learner's memory. Ids are chosen by
-    their hash against the share that per_class is of the class, so no task ranks them. Rows held out by the fold, null labels and
-    null texts teach nothing. An id with several labels takes the least, one with several texts the least piece. The ids chosen are about 2 * per_class, and are broadcast.
+    text is a whole text's bytes. Ids are chosen by their hash (place, from 0 to 1) against the share that per_class is of the class, so no task ranks
+    them. Rows held out by the fold, null labels and null texts teach nothing. An id with several labels takes the least, one with
+    several texts the least of them. The ids chosen are about 2 * per_class, and are broadcast.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & in_training_fold(mod, held)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = fraction(F.col("doc_id").cast("string"), F.lit(label))
     share = F.when(F.col("y") == 1, per_class / counts.get(1, 1)).otherwise(per_class / counts.get(0, 1))
-    ids = rows.where(place < share).select("doc_id", "y")
-    data = F.col("text").cast("string").cast("binary")
-    first = F.floor(fraction(F.col("doc_id").cast("string"), F.lit("piece")) * F.greatest(F.octet_length(data) - piece + 1, F.lit(1))).cast("int") + 1
-    got = docs.where("text is not null").select("doc_id", F.substring(data, first, F.lit(piece)).alias("text")).join(F.broadcast(ids), "doc_id")
-    return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")), counts
+    ids = rows.withColumn("place", place).where(F.col("place") < share).select("doc_id", "y", (F.col("place") / share).alias("place"))
+    got = docs.where("text is not null").select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
+    return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.min("place").alias("place")), counts
+
+
+def within(rows: DataFrame, data: str, most: int) -> list:
+    """Rows of a sample, by place, for as long as their data columns hold at most so many bytes together; one that does not fit alone is left out.
+
+    This bounds the learner's memory by whole rows. The driver sees the sizes of the sample's rows first, then those that fit.
+    """
+    rows = staged(rows, "sample")
+    sizes = sorted((r["place"], r["doc_id"], r["n"]) for r in rows.select("place", "doc_id", F.octet_length(data).alias("n")).collect())
+    held, ids = 0, []
+    for _, i, n in sizes:
+        if held + n <= most:
+            held += n
+            ids.append(i)
+    got = rows.collect() if len(ids) == len(sizes) else rows.where(F.col("doc_id").isin(ids)).collect()
+    discard(rows)
+    return got
 
 
 def best_cut(margins: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> float:

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import pieces, texts
-from quire.llm.samples import best_cut, labelled
+from quire.llm.samples import best_cut, labelled, within
 
 BITS = 20
-#: Labelled texts of a class that are learnt from, about, and the bytes of each that are.
+#: Labelled texts of a class that are learnt from, about, and the bytes of all their features (four for each) together.
 SAMPLE_PER_CLASS = 3000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 1 << 28
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.1, 3
 THRESHOLD = 0.5
 
@@ -99,9 +99,9 @@ def fit(rows: list[tuple[np.ndarray, int]], counts: dict[int, int]) -> tuple[np.
     return at, w[at].astype(np.float32), bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on about per_class texts of each class from the training fold (crc32 of the id modulo 5 is not 0)."""
-    rows, counts = labelled(docs, labels, "toxic", 5, 0, per_class, SAMPLE_BYTES)
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fits on about per_class whole texts of each class from the training fold (crc32 of the id modulo 5 is not 0), as many as `most` bytes of features hold."""
+    rows, counts = labelled(docs, labels, "toxic", 5, 0, per_class)
 
     def run(batches):
         for b in pieces(batches, 1 << 20):
@@ -110,9 +110,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
             pair = np.unique(owner << BITS | place)
             cut = np.searchsorted(pair >> BITS, np.arange(len(data) + 1))
             bits = [(pair[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)).astype("<u4").tobytes() for i in range(len(data))]
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), b.column(2)], ["places", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary()), b.column(2), b.column(3)], ["doc_id", "places", "y", "place"])
 
-    got = rows.mapInArrow(run, "places binary, y int").collect()
+    named = rows.select(F.col("doc_id").cast("long"), "text", "y", "place")
+    got = within(named.mapInArrow(run, "doc_id long, places binary, y int, place double"), "places", most)
     return fit([(np.frombuffer(r["places"], "<u4").astype(np.int64), r["y"]) for r in got], counts)
 
 

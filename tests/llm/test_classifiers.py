@@ -210,18 +210,42 @@ def test_convolution_and_gradients_are_those_of_the_definition():
 def test_samples_are_bounded_stable_and_leave_no_length_out(spark):
     texts = [(i, f"text {i} " * (1 + i % 5), None) for i in range(4000)] + [(7, "other text of seven", None), (9000, "z" * 5000, None), (9001, None, None)]
     tags = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in range(4000)] + [(9000, 0, 1), (9001, 0, 1), (30, 0, 0)], "doc_id long, quality int, toxic int")
-    take = lambda docs: sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in samples.labelled(docs, tags, "toxic", 5, 0, 150, 1000)[0].collect())
+    take = lambda docs: sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in samples.labelled(docs, tags, "toxic", 5, 0, 150)[0].collect())
     got = take(frame(spark, texts))
     assert got == take(frame(spark, random.Random(1).sample(texts, len(texts))).repartition(5))
-    assert not any(held(i, 5, 0) for i, _, _ in got) and all(len(t) <= 1000 for _, t, _ in got)
+    assert not any(held(i, 5, 0) for i, _, _ in got)
     assert 100 < sum(y == 0 for _, _, y in got) < 200 and 100 < sum(y for _, _, y in got) < 200
-    every = samples.labelled(frame(spark, texts), tags, "toxic", 5, 0, 10**6, 1000)[0].collect()
-    assert {r["doc_id"]: len(r["text"]) for r in every}.get(9000) == (None if held(9000, 5, 0) else 1000)
+    every = samples.labelled(frame(spark, texts), tags, "toxic", 5, 0, 10**6)[0]
+    assert {r["doc_id"]: len(r["text"]) for r in every.collect()}.get(9000) == (None if held(9000, 5, 0) else 5000)
+    whole = samples.within(every, "text", 10**9)
+    some = samples.within(every, "text", 20_000)
+    assert len(whole) == every.count() and 15_000 < sum(len(r["text"]) for r in some) <= 20_000 and {r["doc_id"]: bytes(r["text"]) for r in some}.items() <= {r["doc_id"]: bytes(r["text"]) for r in whole}.items()
+    assert sorted(some) == sorted(samples.within(every.repartition(3), "text", 20_000))
     docs = frame(spark, [(i % 50, f"{'abc' if i % 2 else 'xyz'} {i}", "xa" if i % 2 else "xb") for i in range(600)])
     one, two = (sorted((g, p.tobytes()) for g, p in langid.sample(d, 40)) for d in (docs, docs.orderBy("text").repartition(3)))
     assert one == two and 20 < sum(g == "xa" for g, _ in one) < 65
 
 
+def test_many_languages_share_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 5)
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 100)
+    rows = [(i, f"some text {i}", f"l{min(i % 40, 10 + i % 5) if i % 3 else i % 40:02}") for i in range(3000)]
+    got = langid.sample(frame(spark, rows))
+    assert len({g for g, _ in got}) == 5 and len(got) < 160
+
+
+def test_long_texts_are_learnt_whole_in_chunks():
+    """Gradients do not depend on how texts are cut into chunks."""
+    rng = random.Random(1)
+    docs, y = [bytes(rng.randrange(256) for _ in range(n)) for n in (3, 40, 900, 2500, 0, 70)], np.array([1, 0, 1, 0, 1, 0], np.float32)
+    net = quality.ByteNet()
+    want = net.gradients(docs, y)
+    cut = net.convolve
+    net.convolve = lambda data: cut(data, 37)
+    got = net.gradients(docs, y)
+    assert all(np.allclose(want[k], got[k], atol=1e-6) for k in want)
+
+
 def test_queries_name_the_fold_and_the_threshold(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, words(rng, "abcd" if i % 2 else "efgh", 20) + (" vile" if i % 3 == 0 else ""), "xa" if i % 2 else "xb") for i in range(200)]
