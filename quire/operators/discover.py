@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import html, urls
+from quire.functions.urls import resolve
+from quire.operators import extract
 from quire.sources.staging import written
 
 
@@ -27,9 +29,10 @@ def article_links(pages: DataFrame) -> DataFrame:
 def first_seen(links: DataFrame) -> DataFrame:
     """Distinct links of each book in order of discovery: (book_id, seq, href).
 
-    Grouping takes the least place of each link with map-side minima; only distinct links are numbered.
+    Grouping takes the least place of each link with map-side minima, hashed, as page and position make one number; only distinct links are numbered.
     """
-    once = links.groupBy("book_id", "href").agg(F.min(F.struct("page_id", "pos")).alias("place"))
+    place = F.col("page_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    once = links.groupBy("book_id", "href").agg(F.min(place).alias("place"))
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("place", "href"))
     return once.select("book_id", number.cast("long").alias("seq"), "href")
 
@@ -39,14 +42,36 @@ def limit_per_book(links: DataFrame, most: int = 10) -> DataFrame:
     return links.where(F.col("seq") <= most)
 
 
-def _next_series(page: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([html.next_page(html.parse(h), u) for h, u in zip(page, url, strict=True)], dtype=object)
+TREE_LINKS = "next_url string, anchors array<struct<pos:int,href:string,label:string>>"
+
+
+def tree_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, next_url, anchors): what the tree of each page says, read in one go: the next page, and every anchor's place, address made absolute, and label.
+
+    Any markup is read as a browser does: unquoted addresses, entities, apostrophes, line breaks in tags; commented ones and those in scripts are none.
+    An address that can't be resolved or is blank leaves its place out. A page that can't be read has no links.
+    """
+
+    def one(page: str | None, url: str | None):
+        root = html.parse(page)
+        hrefs = [(e, e.attrs["href"]) for e in root.find("a") if e.attrs.get("href", "").strip()]
+        full = [(i, resolve(h, url), html.collapse(e.text())) for i, (e, h) in enumerate(hrefs)]
+        return html.next_page(root, url), [{"pos": i, "href": h, "label": t} for i, h, t in full if h]
+
+    def run(page: pd.Series, url: pd.Series) -> pd.DataFrame:
+        found = [x or (None, []) for x in extract.guarded(one, page, url)]
+        return pd.DataFrame({"next_url": pd.Series([n for n, _ in found], dtype=object), "anchors": pd.Series([a for _, a in found], dtype=object)})
+
+    return pages.select("page_id", "url", F.pandas_udf(run, TREE_LINKS)("html", "url").alias("t")).select("page_id", "url", "t.*")
 
 
 def next_links(pages: DataFrame) -> DataFrame:
     """(url, next_url) of pages that name a next page; an address captured several times counts by its first capture that does."""
-    found = pages.select("page_id", "url", F.pandas_udf(_next_series, "string")("html", "url").alias("next_url")).where(F.col("next_url").isNotNull())
-    return found.groupBy("url").agg(F.min(F.struct("page_id", "next_url")).alias("first")).select("url", "first.next_url")
+    return _first_next(tree_links(pages))
+
+
+def _first_next(found: DataFrame) -> DataFrame:
+    return found.where(F.col("next_url").isNotNull()).groupBy("url").agg(F.min_by("next_url", "page_id").alias("next_url"))
 
 
 def pagination_chain(seeds: DataFrame, nexts: DataFrame, max_pages: int = 5) -> DataFrame:
@@ -70,17 +95,17 @@ def pagination_chain(seeds: DataFrame, nexts: DataFrame, max_pages: int = 5) ->
 def discover(pages: DataFrame, seeds: DataFrame, max_pages: int = 5) -> DataFrame:
     """Article links of each book over its chain of pages, first discovery first: (book_id, seq, href).
 
-    seeds(book_id, url). Links are judged by the seed's host. A page that was not captured ends its chain.
+    seeds(book_id, url). Links are judged by the seed's host. A page that was not captured ends its chain. Each page is parsed once;
+    what is written, grouped and shuffled from there on are its links, not its HTML.
     """
-    chain = pagination_chain(seeds, next_links(pages), max_pages)
-    base = seeds.select("book_id", F.col("url").alias("seed"))
-    base = base.groupBy("book_id").agg(F.min("seed").alias("seed"))
-    listed = chain.join(pages.select("page_id", "url", "html"), "url").groupBy("book_id", "depth", "url").agg(F.min(F.struct("page_id", "html")).alias("first"))  # one capture of an address
-    listed = listed.join(base, "book_id")
-    found = anchors(listed.select(F.struct("book_id", "depth", "seed").alias("page_id"), "url", "first.html"))
-    found = found.select("page_id.*", "pos", urls.resolved(F.col("href"), F.col("url")).alias("full"))
-    found = found.where(urls.is_article_link(F.col("full"), F.col("seed")))
-    return first_seen(found.select("book_id", F.col("depth").alias("page_id"), "pos", urls.without_fragment(F.col("full")).alias("href")))
+    found = written(tree_links(pages).select("page_id", "url", "next_url", F.transform("anchors", lambda a: F.struct(a["pos"], a["href"])).alias("anchors")), "tree-links")
+    chain = pagination_chain(seeds, _first_next(found), max_pages)
+    base = seeds.groupBy("book_id").agg(F.min("url").alias("seed"))
+    once = found.groupBy("url").agg(F.min("page_id").alias("page_id"))  # one capture of an address
+    listed = chain.join(once, "url").join(found.select("url", "page_id", "anchors"), ["url", "page_id"]).join(base, "book_id")
+    links = listed.select("book_id", "depth", "seed", F.inline("anchors"))
+    links = links.where(urls.is_article_link(F.col("href"), F.col("seed")))
+    return first_seen(links.select("book_id", F.col("depth").alias("page_id"), "pos", urls.without_fragment(F.col("href")).alias("href")))
 
 
 def union_links(*parts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ class ExtractionOptions:
     lazy_load: bool = True
 
 
-def _guarded(f: Callable, *columns: pd.Series) -> list:
+def guarded(f: Callable, *columns: pd.Series) -> list:
     """f over rows; a row that fails is null, as a page that fails is dropped and the rest go on."""
     out = []
     for row in zip(*columns, strict=True):
@@ -39,7 +39,7 @@ def extracted(page: Column) -> Column:
     """Struct of the nine readable fields; all null if nothing readable is found."""
 
     def run(h: pd.Series) -> pd.DataFrame:
-        return _records(_guarded(content.extract, h), [f.split()[0] for f in EXTRACTED.split(", ")])
+        return _records(guarded(content.extract, h), [f.split()[0] for f in EXTRACTED.split(", ")])
 
     return F.pandas_udf(run, EXTRACTED)(page)
 
@@ -49,7 +49,7 @@ def article(page: Column, url: Column, options: ExtractionOptions = ExtractionOp
 
     def run(h: pd.Series, u: pd.Series) -> pd.DataFrame:
         f = lambda a, b: content.extract_article(a, b, not options.strip_links, options.lazy_load)
-        return _records(_guarded(f, h, u), ["title", "content_html"])
+        return _records(guarded(f, h, u), ["title", "content_html"])
 
     return F.pandas_udf(run, "title string, content_html string")(page, url)
 
@@ -83,7 +83,7 @@ def edited(edit: str, page: Column, base: Column | None = None) -> Column:
     """Struct (html, n): the page after one edit of the tree, and how many places it changed (for edits that count)."""
 
     def run(h: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return _records(_guarded(_tree(_EDITS[edit]), h, b), ["html", "n"])
+        return _records(guarded(_tree(_EDITS[edit]), h, b), ["html", "n"])
 
     return F.pandas_udf(run, "html string, n long")(page, F.lit(None).cast("string") if base is None else base)
 
@@ -92,7 +92,7 @@ def absolute(fragment: Column, base: Column) -> Column:
     """A fragment pruned again, with absolute addresses and thinned white space."""
 
     def run(h: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_guarded(html.absolute_html, h, b), dtype=object)
+        return pd.Series(guarded(html.absolute_html, h, b), dtype=object)
 
     return F.pandas_udf(run, "string")(fragment, base)
 
@@ -101,7 +101,7 @@ def plain(fragment: Column) -> Column:
     """Collapsed text of any fragment; empty if it can't be read."""
 
     def run(h: pd.Series) -> pd.Series:
-        return pd.Series([x or "" for x in _guarded(html.plain_text, h)], dtype=object)
+        return pd.Series([x or "" for x in guarded(html.plain_text, h)], dtype=object)
 
     return F.pandas_udf(run, "string")(fragment)
 
@@ -113,7 +113,7 @@ def link_share(fragment: Column, text: Column) -> Column:
         return sum(len(a.text()) for a in html.body(html.parse(h)).find("a")) / max(1, len(t))
 
     def run(h: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([x or 0.0 for x in _guarded(one, h, t)])
+        return pd.Series([x or 0.0 for x in guarded(one, h, t)])
 
     return F.pandas_udf(run, "double")(fragment, text)
 
@@ -122,6 +122,6 @@ def load_more_target(page: Column) -> Column:
     """Label of the control a live page would be asked to load more with; null if there is none."""
 
     def run(h: pd.Series) -> pd.Series:
-        return pd.Series(_guarded(lambda x: html.load_more_target(html.parse(x)), h), dtype=object)
+        return pd.Series(guarded(lambda x: html.load_more_target(html.parse(x)), h), dtype=object)
 
     return F.pandas_udf(run, "string")(page)

@@ -34,34 +34,46 @@ def with_plain(articles: DataFrame) -> DataFrame:
     return articles if "plain" in articles.columns else articles.withColumn("plain", extract.plain(F.col("content_html")))
 
 
+def _order(rows: DataFrame) -> list:
+    """The order of articles in a book: by seq, and alike on every run where several have the same."""
+    return ["seq", *(c for c in ("url", "title") if c in rows.columns), *(F.xxhash64(c) for c in ("content_html", "plain") if c in rows.columns)]
+
+
 def classify(articles: DataFrame, options: FilterOptions = FilterOptions(), flat: bool = False) -> DataFrame:
     """articles(book_id, seq, url, title, content_html) with plain, content_hash, reason (null: kept).
 
     The first articles of a book are compared with those before them, omitted ones included; a duplicate
-    is named as such before any rule. Of equal articles at one place of a book one is first, so none is lost.
-    The rows are written once with a number each, so extraction runs once. Then only hashes are ranked, and no more than
-    the cap of a book leave a task, so a book of any size never gathers; the few duplicates found are joined back by their numbers.
-    flat: link shares by native expressions, for fragments without nesting.
+    is named as such before any rule. Of articles at one place of a book one is first, on every run the same, so none is lost.
+    Only hashes are ranked, and no more than the cap of a book leave a task, so a book of any size never gathers; rules are one CASE.
+    Articles are written once with a number each, by which the few duplicates are joined back, so that extraction runs once. flat: fragments without
+    nesting, whose link shares and text are native expressions; if each has a place of its own, that is what it is joined by, and no content is written.
     """
-    rows = with_plain(articles).withColumn("_row", F.monotonically_increasing_id())
+    rows = with_plain(articles)
     rows = rows.withColumn("content_hash", text.content_hash(F.col("plain"))).withColumn("title", text.titled(F.col("title")))
     share = None
     if options.ratio_check and not flat:
         share = F.col("_share")
         rows = rows.withColumn("_share", extract.link_share(F.col("content_html"), F.col("plain")))
     rule = text.rule_reason(F.col("title"), F.col("plain"), F.col("content_html"), options.min_length, options.pattern_check, options.ratio_check, share)
-    rows = written(rows.withColumn("_rule", rule).drop("_share"), "classified")
-    again = duplicates(rows, options.dedup_cap).withColumn("_again", F.lit(True))
-    rows = rows.join(again, "_row", "left")
-    return rows.withColumn("reason", F.when(F.col("_again"), F.lit(text.DUPLICATE)).otherwise(F.col("_rule"))).drop("_row", "_again", "_rule")
-
-
-def duplicates(rows: DataFrame, cap: int = DEDUP_CAP) -> DataFrame:
-    """_row of articles among the first `cap` of a book whose text an earlier one of them has; empty texts are never compared."""
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("seq", "_row"))
-    head = rows.select("book_id", "seq", "_row", "content_hash", (F.length("plain") > 0).alias("filled")).withColumn("n", place).where(F.col("n") <= cap)
+    rows = rows.withColumn("_rule", rule).drop("_share")
+    own = ["book_id", "seq"]
+    if not flat or articles.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1 or book_id is null or seq is null").limit(1).count():
+        own = ["_row"]
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "classified")
+    again = duplicates(rows, own, options.dedup_cap).withColumn("_again", F.lit(True))
+    rows = rows.join(again, own, "left")
+    rows = rows.withColumn("reason", F.when(F.col("_again"), F.lit(text.DUPLICATE)).otherwise(F.col("_rule"))).drop("_row", "_again", "_rule")
+    return rows.select(*[c for c in articles.columns if c in rows.columns], *[c for c in rows.columns if c not in articles.columns])
+
+
+def duplicates(rows: DataFrame, own: list[str], cap: int = DEDUP_CAP) -> DataFrame:
+    """What names them (own) of articles among the first `cap` of a book whose text an earlier one of them has; empty texts are never compared."""
+    tie = F.xxhash64(*(c for c in ("url", "title", "content_hash") if c in rows.columns)).alias("_tie")
+    narrow = rows.select(*dict.fromkeys(["book_id", "seq", *own]), tie, "content_hash", (F.length("plain") > 0).alias("filled"))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("seq", "_tie", *own))
+    head = narrow.withColumn("n", place).where(F.col("n") <= cap)
     first = F.min("n").over(Window.partitionBy("book_id", "content_hash"))
-    return head.where("filled").withColumn("first", first).where("n > first").select("_row")
+    return head.where("filled").withColumn("first", first).where("n > first").select(*own)
 
 
 def kept(classified: DataFrame) -> DataFrame:
@@ -85,7 +97,7 @@ def run_counts(classified: DataFrame) -> DataFrame:
 
 def batches(articles: DataFrame, size: int = BATCH) -> DataFrame:
     """Adds batch and pos, both from 0: runs of `size` articles in order within a book."""
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy("seq")) - 1
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy(*_order(articles))) - 1
     return articles.withColumn("_n", n).withColumn("batch", F.floor(F.col("_n") / size).cast("long")).withColumn("pos", (F.col("_n") % size).cast("long")).drop("_n")
 
 

@@ -262,6 +262,14 @@ def article_links(spark, d):
     return discover.article_links(_pages(spark, d))
 
 
+@query(_ANCHORS + f""", q AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*>(.*?)</a>', 1) AS l FROM pages),
+r AS (SELECT page_id, unnest(l) AS label, generate_subscripts(l, 1)::INT - 1 AS pos FROM q)
+SELECT f.page_id, f.pos, f.href, {_flat("label")} AS label FROM f JOIN r USING (page_id, pos)""")
+def tree_anchors(spark, d):
+    """Every anchor by the tree: place, absolute address, label."""
+    return discover.tree_links(_pages(spark, d)).select("page_id", F.inline("anchors"))
+
+
 @query(_ANCHORS + "SELECT book_id, seq, href FROM s")
 def links_first_seen(spark, d):
     return discover.first_seen(discover.article_links(_pages(spark, d)))

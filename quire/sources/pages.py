@@ -24,10 +24,13 @@ def with_book(pages: DataFrame) -> DataFrame:
 
 
 def fetch(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Captured pages of links(book_id, seq, href), in their order, the first capture of each; links without one drop out. Spark broadcasts links if they are small."""
-    found = links.join(pages.select("page_id", F.col("url").alias("href"), "html"), "href")
-    first = found.groupBy("book_id", "seq", "href").agg(F.min(F.struct("page_id", "html")).alias("first"))
-    return first.select("book_id", "seq", F.col("href").alias("url"), "first.html")
+    """Captured pages of links(book_id, seq, href), in their order, the first capture of each; links without one drop out.
+
+    The capture of each address is chosen by its id alone, before any HTML is read: page_id names a capture.
+    """
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    chosen = links.select("book_id", "seq", F.col("href").alias("url")).join(first, "url")
+    return chosen.join(pages.select("page_id", "url", "html"), ["url", "page_id"]).select("book_id", "seq", "url", "html")
 
 
 def allowed_requests(requests: DataFrame) -> DataFrame:

@@ -51,11 +51,11 @@ class Frontier:
     def _extend(self, pages: DataFrame, batch: int) -> None:
         known = self._read("captures", CAPTURES, batch)
         ids = pages.where("url is not null").groupBy("url").agg(F.min("page_id").alias("page_id")).join(known.select("url"), "url", "left_anti")
-        new = written(pages.join(ids, ["url", "page_id"]).dropDuplicates(["url"]).select("page_id", "url", "html"), "captures")
-        nexts = written(ids.join(discover.next_links(new), "url", "left").select("url", "page_id", "next_url"), "next-links")
-        found = discover.anchors(new.select("page_id", "url", "html")).select("url", "pos", urls.resolved(F.col("href"), F.col("url")).alias("href"))
+        new = pages.join(ids, ["url", "page_id"]).select("page_id", "url", "html")
+        found = written(discover.tree_links(new), "tree-links")
+        nexts = found.select("url", "page_id", "next_url")
         self._write(nexts, "captures", batch)
-        self._write(found.where("href is not null"), "links", batch)
+        self._write(found.select("url", F.inline("anchors")).select("url", "pos", "href"), "links", batch)
         edges = known.unionByName(nexts).where("next_url is not null").select("url", "next_url")
         reached = self._read("reached", REACHED, batch)
         start = self.seeds.join(reached, ["book_id", "url"], "left_anti").select("book_id", "depth", "url")
