@@ -89,26 +89,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, judge
     seed = resolve(args.url) or args.url
     seeds = pages.with_book(spark.createDataFrame([(0, args.url, "")], "page_id long, url string, html string")).select("book_id", "url")
     options = book.BookOptions(args.max, extraction=extract.ExtractionOptions(args.strip_links, args.lazy_load), filter=filtering.FilterOptions() if args.filter else None, judge=judge)
-    rows = written(book.classified_articles(captured, seeds, options), "book")
-    if not rows.count():
+    classified, seen = filtering.counted(book.classified_articles(captured, seeds, options))
+    rows = written(classified, "book")
+    counts = seen.get
+    if not counts["extracted"]:
         print(f"Nothing to read at {seed}", file=sys.stderr)
         return 0 if not book.discover.discover(captured, seeds, options.max_pages).take(1) else 1
-    gone = filtering.omitted(rows).orderBy("seq").collect()
-    for r in gone:
-        print(f'Omitted: "{r["title"]}" ({r["url"]}): {r["reason"]}', file=sys.stderr)
-    kept = filtering.kept(rows)
-    if not kept.take(1):
+    if counts["omitted"]:
+        for r in filtering.omitted(rows).orderBy("seq").collect():
+            print(f'Omitted: "{r["title"]}" ({r["url"]}): {r["reason"]}', file=sys.stderr)
+    if counts["omitted"] == counts["extracted"]:
         print("All pages were omitted; --no-filter includes them", file=sys.stderr)
         return 1
+    kept = filtering.kept(rows)
     if args.format == "epub":
-        n = sinks.write_epub(kept, args.out)
+        sinks.write_epub(kept, args.out)
     else:
         css = None
         if args.layout_mode == "ai" and designer is not None:
             from quire.plans.layout import layout
 
             css = layout(kept, designer, args.ai_provider, args.ai_model, args.cache_dir, fresh=not args.cache)
-        n = sinks.write_document(kept, args.out, css, render)
+        sinks.write_document(kept, args.out, css, render)
+    n = counts["extracted"] - counts["omitted"]
     print(f"{args.out}: {n} articles ({args.format})")
     return 0
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
@@ -95,6 +95,12 @@ def run_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("book_id").agg(F.count("*").alias("extracted"), gone.alias("omitted"), (F.count("*") - gone).alias("kept"))
 
 
+def counted(classified: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that holds extracted and omitted once an action has gone over all of them: the run's counts without a scan of their own."""
+    seen = Observation()
+    return classified.observe(seen, F.count(F.lit(1)).alias("extracted"), F.count_if(F.col("reason").isNotNull()).alias("omitted")), seen
+
+
 def batches(articles: DataFrame, size: int = BATCH) -> DataFrame:
     """Adds batch and pos, both from 0: runs of `size` articles in order within a book."""
     n = F.row_number().over(Window.partitionBy("book_id").orderBy(*_order(articles))) - 1

@@ -42,7 +42,7 @@ def write_epub(kept: DataFrame, path: str) -> int:
     return rows[0]["chapters"]
 
 
-def write_document(kept: DataFrame, path: str, css: str | None = None, render: Callable[[str, Path], None] | None = None) -> int:
+def write_document(kept: DataFrame, path: str, css: str | None = None, render: Callable[[str, Path], None] | None = None) -> None:
     """One book's master HTML; with `render` (HTML, target) a PDF or whatever it prints, else the HTML itself beside the path."""
     rows = _one(assemble.books(kept, css))
     target = _target(path)
@@ -50,7 +50,6 @@ def write_document(kept: DataFrame, path: str, css: str | None = None, render: C
         target.with_suffix(".html").write_text(rows[0]["master_html"], encoding="utf-8")
     else:
         render(rows[0]["master_html"], target)
-    return kept.count()
 
 
 def write_books(kept: DataFrame, path: str, mode: str = "append") -> None:

@@ -138,6 +138,17 @@ def test_book_documents_and_files(spark, tmp_path):
     assert zipfile.ZipFile(io.BytesIO(bytes(spark.read.parquet(str(tmp_path / "books")).first()["epub"]))).testzip() is None
 
 
+def test_run_counts_are_observed_in_the_pass_that_writes(spark, tmp_path):
+    rows = filtering.classify(articles(spark, [("a", WORDS), ("404", WORDS + "x"), ("b", WORDS), ("c", "<p>short</p>")]))
+    same, seen = filtering.counted(rows)
+    same.write.parquet(str(tmp_path / "out"))
+    whole = filtering.run_counts(spark.read.parquet(str(tmp_path / "out"))).first()
+    assert seen.get == {"extracted": whole["extracted"], "omitted": whole["omitted"]} == {"extracted": 4, "omitted": 3}
+    none, seen = filtering.counted(rows.where("false"))
+    none.write.parquet(str(tmp_path / "none"))
+    assert seen.get == {"extracted": 0, "omitted": 0}
+
+
 SHEET = "body{a:b} .toc{a:b} .chapter{a:b} h1{a:b} h2{a:b}" + "p{margin:0 auto;padding:0}" * 3
 
 
