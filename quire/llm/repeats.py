@@ -22,6 +22,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -454,18 +455,16 @@ def _live(rows: DataFrame, name: str, across: bool) -> DataFrame:
     return live
 
 
-def _ranges(text: bytes, wide: int, ranges: list) -> list[list[int]]:
+def _ranges(text: bytes, wide: int, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     """Spans of bytes, in order and apart, that ranges of symbols cover."""
     if wide > 1:
         words = [m.span() for m in _WORD.finditer(text)]
     n = len(words) if wide > 1 else len(text)
-    out: list[list[int]] = []
-    for a, z in sorted((max(0, r["start"]), min(n, r["stop"])) for r in ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return out if wide == 1 else [[words[a][0], words[z - 1][1]] for a, z in out]
+    order = np.argsort(start, kind="stable")
+    low, high = np.maximum(start[order], 0), np.maximum.accumulate(np.minimum(stop[order], n))
+    first = np.flatnonzero(np.r_[True, low[1:] > high[:-1]][: len(low)])
+    spans = list(zip(low[first].tolist(), high[np.r_[first[1:] - 1, len(low) - 1]].tolist(), strict=True)) if len(low) else []
+    return spans if wide == 1 else [(words[a][0], words[z - 1][1]) for a, z in spans]
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -477,8 +476,11 @@ def _merge(wide: int):
     def run(batches):
         for b in pieces(batches, 1 << 20, 2):
             out: list[list] = [[], [], []]
-            for d, ranges in zip(texts(b.column(2)), b.column(3).to_pylist(), strict=True):
-                spans = _ranges(d, wide, ranges)
+            ranges = b.column(3)
+            ends = np.cumsum(pc.list_value_length(ranges).to_numpy())
+            start, stop = (ranges.flatten().field(i).to_numpy() for i in range(2))
+            for d, lo, hi in zip(texts(b.column(2)), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                spans = _ranges(d, wide, start[lo:hi], stop[lo:hi])
                 for col, v in zip(out, ([{"start": a, "stop": z} for a, z in spans], sum(z - a for a, z in spans), hashlib.sha256(cut_bytes(d, spans)).hexdigest()), strict=True):
                     col.append(v)
             span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
