@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from quire.functions.urls import resolve
 from quire.operators import extract, filtering
 from quire.plans import book
+from quire.plans.layout import layout
 from quire.sources import pages, sinks
 from quire.sources.staging import written
 
@@ -62,6 +63,10 @@ def validated(args: argparse.Namespace) -> argparse.Namespace:
     return args
 
 
+def _key_name(provider: str) -> str:
+    return f"QUIRE_{provider.upper()}_API_KEY"
+
+
 def _with_access(client, access: dict):
     """The client with those of the options that it takes by name."""
     if client is None:
@@ -81,8 +86,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, judge
         print(f"Error: {e}", file=sys.stderr)
         return 1
     if args.ai_api_key:
-        print("Warning: a key on the command line is seen by others; QUIRE_AI_API_KEY takes it", file=sys.stderr)
-    access = {"provider": args.ai_provider, "model": args.ai_model, "api_key": args.ai_api_key or os.environ.get("QUIRE_AI_API_KEY")}
+        print(f"Deprecated: a key on the command line is seen by others; {_key_name(args.ai_provider)} or QUIRE_AI_API_KEY takes it", file=sys.stderr)
+    key = args.ai_api_key or os.environ.get(_key_name(args.ai_provider)) or os.environ.get("QUIRE_AI_API_KEY")
+    access = {"provider": args.ai_provider, "model": args.ai_model, "api_key": key}
     judge, designer = _with_access(judge, access), _with_access(designer, access)
     spark = spark or SparkSession.builder.appName("quire").getOrCreate()
     captured = pages.read_pages(spark, args.pages)
@@ -103,13 +109,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, judge
         return 1
     kept = filtering.kept(rows)
     if args.format == "epub":
+        if args.layout_mode == "ai":
+            print("Designed layouts are for documents; the EPUB has the static one", file=sys.stderr)
         sinks.write_epub(kept, args.out)
     else:
         css = None
         if args.layout_mode == "ai" and designer is not None:
-            from quire.plans.layout import layout
-
             css = layout(kept, designer, args.ai_provider, args.ai_model, args.cache_dir, fresh=not args.cache)
+        if args.layout_mode == "ai" and css is None:
+            print("No designed layout (no client, no answer in time, or an unsafe sheet); the static one is used", file=sys.stderr)
         sinks.write_document(kept, args.out, css, render)
     n = counts["extracted"] - counts["omitted"]
     print(f"{args.out}: {n} articles ({args.format})")

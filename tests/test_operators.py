@@ -379,7 +379,7 @@ def test_checksums_are_compared(spark, tmp_path):
     assert not any(r["ok"] for r in captured.verified(sums, expected.limit(0)).collect())
 
 
-def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys):
+def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
     rows = [(1, "https://h.com/start", '<html><body><a href="/post/a">a</a></body></html>'), (2, "https://h.com/post/a", page(WORDS, "Alpha"))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
     log = str(tmp_path / "seen")
@@ -394,7 +394,12 @@ def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys):
     assert cli.main([*base, "--ai-api-key", "k"], spark, designer=designer) == 0 and seen() == ["openai k"]
     assert "QUIRE_AI_API_KEY" in capsys.readouterr().err and SHEET in (tmp_path / "b.html").read_text()
     assert cli.main(base, spark, designer=designer) == 0 and len(seen()) == 1  # kept
-    assert cli.main([*base, "--no-cache"], spark, designer=designer) == 0 and seen()[1:] == ["openai None"]
+    monkeypatch.setenv("QUIRE_OPENAI_API_KEY", "own")
+    assert cli.main([*base, "--no-cache"], spark, designer=designer) == 0 and seen()[1:] == ["openai own"]
+    capsys.readouterr()
+    assert cli.main([*base, "--no-cache"], spark, designer=lambda request: "@import 'x'") == 0
+    assert "static" in capsys.readouterr().err and assemble.STYLE in (tmp_path / "b.html").read_text()
+    assert cli.main([*base[:-6], "-l", "ai", "-f", "epub"], spark) == 0 and "EPUB" in capsys.readouterr().err
 
 
 def test_only_an_owners_tables_go(spark):
