@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import html, text, urls
 from quire.operators import assemble, discover, extract, filtering, metadata
+from quire.plans import layout
 from quire.sources import pages as captured
+from quire.sources.staging import claimed
+from quire.streaming import ordered
+from quire.streaming.frontier import Frontier
 from quire.streaming.pages import stability
 
 QUERIES: dict = {}
@@ -489,3 +493,49 @@ def discovered_links(spark, d):
 def stability_windows(spark, d):
     rows = stability(spark.read.parquet(f"{d}/events.parquet"), "user_id", 3600)
     return rows.select("event_id", "recent", "stable")
+
+
+# -- streams, and what asks injected clients ---------------------------------------------------
+def _arriving(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A table's files as a stream; a pattern, as the path may name one file, which a stream takes for a folder otherwise."""
+    return spark.readStream.schema(spark.read.parquet(f"{d}/{table}.parquet").schema).parquet(f"{d}/{table}.parque[t]")
+
+
+@query(_DOCS + "SELECT book_id, seq, coalesce(n <= 100 AND length(plain) > 0 AND n > first, false) AS duplicate FROM r")
+def stream_dedup_first100(spark, d):
+    """dedup_first100's duplicates by the stream: documents as they lie in their folder, a second of event time for each id."""
+    docs = _arriving(spark, d, "documents")
+    plain = text.collapse(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("book_id"), F.col("doc_id").alias("seq"), text.content_hash(plain).alias("content_hash"), (F.length(plain) > 0).alias("filled"), F.timestamp_seconds(F.col("doc_id") + 1).alias("ts"))
+    return ordered.settled(ordered.capped_duplicates(rows, late="0 seconds"), "stream-dedup")
+
+
+@query(ORACLES["stability_windows"])
+def stream_stability(spark, d):
+    """stability_windows by the stream."""
+    return ordered.settled(ordered.trailing_counts(_arriving(spark, d, "events"), "user_id", 3600, late="0 seconds"), "stream-stability")
+
+
+@query(ORACLES["discovered_links"])
+def frontier_links(spark, d):
+    """discovered_links by the crawl that follows captures as they arrive."""
+    pages = _pages(spark, d)
+    seeds = captured.with_book(pages).groupBy("book_id").agg(F.min_by("url", "page_id").alias("url"))
+    folder = claimed(spark, "frontier")
+    crawl = Frontier(spark, folder, seeds)
+    crawl.start(_arriving(spark, d, "pages"), f"{folder}/checkpoint").awaitTermination()
+    return crawl.links()
+
+
+_SHEET = "body{margin:0} .toc{padding:1em} .chapter{color:#111} h1{font-size:2em} p{margin:0} blockquote{margin:1em} code{color:#222}"
+
+
+def _designer(request: str) -> str | None:
+    """A sheet for books of an even number of articles, an unsafe one for the others."""
+    return f"```css\n{_SHEET}\n```" if int(request.split("The book: ")[1].split()[0]) % 2 == 0 else _SHEET + " @import 'x';"
+
+
+@query(_BASE + _META + f"SELECT book_id, CASE WHEN article_count % 2 = 0 THEN '{_SHEET}' END AS css FROM m")
+def book_layouts(spark, d):
+    """Layouts of all books by a stub designer, asked once for each content."""
+    return layout.layouts(filtering.kept(_classified(spark, d)), _designer).select("book_id", "css")

@@ -27,14 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of its own, which outlives lost executors; it goes with discard(), release() or at the end of the driver's process."""
-    spark = df.sparkSession
+def claimed(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that go with release() or at the end of the driver's process."""
     if not _at_end:
         _at_end.append(atexit.register(_clear, spark))
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written[path] = _owners[-1]
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of its own, which outlives lost executors; it goes with discard(), release() or at the end of the driver's process."""
+    spark, path = df.sparkSession, claimed(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

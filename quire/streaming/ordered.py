@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quire.sources.staging import claimed
+
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -148,6 +150,19 @@ class Trailing(InOrder):
         return pd.DataFrame({"event_id": [r[1] for r in rows], "recent": n, "stable": n <= self.threshold})
 
 
+def _clock(at: Column) -> Column:
+    """The event time that the watermark follows: in whole milliseconds, as the watermark is, and never before the row's own."""
+    return F.timestamp_millis(F.ceil(at / 1000).cast("long"))
+
+
+def settled(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that its source holds now, and gives what it put out; its files are in the shared folder until they are released."""
+    spark, folder = stream.sparkSession, claimed(stream.sparkSession, name)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def _in_order(rows: DataFrame, key: str, processor: InOrder, out: str) -> DataFrame:
     """Sets the session's state store to RocksDB, which such state needs."""
     spark: SparkSession = rows.sparkSession
@@ -159,13 +174,17 @@ def capped_duplicates(articles: DataFrame, cap: int = 100, late: str = "1 hour")
     """(book_id, seq, duplicate) of a stream of articles(book_id, seq, content_hash, filled, ts): whether the first `cap` of a book hold the hash before, by seq.
 
     Articles may arrive in any order within `late` of the newest; ts has to grow with seq. The first `cap` are told once the watermark has
-    passed them, later ones at once. Rows without a book or a time are left out, and those later than `late` are dropped.
+    passed them, later ones at once. Rows without a book or a time are left out, and those later than `late` are dropped, as are times up to 1970, where a watermark begins.
     """
-    rows = articles.where("book_id is not null and ts is not null").withWatermark("ts", late).select("book_id", "seq", "content_hash", F.coalesce("filled", F.lit(False)).alias("filled"), "ts", F.unix_micros("ts").alias("at"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = articles.where("book_id is not null and ts is not null").select("book_id", "seq", "content_hash", F.coalesce("filled", F.lit(False)).alias("filled"), _clock(at).alias("ts"), at.alias("at"))
+    rows = rows.withWatermark("ts", late)
     return _in_order(rows, "book_id", Capped(cap), "book_id string, seq long, duplicate boolean")
 
 
 def trailing_counts(events: DataFrame, key: str, seconds: int = 3600, threshold: int = 5, late: str = "1 hour") -> DataFrame:
     """(event_id, recent, stable) of a stream of events(event_id, key, ts): stability() of the batch side, once the watermark has passed an event."""
-    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late).select(key, "event_id", "ts", F.unix_micros("ts").alias("at"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, "event_id", _clock(at).alias("ts"), at.alias("at"))
+    rows = rows.withWatermark("ts", late)
     return _in_order(rows, key, Trailing(seconds, threshold), "event_id long, recent long, stable boolean")
