@@ -8,6 +8,7 @@ import inspect
 import os
 import re
 import sys
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,7 +18,7 @@ from quire.operators import extract, filtering
 from quire.plans import book
 from quire.plans.layout import layout
 from quire.sources import pages, sinks
-from quire.sources.staging import written
+from quire.sources.staging import owned, release, written
 
 
 def _leading_int(value: str) -> int | None:
@@ -91,6 +92,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, judge
     access = {"provider": args.ai_provider, "model": args.ai_model, "api_key": key}
     judge, designer = _with_access(judge, access), _with_access(designer, access)
     spark = spark or SparkSession.builder.appName("quire").getOrCreate()
+    owner = f"cli-{uuid.uuid4().hex}"
+    try:
+        with owned(owner):
+            return _run(args, spark, judge, designer, render)
+    finally:
+        release(spark, owner)
+
+
+def _run(args: argparse.Namespace, spark: SparkSession, judge, designer, render) -> int:
     captured = pages.read_pages(spark, args.pages)
     seed = resolve(args.url) or args.url
     seeds = pages.with_book(spark.createDataFrame([(0, args.url, "")], "page_id long, url string, html string")).select("book_id", "url")

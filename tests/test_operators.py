@@ -12,7 +12,7 @@ from quire.operators import assemble, calls, discover, extract, filtering, metad
 from quire.plans import book, layout
 from quire.sources import book_files
 from quire.sources import pages as captured
-from quire.sources import sinks
+from quire.sources import sinks, staging
 from quire.streaming import pages as streams
 
 ARTICLE = "book_id string, seq long, url string, title string, content_html string"
@@ -279,6 +279,7 @@ def test_command_line(spark, tmp_path, capsys):
     for bad in (["-f", "doc"], ["-m", "0"], ["-m", "x"], ["-l", "odd"], ["--ai-provider", "p"], ["--lazy-load-timeout", "-1"]):
         assert cli.main([*base, "-o", "z", *bad], spark) == 1
     assert cli.validated(cli.parser().parse_args([*base, "-o", "z", "-m", "10abc"])).max == 10
+    assert not any((o or "").startswith("cli-") for o in staging._written.values())  # a run leaves no tables
 
 
 def test_streams(spark, tmp_path):
@@ -403,8 +404,6 @@ def test_layout_cache_and_access_from_the_command_line(spark, tmp_path, capsys,
 
 
 def test_only_an_owners_tables_go(spark):
-    from quire.sources import staging
-
     with staging.owned("mine"):
         mine = staging.written(spark.range(3), "t")
     other = staging.written(spark.range(4), "t")
