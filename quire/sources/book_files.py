@@ -39,10 +39,15 @@ class Written(WriterCommitMessage):
 
 
 class BookWriter(DataSourceWriter):
-    """Runs in tasks (write) and on the driver (commit, abort). An attempt has its own folder, so one that is lost or repeated leaves nothing that a commit takes."""
+    """Made and ended on the driver (commit, abort), runs in tasks (write). An attempt has its own folder, so one that is lost or repeated leaves nothing that a commit takes.
+
+    The job's folder is made with the writer, and tasks make theirs only inside it: one that is still running when the job has been aborted fails instead of writing on.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        store, base = self._store()
+        store.create_dir(self._aside(base))
 
     def _store(self):
         from pyarrow import fs
@@ -56,7 +61,7 @@ class BookWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         store, base = self._store()
         folder, files, size = f"{self._aside(base)}/{uuid.uuid4().hex}", 0, 0
-        store.create_dir(folder)
+        store.create_dir(folder, recursive=False)
         seen: set[str] = set()
         for row in iterator:
             if row["name"] in seen:
@@ -71,7 +76,6 @@ class BookWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, base = self._store()
-        store.create_dir(base)
         here = lambda folder: store.get_file_info(fs.FileSelector(folder))
         for info in here(base):
             if info.base_name == DONE or self.overwrite and not info.base_name.startswith("_temporary-"):

@@ -243,6 +243,8 @@ def test_attempts_that_are_lost_are_not_committed(tmp_path):
     again = book_files.BookWriter(str(tmp_path / "out"), overwrite=False)
     again.write(iter([Row(name="c.epub", content=b"c")]))
     again.abort([None])
+    with pytest.raises(OSError):  # a task that outlives its job
+        again.write(iter([Row(name="d.epub", content=b"d")]))
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "a.epub", "b.epub"]
 
 
