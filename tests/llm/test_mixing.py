@@ -91,7 +91,7 @@ def test_chances_hold_and_targets_are_near_end_to_end(spark):
     rng = random.Random(2)
     rows = [(100 * k + i, " ".join(["w"] * int(min(150, rng.paretovariate(0.9) * 10))), f"s{k:03}") for k in range(3) for i in range(60)]
     docs = spark.createDataFrame([(d, t, None, s, 0, "c", 7, "c") for d, t, s in rows], SCHEMA).coalesce(1).cache()
-    taken, off, rounds = defaultdict(float), [], 40
+    taken, off, rounds = defaultdict(float), [], 16
     for seed in range(rounds):
         words, want, largest = defaultdict(int), {}, defaultdict(int)
         for r in mixing.mix(docs, bucket_rows=25, fan_in=2, seed=seed).collect():
