@@ -9,6 +9,7 @@ from quire.functions import html, text, urls
 from quire.operators import assemble, discover, extract, filtering, metadata
 from quire.plans import layout
 from quire.sources import pages as captured
+from quire.sources import sinks
 from quire.sources.staging import claimed
 from quire.streaming import ordered
 from quire.streaming.frontier import Frontier
@@ -539,3 +540,12 @@ def _designer(request: str) -> str | None:
 def book_layouts(spark, d):
     """Layouts of all books by a stub designer, asked once for each content."""
     return layout.layouts(filtering.kept(_classified(spark, d)), _designer).select("book_id", "css")
+
+
+@query(_BASE + "SELECT book_id || '.html' AS name, sha256(encode(" + ORACLES["master_html"].split("SELECT book_id, ", 1)[1].split(" AS master_html", 1)[0] + ")) AS sha256 FROM k GROUP BY book_id")
+def document_files(spark, d):
+    """Every book's master document as a file of its own, written by the tasks with a commit, and read again."""
+    folder = claimed(spark, "documents")
+    sinks.write_documents(filtering.kept(_classified(spark, d)), folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
