@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ class ExtractionOptions:
     lazy_load: bool = True
 
 
-def guarded(f: Callable, *columns: pd.Series) -> list:
+def guarded(f: Callable, *columns: list) -> list:
     """f over rows; a row that fails is null, as a page that fails is dropped and the rest go on."""
     out = []
     for row in zip(*columns, strict=True):
@@ -31,27 +31,41 @@ def guarded(f: Callable, *columns: pd.Series) -> list:
     return out
 
 
-def _records(found: list, names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series([None if r is None else r[n] for r in found], dtype=object) for n in names})
+#: Pages of a batch that are Python strings, trees and results at the same time; the rest of it stays in Arrow.
+SLICE_ROWS = 32
 
 
-def extracted(page: Column) -> Column:
-    """Struct of the nine readable fields; all null if nothing readable is found."""
+def sliced(f: Callable, kind: pa.DataType, *columns: pa.Array, failed=None) -> pa.Array:
+    """f over rows as an Arrow array, a slice of rows at a time; `failed` stands for rows that fail or give none."""
+    out = []
+    for at in range(0, len(columns[0]), SLICE_ROWS):
+        found = guarded(f, *(c.slice(at, SLICE_ROWS).to_pylist() for c in columns))
+        out.append(pa.array([failed if x is None else x for x in found], kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
-    def run(h: pd.Series) -> pd.DataFrame:
-        return _records(guarded(content.extract, h), [f.split()[0] for f in EXTRACTED.split(", ")])
 
-    return F.pandas_udf(run, EXTRACTED)(page)
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
-def article(page: Column, url: Column, options: ExtractionOptions = ExtractionOptions()) -> Column:
-    """Struct of title and content_html; null fields if the page fails."""
+def by_page(f: Callable, kind: str, *columns: Column, failed=None) -> Column:
+    """f over rows of Python values as a column of a kind, a flat struct as "name kind, ..."; a struct's fields are all null where f fails or gives none."""
+    struct = " " in kind
+    of = pa.struct([(n, _KINDS[k]) for n, k in (x.split() for x in kind.split(", "))]) if struct else _KINDS[kind]
+
+    def run(*got: pa.Array) -> pa.Array:
+        return sliced(f, of, *got, failed={} if struct else failed)
+
+    return F.arrow_udf(run, kind)(*columns)
+
+
+def extracted(page: Column) -> Column:
+    """Struct of the nine readable fields; all null if nothing readable is found."""
+    return by_page(content.extract, EXTRACTED, page)
 
-    def run(h: pd.Series, u: pd.Series) -> pd.DataFrame:
-        f = lambda a, b: content.extract_article(a, b, not options.strip_links, options.lazy_load)
-        return _records(guarded(f, h, u), ["title", "content_html"])
 
-    return F.pandas_udf(run, "title string, content_html string")(page, url)
+def article(page: Column, url: Column, options: ExtractionOptions = ExtractionOptions()) -> Column:
+    """Struct of title and content_html; null fields if the page fails."""
+    return by_page(lambda h, u: content.extract_article(h, u, not options.strip_links, options.lazy_load), "title string, content_html string", page, url)
 
 
 def articles(fetched: DataFrame, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
@@ -81,29 +95,17 @@ _EDITS: dict[str, Callable] = {
 
 def edited(edit: str, page: Column, base: Column | None = None) -> Column:
     """Struct (html, n): the page after one edit of the tree, and how many places it changed (for edits that count)."""
-
-    def run(h: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return _records(guarded(_tree(_EDITS[edit]), h, b), ["html", "n"])
-
-    return F.pandas_udf(run, "html string, n long")(page, F.lit(None).cast("string") if base is None else base)
+    return by_page(_tree(_EDITS[edit]), "html string, n long", page, F.lit(None).cast("string") if base is None else base)
 
 
 def absolute(fragment: Column, base: Column) -> Column:
     """A fragment pruned again, with absolute addresses and thinned white space."""
-
-    def run(h: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(guarded(html.absolute_html, h, b), dtype=object)
-
-    return F.pandas_udf(run, "string")(fragment, base)
+    return by_page(html.absolute_html, "string", fragment, base)
 
 
 def plain(fragment: Column) -> Column:
     """Collapsed text of any fragment; empty if it can't be read."""
-
-    def run(h: pd.Series) -> pd.Series:
-        return pd.Series([x or "" for x in guarded(html.plain_text, h)], dtype=object)
-
-    return F.pandas_udf(run, "string")(fragment)
+    return by_page(html.plain_text, "string", fragment, failed="")
 
 
 def link_share(fragment: Column, text: Column) -> Column:
@@ -112,16 +114,9 @@ def link_share(fragment: Column, text: Column) -> Column:
     def one(h, t):
         return sum(len(a.text()) for a in html.body(html.parse(h)).find("a")) / max(1, len(t))
 
-    def run(h: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([x or 0.0 for x in guarded(one, h, t)])
-
-    return F.pandas_udf(run, "double")(fragment, text)
+    return by_page(one, "double", fragment, text, failed=0.0)
 
 
 def load_more_target(page: Column) -> Column:
     """Label of the control a live page would be asked to load more with; null if there is none."""
-
-    def run(h: pd.Series) -> pd.Series:
-        return pd.Series(guarded(lambda x: html.load_more_target(html.parse(x)), h), dtype=object)
-
-    return F.pandas_udf(run, "string")(page)
+    return by_page(lambda x: html.load_more_target(html.parse(x)), "string", page)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text, urls
+from quire.sources.staging import small_batches
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, html) of a Parquet table of captured pages."""
+    """(page_id, url, html) of a Parquet table of captured pages, which cross to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 

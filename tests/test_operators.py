@@ -413,3 +413,30 @@ def test_only_an_owners_tables_go(spark):
     assert other.count() == 4 and mine.staged_at not in staging._written
     staging.discard(other)
     assert other.staged_at not in staging._written
+
+
+def test_pages_cross_to_python_a_few_at_a_time(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        spark.range(1000).select(F.col("id").alias("page_id"), F.lit("https://a.com/").alias("url"), F.lit("<p>x</p>").alias("html")).coalesce(1).write.parquet(str(tmp_path / "pages"))
+        rows = captured.read_pages(spark, str(tmp_path / "pages")).select(F.pandas_udf(lambda h: h.map(lambda _: len(h)), "int")("html").alias("n"))
+        assert rows.agg(F.max("n")).first()[0] <= 300
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_batch_of_pages_is_never_all_python_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array([f"<body><p>{i} " + "word " * 4000 + "</p></body>" for i in range(500)])  # 10 MB
+    tracemalloc.start()
+    got = extract.sliced(lambda h: h, pa.string(), pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == pages and peak < 3 << 20
+    assert extract.sliced(int, pa.int64(), pa.array(["1", "x", "3"]), failed=-1).to_pylist() == [1, -1, 3]
+    assert extract.sliced(len, pa.int64(), pa.array([], pa.string())).to_pylist() == []
