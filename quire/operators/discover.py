@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +43,7 @@ def limit_per_book(links: DataFrame, most: int = 10) -> DataFrame:
 
 
 TREE_LINKS = "next_url string, anchors array<struct<pos:int,href:string,label:string>>"
+_TREE_LINKS = pa.struct([("next_url", pa.string()), ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("label", pa.string())])))])
 
 
 def tree_links(pages: DataFrame) -> DataFrame:
@@ -56,13 +57,13 @@ def tree_links(pages: DataFrame) -> DataFrame:
         root = html.parse(page)
         hrefs = [(e, e.attrs["href"]) for e in root.find("a") if e.attrs.get("href", "").strip()]
         full = [(i, resolve(h, url), html.collapse(e.text())) for i, (e, h) in enumerate(hrefs)]
-        return html.next_page(root, url), [{"pos": i, "href": h, "label": t} for i, h, t in full if h]
+        return {"next_url": html.next_page(root, url), "anchors": [{"pos": i, "href": h, "label": t} for i, h, t in full if h]}
 
-    def run(page: pd.Series, url: pd.Series) -> pd.DataFrame:
-        found = [x or (None, []) for x in extract.guarded(one, page, url)]
-        return pd.DataFrame({"next_url": pd.Series([n for n, _ in found], dtype=object), "anchors": pd.Series([a for _, a in found], dtype=object)})
+    def run(page: pa.Array, url: pa.Array) -> pa.Array:
+        return extract.sliced(one, _TREE_LINKS, page, url, failed={"next_url": None, "anchors": []})
 
-    return pages.select("page_id", "url", F.pandas_udf(run, TREE_LINKS)("html", "url").alias("t")).select("page_id", "url", "t.*")
+    read = F.arrow_udf(run, TREE_LINKS).asNondeterministic()  # else what filters or unnests the links has the page parsed once more
+    return pages.select("page_id", "url", read("html", "url").alias("t")).select("page_id", "url", "t.*")
 
 
 def next_links(pages: DataFrame) -> DataFrame:

@@ -87,3 +87,10 @@ def test_ties_in_a_book_are_broken_alike_however_rows_are_dealt(spark):
     some = lambda d: sorted((r["title"], r["reason"] or "") for r in filtering.classify(d).collect())
     cut = lambda d: sorted((r["title"], r["batch"], r["pos"]) for r in filtering.batches(d, 5).collect())
     assert some(df) == some(df.orderBy(F.desc("title")).repartition(3)) and cut(df) == cut(df.orderBy(F.desc("title")).repartition(3))
+
+
+def test_unnesting_links_parses_a_page_once(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/", '<a href="/x">x</a><a href="/y">y</a>')], "page_id long, url string, html string")
+    found = discover.tree_links(pages).select("page_id", F.inline("anchors")).where("href is not null")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r["href"] for r in found.collect()) == ["https://a.com/x", "https://a.com/y"]
