@@ -47,15 +47,19 @@ def sliced(f: Callable, kind: pa.DataType, *columns: pa.Array, failed=None) -> p
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
-def by_page(f: Callable, kind: str, *columns: Column, failed=None) -> Column:
-    """f over rows of Python values as a column of a kind, a flat struct as "name kind, ..."; a struct's fields are all null where f fails or gives none."""
+def by_page(f: Callable, kind: str, *columns: Column, failed=None, once: bool = False) -> Column:
+    """f over rows of Python values as a column of a kind, a flat struct as "name kind, ..."; a struct's fields are all null where f fails or gives none.
+
+    `once` keeps a filter on the result from having the page read once more; such a filter then reaches no scan.
+    """
     struct = " " in kind
     of = pa.struct([(n, _KINDS[k]) for n, k in (x.split() for x in kind.split(", "))]) if struct else _KINDS[kind]
 
     def run(*got: pa.Array) -> pa.Array:
         return sliced(f, of, *got, failed={} if struct else failed)
 
-    return F.arrow_udf(run, kind)(*columns)
+    read = F.arrow_udf(run, kind)
+    return (read.asNondeterministic() if once else read)(*columns)
 
 
 def extracted(page: Column) -> Column:
@@ -65,7 +69,7 @@ def extracted(page: Column) -> Column:
 
 def article(page: Column, url: Column, options: ExtractionOptions = ExtractionOptions()) -> Column:
     """Struct of title and content_html; null fields if the page fails."""
-    return by_page(lambda h, u: content.extract_article(h, u, not options.strip_links, options.lazy_load), "title string, content_html string", page, url)
+    return by_page(lambda h, u: content.extract_article(h, u, not options.strip_links, options.lazy_load), "title string, content_html string", page, url, once=True)
 
 
 def articles(fetched: DataFrame, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:

@@ -440,3 +440,10 @@ def test_a_batch_of_pages_is_never_all_python_strings():
     assert got == pages and peak < 3 << 20
     assert extract.sliced(int, pa.int64(), pa.array(["1", "x", "3"]), failed=-1).to_pylist() == [1, -1, 3]
     assert extract.sliced(len, pa.int64(), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_dropping_failed_pages_reads_a_page_once(spark):
+    fetched = spark.createDataFrame([("b", 1, "https://h/1", page(WORDS)), ("b", 2, "https://h/2", None)], "book_id string, seq long, url string, html string")
+    got = extract.articles(fetched)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r["seq"] for r in got.collect()] == [1]
