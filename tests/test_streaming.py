@@ -116,3 +116,74 @@ def test_frontier_follows_a_stream_and_restarts(spark, tmp_path):
         depth.append(f.chain().agg(F.max("depth")).first()[0])
     assert depth == [3, 4]  # the second page names a third that was not there yet
     assert [r["href"] for r in f.links().orderBy("seq").collect()][:2] == ["https://a.com/post/1", "https://a.com/post/shared"]
+
+
+class State:
+    """A value or a list of state; how many values a list holds shows what a group costs."""
+
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return iter(self.v) if isinstance(self.v, list) else self.v
+
+    def update(self, v):
+        self.v = v
+
+    def put(self, v):
+        self.v = list(v)
+
+    def appendList(self, v):
+        self.v = (self.v or []) + list(v)
+
+    def clear(self):
+        self.v = None
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, State())
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_users_of_a_bucket_share_a_group_and_its_state(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "PIECE_ROWS", 400)
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"at": rng.integers(1, 60_000, 1000) * 1000, "event_id": np.arange(1000), "x": rng.integers(0, 40, 1000), "y": rng.integers(0, 2, 1000)})
+    t, handle, out = ordered.Trailing(5, 2), Handle(), []
+    t.init(handle)
+    assert list(t.handleInputRows((0,), iter([rows[:500], rows[500:]]), None)) == []
+    assert len(handle.states["buffer"].v) == 3 and len(handle.timers) == 1  # a thousand rows of some eighty users
+    for mark in (30_000, 60_000):
+        handle.timers.clear()
+        out += t.handleExpiredTimer((0,), Mark(mark), None)
+        assert len(handle.timers) == 1
+    got = pd.concat(out).set_index("event_id").sort_index()
+    want = [((rows.x == r.x) & (rows.y == r.y) & (rows["at"] <= r.at) & (rows["at"] >= r.at - 5_000_000)).sum() for r in rows.itertuples()]
+    assert list(got["recent"]) == want and list(got["stable"]) == [n <= 2 for n in want]
+    last = handle.timers.pop()
+    assert list(t.handleExpiredTimer((0,), Mark(last), None)) == [] and not handle.timers and not any(s.exists() for s in handle.states.values())
