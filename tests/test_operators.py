@@ -447,3 +447,16 @@ def test_dropping_failed_pages_reads_a_page_once(spark):
     got = extract.articles(fetched)
     assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [r["seq"] for r in got.collect()] == [1]
+
+
+BY_SLICES = {
+    "extract_html": lambda p: p.select(extract.extracted(F.col("html"))),
+}
+
+
+@pytest.mark.parametrize("name", BY_SLICES)
+def test_pages_stay_in_arrow_on_their_way_to_the_tree(spark, name):
+    """Function 250 is Spark's for Arrow arrays; 200, that for pandas, makes strings of a whole batch."""
+    rows = BY_SLICES[name](spark.createDataFrame([(1, "https://a.com/", "<p>x</p>")], "page_id long, url string, html string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert ", 250" in plan and ", 200" not in plan
