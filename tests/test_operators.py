@@ -452,6 +452,7 @@ def test_dropping_failed_pages_reads_a_page_once(spark):
 BY_SLICES = {
     "extract_html": lambda p: p.select(extract.extracted(F.col("html"))),
     "absolute_urls": lambda p: p.select(extract.absolute(F.col("html"), F.col("url"))),
+    "frontier_links": discover.tree_links,
 }
 
 
